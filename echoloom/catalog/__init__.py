@@ -6,7 +6,7 @@ import importlib
 
 from echoloom.catalog.registry import ORACLES, QUERIES
 
-FAMILIES = ["q_metrics"]
+FAMILIES = ["q_metrics", "q_sampling"]
 
 
 def _load() -> None:

@@ -97,12 +97,12 @@ def transcripts(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents")
     return d.select(
         F.col("doc_id").alias("utt_id"), F.col("source").alias("speaker"), F.col("lang").alias("class"),
-        F.filter(F.split(F.upper("text"), r"[ \n\t\r]+"), lambda w: w != "").alias("words"), "text")
+        F.filter(F.split(F.lower("text"), r"[ \n\t\r]+"), lambda w: w != "").alias("words"), "text")
 
 
 TR = """tr AS (
   SELECT doc_id AS utt_id, source AS speaker, lang AS class,
-         list_filter(regexp_split_to_array(upper(text), '[ \\n\\t\\r]+'), lambda w: w <> '') AS words, text
+         list_filter(regexp_split_to_array(lower(text), '[ \\n\\t\\r]+'), lambda w: w <> '') AS words, text
   FROM documents)"""
 
 

@@ -21,8 +21,8 @@ def best_within(df: DataFrame, score: str, allowed: Column, order: list) -> Data
 
 def inventory(df: DataFrame, bucket: str, level: str) -> DataFrame:
     g = df.groupBy(bucket).agg(F.count(F.lit(1)).alias("n"), F.min(level).alias("min_level"), F.max(level).alias("max_level"))
-    total = g.agg(F.sum("n").alias("_total"))                      # one row
-    return g.join(F.broadcast(total)).withColumn("share_pct", F.lit(100.0) * F.col("n") / F.col("_total")).drop("_total")
+    total = df.agg(F.count(F.lit(1))).scalar()
+    return g.withColumn("share_pct", F.lit(100.0) * F.col("n") / total)
 
 
 def kind_counts(df: DataFrame, tag: str, prefix: str = "neg|") -> DataFrame:
@@ -111,8 +111,8 @@ def batches(df: DataFrame, key: list[str], size: int, seed: int, salt: str, drop
     placed = hash_ordinal(df, [], key, seed, salt, "_pos")
     out = placed.withColumn("batch", F.floor(F.col("_pos") / F.lit(size)))
     if drop_last:
-        n = df.agg((F.floor(F.count(F.lit(1)) / F.lit(size)) * size).alias("_full"))
-        out = out.join(F.broadcast(n)).filter(F.col("_pos") < F.col("_full")).drop("_full")
+        full = df.agg(F.floor(F.count(F.lit(1)) / F.lit(size)) * size).scalar()
+        out = out.filter(F.col("_pos") < full)
     return out.drop("_pos")
 
 

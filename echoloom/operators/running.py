@@ -92,47 +92,49 @@ def listing_ordinal(df: DataFrame, order: list[str], name: str = "ordinal") -> D
             .drop("_part", "_id", "_base"))
 
 
-def hash_cutoff(df: DataFrame, by: list[str], key: list[str], take, seed: int, salt: str) -> DataFrame:
-    """Per group, the digest and key of the last row among the ``take(n)`` lowest digests.
+def hash_cutoffs(df: DataFrame, by: list[str], key: list[str], takes: dict, seed: int, salt: str) -> DataFrame:
+    """Per group and name: digest and key of the last row among the ``take(n)`` lowest digests.
 
-    Counts per digest slice find the slice that holds the cut; only that slice is ranked. Groups
-    with ``take(n) = 0`` have no row.
+    ``takes`` maps a name to a function from the group size to a count. Counts per digest slice
+    find the slice that holds each cut; only those slices are ranked. A take of 0 gives NULL.
     """
     rows, keys = _keys(df.select(*by, *key), by)
     rows = rows.withColumn("_h", draws.digest(seed, salt, *key)).withColumn("_b", hash_bucket(F.col("_h")))
     counts = rows.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy(*keys)
     upto = w.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
+    wanted = F.array(*[F.struct(F.lit(n).alias("name"), F.least(F.col("_all_n"), f(F.col("_all_n"))).cast("long").alias("k"))
+                       for n, f in takes.items()])
     cut = (counts.withColumn("_cum", F.sum("_n").over(upto)).withColumn("_all_n", F.sum("_n").over(w))
-           .withColumn("_k", take(F.col("_all_n")).cast("long"))
-           .filter((F.col("_cum") - F.col("_n") < F.col("_k")) & (F.col("_cum") >= F.col("_k")))
-           .select(*keys, "_b", (F.col("_k") - (F.col("_cum") - F.col("_n"))).alias("_rest")))
-    ranked = (rows.join(F.broadcast(cut) if not by else cut, [*keys, "_b"])
-              .withColumn("_rn", F.row_number().over(Window.partitionBy(*keys, "_b").orderBy("_h", *key))))
-    return (ranked.filter(F.col("_rn") == F.col("_rest"))
-            .select(*keys, F.struct("_h", *key).alias("_cut")))
-
-
-def flag_lowest(df: DataFrame, by: list[str], key: list[str], take, seed: int, salt: str,
-                name: str = "taken") -> DataFrame:
-    """Mark the ``take(n)`` rows of each group that come first in a keyed permutation.
-
-    ``take`` maps the group size (a Column) to a count; a count of at least the group size takes
-    all of it. The wide rows are not shuffled when the table of cuts is small.
-    """
-    def bounded(n):
-        return F.least(n, take(n))
-    cut = hash_cutoff(df, by, key, bounded, seed, salt)
+           .withColumn("_w", F.explode(wanted))
+           .filter((F.col("_cum") - F.col("_n") < F.col("_w.k")) & (F.col("_cum") >= F.col("_w.k")))
+           .select(*keys, "_b", F.col("_w.name").alias("_name"),
+                   (F.col("_w.k") - (F.col("_cum") - F.col("_n"))).alias("_rest")))
+    side = F.broadcast(cut) if not by else cut                     # at most one row per name without a key
+    slices = rows.join(side.select(*keys, "_b").distinct(), [*keys, "_b"], "left_semi")
+    ranked = slices.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys, "_b").orderBy("_h", *key)))
+    hit = ranked.join(side, [*keys, "_b"]).filter(F.col("_rn") == F.col("_rest"))
+    last = F.struct("_h", *key)
+    return hit.groupBy(*keys).agg(*[F.max(F.when(F.col("_name") == n, last)).alias(f"_cut_{n}") for n in takes])
+
+
+def flag_lowest(df: DataFrame, by: list[str], key: list[str], takes: dict, seed: int, salt: str) -> DataFrame:
+    """One boolean column per name: the row is among the first ``take(n)`` of its group in a keyed
+    permutation. The wide rows are not shuffled when the table of cuts is small."""
+    cut = hash_cutoffs(df, by, key, takes, seed, salt)
     src, keys = _keys(df, by)
     side = F.broadcast(cut) if not by else checked_broadcast(cut)     # one row without a key
     out = src.join(side, keys, "left")
     mine = F.struct(draws.digest(seed, salt, *key).alias("_h"), *[F.col(k) for k in key])
-    return out.withColumn(name, F.coalesce(mine <= F.col("_cut"), F.lit(False))).drop("_cut", ALL)
+    for n in takes:
+        out = out.withColumn(n, F.coalesce(mine <= F.col(f"_cut_{n}"), F.lit(False))).drop(f"_cut_{n}")
+    return out.drop(ALL)
 
 
 def take_random(df: DataFrame, n: int, key: list[str], seed: int, salt: str) -> DataFrame:
     """min(n, size) rows without replacement: the ``n`` lowest digests."""
-    return flag_lowest(df, [], key, lambda _: F.lit(n).cast("long"), seed, salt, "_t").filter("_t").drop("_t")
+    flagged = flag_lowest(df, [], key, {"_t": lambda _: F.lit(n)}, seed, salt)
+    return flagged.filter("_t").drop("_t")
 
 
 # ---- distinct-value ladders -------------------------------------------------------------------

@@ -6,7 +6,7 @@ import importlib
 
 from echoloom.catalog.registry import ORACLES, QUERIES
 
-FAMILIES = ["q_metrics", "q_sampling"]
+FAMILIES = ["q_metrics", "q_sampling", "q_joins", "q_streams"]
 
 
 def _load() -> None:

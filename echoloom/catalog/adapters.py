@@ -48,11 +48,15 @@ LI = """li AS (
 
 # ---- events: score streams --------------------------------------------------------------------
 
+def _epoch() -> Column:
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+
+
 def streams(spark: SparkSession, sf: str) -> DataFrame:
-    """stream, step, p, gated, class, value, event_id; one step is 100 ms."""
+    """stream, step, p, gated, class, value, event_id, ts_us; one step is 100 ms."""
     ev = table(spark, sf, "events").select(
-        F.col("user_id").alias("stream"), "ts", "event_id", F.col("event_type").alias("class"), "value", "props")
-    placed = ordinal_by_bucket(ev, ["stream"], ["ts", "event_id"], time_bucket("ts"), "step")
+        F.col("user_id").alias("stream"), F.timestamp_diff("MICROSECOND", _epoch(), F.col("ts")).alias("ts_us"), "event_id", F.col("event_type").alias("class"), "value", "props")
+    placed = ordinal_by_bucket(ev, ["stream"], ["ts_us", "event_id"], time_bucket("ts_us"), "step")
     return placed.withColumn("p", F.least(F.lit(1.0), F.col("value") / 150.0)).withColumn(
         "gated", F.col("value") < 5.0)
 

@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from echoloom.operators.chunks import CHUNK, chunk_window, with_halo
+from echoloom.session import materialize
 
 BLOCK = 4096      # chunks per block
 
@@ -182,7 +183,22 @@ def detect(scores: DataFrame, policies: list[Policy], size: int = CHUNK, block:
     ``scores``: stream, step (dense from 0), p in [0, 1], gated. ``pid`` indexes ``policies``.
     """
     reach = max(max(p.gap, p.lookback + p.span) for p in policies)
-    cands = candidates(scores, policies, size)
+    # written once: both the chunk summaries and the final pass read it, and it is a small share
+    # of the scores
+    cands = materialize(candidates(scores, policies, size), "candidates")
+    far = F.lit(-(reach + 1))
+
+    def picks(enter: Column) -> Column:
+        def pick(acc, c):
+            ok = c["s"] - F.coalesce(acc["last"], far) >= c["g"]
+            return F.when(ok, F.struct(c["s"].alias("last"),
+                                       F.concat(acc["steps"], F.array(c["s"])).alias("steps"))).otherwise(acc)
+        zero = F.struct(enter.alias("last"), F.array().cast("array<bigint>").alias("steps"))
+        return F.aggregate("cands", zero, pick, lambda acc: acc["steps"])
+
+    if not cands.filter("chunk > 0").take(1):          # every stream fits into its first chunk
+        return cands.select("stream", "pid", F.explode(picks(_none())).alias("step"))
+
     dist = F.sequence(F.lit(1), F.lit(reach + 1))
 
     start = F.col("chunk") * F.lit(size)
@@ -212,16 +228,8 @@ def detect(scores: DataFrame, policies: list[Policy], size: int = CHUNK, block:
                        _entries(F.col("chunks"), "chunk", reach, size, F.col("enter"))).alias("e"))
                    .select("stream", "pid", F.col("e.id").alias("chunk"), F.col("e.last").alias("enter")))
 
-    far = F.lit(-(reach + 1))
-    def pick(acc, c):
-        ok = c["s"] - F.coalesce(acc["last"], far) >= c["g"]
-        return F.when(ok, F.struct(c["s"].alias("last"), F.concat(acc["steps"], F.array(c["s"])).alias("steps"))).otherwise(acc)
-    picked = cands.join(chunk_entry, ["stream", "pid", "chunk"]).select(
-        "stream", "pid", F.aggregate(
-            "cands",
-            F.struct(F.col("enter").alias("last"), F.array().cast("array<bigint>").alias("steps")),
-            pick, lambda acc: acc["steps"]).alias("steps"))
-    return picked.select("stream", "pid", F.explode("steps").alias("step"))
+    return (cands.join(chunk_entry, ["stream", "pid", "chunk"])
+            .select("stream", "pid", F.explode(picks(F.col("enter"))).alias("step")))
 
 
 def _entries(items: Column, key: str, reach: int, width: int, enter: Column) -> Column:

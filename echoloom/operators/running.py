@@ -58,8 +58,9 @@ def ordinal_by_bucket(df: DataFrame, by: list[str], order: list, bucket: Column,
     return running(df, by, order, bucket, {name: ("sum", F.lit(1).cast("long"), False)})
 
 
-def time_bucket(ts: str, seconds: int = 60) -> Column:
-    return F.floor(F.unix_micros(F.col(ts)) / F.lit(seconds * 1_000_000))
+def time_bucket(micros: str, seconds: int = 60) -> Column:
+    """Bucket of a time column that counts microseconds."""
+    return F.floor(F.col(micros) / F.lit(seconds * 1_000_000))
 
 
 def hash_bucket(h: Column, digits: int = 4) -> Column:

@@ -68,6 +68,10 @@ EV = """ev AS (
   FROM events)"""
 
 
+def users(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "events").select(F.col("user_id").alias("stream"))
+
+
 def trials(streams_df: DataFrame) -> DataFrame:
     """One trial per stream: SNR, keyword start and end in samples. Derived from the stream id."""
     s = streams_df.select("stream").distinct()

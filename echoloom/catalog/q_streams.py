@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from echoloom.catalog.adapters import EV, TRIALS, detector_sql, r6, streams, table, trials
+from echoloom.catalog.adapters import EV, TRIALS, detector_sql, r6, streams, table, trials, users
 from echoloom.catalog.registry import query
 from echoloom.operators import chunks as C
 from echoloom.operators import detector as D
@@ -98,7 +98,7 @@ SELECT agg, need, span, threshold, triggers, hits, round(noise_fa, 6) AS noise_f
   round(noise_fa + speech_fa, 6) AS total_fa, round(recall, 6) AS recall FROM sw"""))
 def d12(spark, sf):
     s = streams(spark, sf)
-    t = E.sweep(s, trials(s), GRID)
+    t = E.sweep(s, trials(users(spark, sf)), GRID)
     return t.select("agg", "need", "span", "threshold", "triggers", "hits", *[r6(c).alias(c) for c in ("noise_fa", "speech_fa", "total_fa", "recall")])
 
 
@@ -106,7 +106,7 @@ def d12(spark, sf):
 SELECT agg, need, span, threshold, round(noise_fa + speech_fa, 6) AS total_fa, round(recall, 6) AS recall FROM best"""))
 def k4(spark, sf):
     s = streams(spark, sf)
-    return E.choose(E.sweep(s, trials(s), GRID), BUDGET).select(
+    return E.choose(E.sweep(s, trials(users(spark, sf)), GRID), BUDGET).select(
         "agg", "need", "span", "threshold", r6("total_fa").alias("total_fa"), r6("recall").alias("recall"))
 
 
@@ -115,7 +115,7 @@ SELECT threshold, agg, need, span, CASE WHEN span > need THEN span ELSE 0 END AS
   round(recall, 6) AS recall, round(noise_fa + speech_fa, 6) AS fa_per_hour FROM best"""))
 def t5(spark, sf):
     s = streams(spark, sf)
-    f = E.freeze(E.choose(E.sweep(s, trials(s), D.grid(dims.SWEEP_THRESHOLDS, ["2/3"], ["ema", "maxhold"])), BUDGET))
+    f = E.freeze(E.choose(E.sweep(s, trials(users(spark, sf)), D.grid(dims.SWEEP_THRESHOLDS, ["2/3"], ["ema", "maxhold"])), BUDGET))
     return f.withColumn("recall", r6("recall")).withColumn("fa_per_hour", r6("fa_per_hour"))
 
 
@@ -130,7 +130,7 @@ def flagship(spark, sf):
     """False alarms per hour per class, at the threshold with the best recall within the budget."""
     s = streams(spark, sf)
     found = D.detect(s, FLAG_GRID)
-    best = E.choose(E.sweep(s, trials(s), FLAG_GRID, detections=found), BUDGET).select("pid", "threshold")
+    best = E.choose(E.sweep(s, trials(users(spark, sf)), FLAG_GRID, detections=found), BUDGET).select("pid", "threshold")
     det = found.join(F.broadcast(best), "pid")                             # one row
     hits = det.join(s.select("stream", "step", "class"), ["stream", "step"]).groupBy("class").agg(F.count(F.lit(1)).alias("triggers"))
     h = s.groupBy("class").agg(E.hours(F.count(F.lit(1))).alias("hours"))
@@ -149,14 +149,14 @@ RES = """, res AS (SELECT t.*, f.first, coalesce(f.first <= t.kw_end + 3200, fal
 @query("j10_first_trigger_in_interval", _det_sql(MAIN, RES + " SELECT stream, snr, first, hit FROM res"))
 def j10(spark, sf):
     s = streams(spark, sf)
-    return E.trial_results(s, trials(s), MAIN[0]).select("stream", "snr", "first", "hit")
+    return E.trial_results(s, trials(users(spark, sf)), MAIN[0]).select("stream", "snr", "first", "hit")
 
 
 @query("m20_streaming_recall_by_snr", _det_sql(MAIN, RES + """ SELECT snr, count(*) AS trials, count(*) FILTER (hit) AS hits,
   round(count(*) FILTER (hit) / count(*), 6) AS recall FROM res GROUP BY ROLLUP (snr)"""))
 def m20(spark, sf):
     s = streams(spark, sf)
-    t = E.recall_by_snr(E.trial_results(s, trials(s), MAIN[0]))
+    t = E.recall_by_snr(E.trial_results(s, trials(users(spark, sf)), MAIN[0]))
     return t.select("snr", "trials", "hits", r6("recall").alias("recall"))
 
 
@@ -167,7 +167,7 @@ def _lat_sql(origin):
 
 def _lat(spark, sf, origin):
     s = streams(spark, sf)
-    t = E.latency(E.trial_results(s, trials(s), MAIN[0]), origin)
+    t = E.latency(E.trial_results(s, trials(users(spark, sf)), MAIN[0]), origin)
     return t.select("snr", "hits", *[r6(c).alias(c) for c in ("median", "p90", "mean_gap")])
 
 
@@ -198,7 +198,7 @@ SELECT snr, count(*) AS trials, sum(f)::BIGINT AS frame_hits, sum(c)::BIGINT AS
   round((sum(f) - sum(c)) / count(*), 6) AS gap FROM t JOIN q USING (snr) GROUP BY snr""", "eu", UNGATED))
 def m22(spark, sf):
     s = _ungated(streams(spark, sf))
-    t = E.frame_vs_confirmed(s, trials(s), ENGINE[0])
+    t = E.frame_vs_confirmed(s, trials(users(spark, sf)), ENGINE[0])
     return t.select("snr", "trials", "frame_hits", "confirmed", *[r6(c).alias(c) for c in ("median", "p10", "gap")])
 
 
@@ -212,7 +212,7 @@ pb AS (SELECT t.stream AS bed, t.snr, coalesce(n.kw, 0) > 0 AS hit, coalesce(n.c
   round(count(*) FILTER (hit) / count(*), 6) AS detection, round(sum(ctl) / greatest(sum(steps) * 0.1 / 3600.0, 1e-9), 6) AS control_fa_per_hour FROM pb GROUP BY snr""", "arm", ARMS))
 def m23(spark, sf):
     s = streams(spark, sf)
-    t = E.control_arm(s, s.withColumn("p", F.col("p") * F.lit(0.9)), trials(s), MAIN[0])
+    t = E.control_arm(s, s.withColumn("p", F.col("p") * F.lit(0.9)), trials(users(spark, sf)), MAIN[0])
     return t.select("snr", "trials", "detected", "control_hits", r6("detection").alias("detection"), r6("control_fa_per_hour").alias("control_fa_per_hour"))
 
 
@@ -222,7 +222,7 @@ def j14(spark, sf):
     ctl = s.withColumn("p", F.col("p") * F.lit(0.9))
     kw = D.first_trigger(D.detect(s, MAIN)).select("stream", F.lit(True).alias("hit"))
     c = D.first_trigger(D.detect(ctl, MAIN)).select("stream", F.col("n_detections").alias("control_hits"))
-    t = trials(s).join(kw, "stream", "left").join(c, "stream", "left")
+    t = trials(users(spark, sf)).join(kw, "stream", "left").join(c, "stream", "left")
     return t.select(F.col("stream").alias("bed"), "snr", F.coalesce("hit", F.lit(False)).alias("hit"), F.coalesce("control_hits", F.lit(0)).alias("control_hits"))
 
 
@@ -273,7 +273,7 @@ def m19(spark, sf):
 FROM ev JOIN trials USING (stream) GROUP BY snr""")
 def m26(spark, sf):
     s = streams(spark, sf)
-    t = H.miss_profile(s.join(trials(s), "stream"), THR, ["snr"])
+    t = H.miss_profile(s.join(trials(users(spark, sf)), "stream"), THR, ["snr"])
     return t.select("snr", "n", r6("miss").alias("miss"), r6("median").alias("median"))
 
 

@@ -20,7 +20,7 @@ def lit(x) -> Column:
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once and hand it to ``body``."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+    return F.element_at(F.transform(F.array(value), lambda v: body(v)), 1)
 
 
 def total(x: Column, f: Callable[[Column], Column] = lambda v: v) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from echoloom.operators.running import hash_ordinal
 from echoloom.operators.sampling import draw_clips
-from echoloom.functions.draws import in_range, uniform
+from echoloom.functions.draws import uniform
 from echoloom.plans import dims
 
 
@@ -33,21 +33,23 @@ def with_class(clips: DataFrame, meta: DataFrame, on: list[str], name: str, defa
     return clips.join(meta, on, "left").withColumn(name, F.coalesce(name, F.lit(default)))
 
 
-def draw_layers(samples: DataFrame, key: str, n_layers: Column, snr: Column, clips: DataFrame, klass: str,
-                clip: str, seed: int, cols: list[str]) -> DataFrame:
-    """One row per (sample, layer) with a drawn clip and SNR, then one array per sample.
-
-    ``snr``: array<struct<lo,hi>> per layer. A sample has as many layers as its recipe (at most
-    two), so the arrays are short. Samples without layers keep an empty array.
-    """
+def layer_rows(samples: DataFrame, key: str, n_layers: Column, snr: Column, clips: DataFrame, klass: str,
+               clip: str, seed: int) -> DataFrame:
+    """One row per (sample, layer) with a drawn clip and SNR. ``snr``: array<struct<lo,hi>>."""
     layers = (samples.filter(n_layers > 0)
               .select(key, F.explode(F.sequence(F.lit(0), (n_layers - 1).cast("int"))).alias("layer"), snr.alias("_snr")))
     drawn = draw_clips(layers, [key, "layer"], clips, klass, clip, seed, "layer")
     rng = F.get("_snr", F.col("layer"))
-    drawn = drawn.withColumn("snr", in_range(uniform(seed, "layer-snr", key, "layer"), F.lit(0.0), F.lit(1.0)))
-    drawn = drawn.withColumn("snr", rng["lo"] + (rng["hi"] - rng["lo"]) * F.col("snr"))
-    packed = drawn.groupBy(key).agg(F.sort_array(F.collect_list(
-        F.struct("layer", F.col(klass).alias("layer_class"), F.col(clip).alias("layer_clip"), "snr"))).alias("layers"))
+    drawn = drawn.withColumn("snr", rng["lo"] + (rng["hi"] - rng["lo"]) * uniform(seed, "layer-snr", key, "layer"))
+    return drawn.select(key, "layer", F.col(klass).alias("layer_class"), F.col(clip).alias("layer_clip"), "snr")
+
+
+def draw_layers(samples: DataFrame, key: str, n_layers: Column, snr: Column, clips: DataFrame, klass: str,
+                clip: str, seed: int, cols: list[str]) -> DataFrame:
+    """One array of drawn layers per sample. A sample has as many layers as its recipe (at most
+    two), so the arrays are short; samples without layers get NULL."""
+    packed = layer_rows(samples, key, n_layers, snr, clips, klass, clip, seed).groupBy(key).agg(F.sort_array(
+        F.collect_list(F.struct("layer", "layer_class", "layer_clip", "snr"))).alias("layers"))
     return samples.select(key, *cols).join(packed, key, "left")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from echoloom.operators.ranking import top_n
 from echoloom.operators.running import exact_quantiles, hash_ordinal, take_random
 from echoloom.operators.sampling import head_val, union_with_provenance
+from echoloom.session import materialize
 
 
 def scan(windows: DataFrame, loud: Column, threshold: float, tag: str) -> DataFrame:
@@ -57,7 +58,8 @@ def fine_tune_set(corpus: DataFrame, mined_neg: DataFrame, mined_pos: DataFrame,
     tagged = []
     for i, (df, tag) in enumerate(parts):
         tagged.append((df.withColumn("part", F.lit(i)), tag))
-    out = union_with_provenance(tagged)
+    # written once: the split reads the set several times
+    out = materialize(union_with_provenance(tagged), "fine-tune")
     return head_val(out, ["part", *key], 600, 20, seed)
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from echoloom.functions import draws
-from echoloom.session import checked_broadcast
+from echoloom.session import checked_broadcast, materialize
 
 ALL = "_all"          # constant group for "no key"
 
@@ -81,8 +81,6 @@ def listing_ordinal(df: DataFrame, order: list[str], name: str = "ordinal") -> D
     The sorted rows are written once, because the positions within the sorted partitions must be
     the same ones that the partition sizes are counted from.
     """
-    from echoloom.session import materialize
-
     placed = df.orderBy(*order).withColumn("_id", F.monotonically_increasing_id())
     stored = materialize(placed, "listing").withColumn("_part", F.shiftright("_id", 33))
     sizes = stored.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
@@ -111,10 +109,10 @@ def hash_cutoffs(df: DataFrame, by: list[str], key: list[str], takes: dict, seed
            .filter((F.col("_cum") - F.col("_n") < F.col("_w.k")) & (F.col("_cum") >= F.col("_w.k")))
            .select(*keys, "_b", F.col("_w.name").alias("_name"),
                    (F.col("_w.k") - (F.col("_cum") - F.col("_n"))).alias("_rest")))
-    side = F.broadcast(cut) if not by else cut                     # at most one row per name without a key
-    slices = rows.join(side.select(*keys, "_b").distinct(), [*keys, "_b"], "left_semi")
-    ranked = slices.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys, "_b").orderBy("_h", *key)))
-    hit = ranked.join(side, [*keys, "_b"]).filter(F.col("_rn") == F.col("_rest"))
+    side = F.broadcast(cut) if not by else checked_broadcast(cut)  # at most one row per name without a key
+    within = Window.partitionBy(*keys, "_b", "_name").orderBy("_h", *key)
+    hit = (rows.join(side, [*keys, "_b"]).withColumn("_rn", F.row_number().over(within))
+           .filter(F.col("_rn") == F.col("_rest")))
     last = F.struct("_h", *key)
     return hit.groupBy(*keys).agg(*[F.max(F.when(F.col("_name") == n, last)).alias(f"_cut_{n}") for n in takes])
 

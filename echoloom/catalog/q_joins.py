@@ -13,7 +13,7 @@ from echoloom.operators import joins as J
 from echoloom.operators import sampling as S
 from echoloom.operators.running import hash_ordinal
 from echoloom.plans import dims
-from echoloom.session import scratch_path
+from echoloom.session import inline_table, scratch_path
 from echoloom.sources import tables as T
 
 # ---- joins ------------------------------------------------------------------------------------
@@ -42,7 +42,7 @@ def j2(spark, sf):
 @query("j3_loss_weight_with_default", f"""WITH {LI}, w(bucket, weight) AS (VALUES ('RF', 1.15::DOUBLE), ('NO', 0.9::DOUBLE))
 SELECT bucket, count(*) AS n, round(sum(coalesce(weight, 1.0)), 6) AS weight FROM li LEFT JOIN w USING (bucket) GROUP BY bucket""")
 def j3(spark, sf):
-    w = spark.createDataFrame([("RF", 1.15), ("NO", 0.9)], "bucket string, weight double")
+    w = inline_table(spark, "bucket, weight", [("RF", 1.15), ("NO", 0.9)])
     return J.with_loss_weight(corpus(spark, sf), F.broadcast(w), "bucket").groupBy("bucket").agg(
         F.count(F.lit(1)).alias("n"), r6(F.sum("weight")).alias("weight"))
 

@@ -10,6 +10,7 @@ from echoloom.operators import metrics as M
 from echoloom.operators import ranking as K
 from echoloom.operators.running import exact_quantiles
 from echoloom.plans import dims
+from echoloom.session import inline_table
 
 THR = 0.68
 GRID20 = [round(0.05 * i, 2) for i in range(1, 20)]
@@ -172,7 +173,7 @@ SELECT bucket, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 6)
 FROM li GROUP BY bucket""")
 def m12(spark, sf):
     inv = K.inventory(corpus(spark, sf).withColumn("lvl", F.lit(20.0) * F.log10(F.col("p") + 1e-9)), "bucket", "lvl")
-    w = spark.createDataFrame(list(WEIGHTS.items()), "bucket string, weight double")
+    w = inline_table(spark, "bucket, weight", list(WEIGHTS.items()))
     return (inv.join(F.broadcast(w), "bucket", "left")
             .select("bucket", "n", r6("share_pct").alias("share_pct"), F.coalesce("weight", F.lit(1.0)).alias("weight"),
                     r6("min_level").alias("min_level"), r6("max_level").alias("max_level")))

@@ -206,18 +206,26 @@ def roll(x: Column, k) -> Column:
 
 # ---- interpolation ----------------------------------------------------------------------------
 
-def _lerp(x: Column, pos: Column) -> Column:
-    def read(p):
-        i = F.floor(p).cast("int")
-        lo, hi = at(x, i), at(x, F.least(i + 1, F.size(x) - 1))
-        return F.when(p >= F.size(x) - 1, at(x, F.size(x) - 1)).otherwise(lo + (hi - lo) * (p - i))
-    return let(pos, read)
+def _read_at(x: Column, positions: Column) -> Column:
+    """Linear interpolation of ``x`` at an array of 0-based positions; flat beyond the last sample.
+
+    Positions are built as their own array, so that a position is computed once and then only read.
+    """
+    def body(last):
+        def one(p):
+            i = F.floor(p).cast("int")
+            lo = F.get(x, i)
+            return F.when(p >= last, F.element_at(x, -1)).otherwise(lo + (F.get(x, i + 1) - lo) * (p - i))
+        return F.transform(positions, one)
+    return let(F.size(x) - 1, body)
 
 
 def resample(x: Column, n_out: Column) -> Column:
     """Linear interpolation on a grid that excludes the end point."""
-    return let(lit(n_out).cast("int"), lambda m: F.transform(
-        F.sequence(F.lit(0), m - 1), lambda j: _lerp(x, j.cast("double") * F.size(x) / m)))
+    def grid(m):
+        return let(F.size(x), lambda n: F.transform(
+            F.sequence(F.lit(0), m - 1), lambda j: j.cast("double") * n / m))
+    return let(lit(n_out).cast("int"), lambda m: _read_at(x, grid(m)))
 
 
 def speed_perturb(x: Column, factor) -> Column:
@@ -229,16 +237,16 @@ def speed_perturb(x: Column, factor) -> Column:
         cut = F.floor((m - n) / 2).cast("int")
         return F.when(m < n, F.concat(zeros(left), y, zeros(n - m - left))).otherwise(window(y, cut, n))
     return let(lit(factor), lambda f: F.when(F.abs(f - 1.0) < 0.02, x).otherwise(
-        let(resample(x, F.bround(n / f)), refit)))
+        let(resample(x, F.rint(n / f)), refit)))
 
 
 def cadence_warp(x: Column, beta) -> Column:
-    n = F.size(x)
-    def read(b):
-        return F.transform(F.sequence(F.lit(0), n - 1), lambda i: let(
-            i.cast("double") / (n - 1),
-            lambda t: _lerp(x, clip(t + b * t * (1.0 - t), 0.0, 1.0) * (n - 1))))
-    return let(lit(beta), read)
+    def grid(b):
+        def positions(last):
+            ts = F.transform(F.sequence(F.lit(0), last), lambda i: i.cast("double") / last)
+            return F.transform(ts, lambda t: clip(t + b * t * (1.0 - t), 0.0, 1.0) * last)
+        return let(F.size(x) - 1, positions)
+    return let(lit(beta), lambda b: _read_at(x, grid(b)))
 
 
 def downmix(channels: Column, mode: str = "mean") -> Column:
@@ -257,7 +265,7 @@ def standardise(channels: Column, sr, target_sr: int = 16000) -> Column:
     mono = downmix(channels)
     fitted = let(mono, lambda m: F.when(
         (lit(sr) != target_sr) & (F.size(m) > 1),
-        resample(m, F.bround(F.size(m) * F.lit(float(target_sr)) / lit(sr)))).otherwise(m))
+        resample(m, F.rint(F.size(m) * F.lit(float(target_sr)) / lit(sr)))).otherwise(m))
     return let(let(fitted, pad), lambda x: peak_normalise(x, 0.89))
 
 
@@ -290,7 +298,7 @@ def level_floor_lift(x: Column, target_db, floor_db: float = -70.0) -> Column:
 
 def quantise(x: Column, bits: int) -> Column:
     q = 2.0 ** bits / 2.0 - 0.5
-    return F.transform(x, lambda v: F.bround((clip(v, -1.0, 1.0) + 1.0) * F.lit(q)) / F.lit(q) - 1.0)
+    return F.transform(x, lambda v: F.rint((clip(v, -1.0, 1.0) + 1.0) * F.lit(q)) / F.lit(q) - 1.0)
 
 
 def burst_dropout(x: Column, starts: Column, width) -> Column:

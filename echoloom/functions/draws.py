@@ -56,12 +56,13 @@ def cumulative(weights: dict) -> list[tuple[str, float, float]]:
 def weighted(u: Column, weights: dict) -> Column:
     """Inverse-CDF draw: the first name whose cumulative share exceeds ``u``."""
     steps = cumulative(weights)
-    expr = None
-    for name, _, hi in steps[:-1]:
-        cond = u < F.lit(hi)
-        expr = F.when(cond, F.lit(name)) if expr is None else expr.when(cond, F.lit(name))
-    last = F.lit(steps[-1][0])
-    return last if expr is None else expr.otherwise(last)
+
+    def pick(v: Column) -> Column:
+        expr = F
+        for name, _, hi in steps[:-1]:
+            expr = expr.when(v < F.lit(hi), F.lit(name))
+        return F.lit(steps[-1][0]) if expr is F else expr.otherwise(F.lit(steps[-1][0]))
+    return F.element_at(F.transform(F.array(u), lambda v: pick(v)), 1)       # the draw is computed once
 
 
 def bernoulli(u: Column, p) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from echoloom.functions import arrays as A
 from echoloom.functions.draws import in_range, uniform
 from echoloom.operators.running import hash_ordinal
+from echoloom.session import inline_table
 
 
 def hop_windows(clips: DataFrame, x: str, win: int, hop: int, inclusive: bool = True, every: int = 1,
@@ -74,7 +75,7 @@ def mel_triangles(rate: int = 16000, n_fft: int = 512, bands: int = 40, lo: floa
 
 
 def mel_table(spark: SparkSession, **kw) -> DataFrame:
-    return spark.createDataFrame(mel_triangles(**kw), "bin int, band int, weight double")
+    return inline_table(spark, "bin, band, weight", mel_triangles(**kw))
 
 
 def mel_energy(power: DataFrame, key: list[str], table: DataFrame) -> DataFrame:

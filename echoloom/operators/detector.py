@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from echoloom.operators.chunks import CHUNK, chunk_window, with_halo
-from echoloom.session import materialize
+from echoloom.session import inline_table, materialize
 
 BLOCK = 4096      # chunks per block
 
@@ -243,11 +243,11 @@ def _entries(items: Column, key: str, reach: int, width: int, enter: Column) ->
 
 
 def policy_table(spark, policies: list[Policy]) -> DataFrame:
-    """The settings as a table keyed by ``pid`` (one row per setting, so always small)."""
-    rows = [{"pid": i, **asdict(p)} for i, p in enumerate(policies)]
-    return spark.createDataFrame(rows, schema=(
-        "pid int, threshold double, agg string, need int, span int, refractory int, "
-        "variant string, alpha double, decay double, keep_score boolean"))
+    """The settings as a constant table keyed by ``pid``."""
+    names = list(asdict(policies[0]))
+    rows = [(i, *[float(v) if k in ("threshold", "alpha", "decay") else v for k, v in asdict(p).items()])
+            for i, p in enumerate(policies)]
+    return inline_table(spark, ", ".join(["pid", *names]), rows)
 
 
 def raw_triggers(scores: DataFrame, threshold: float, by: list[str]) -> DataFrame:

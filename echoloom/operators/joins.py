@@ -9,6 +9,7 @@ from echoloom.operators.running import hash_ordinal
 from echoloom.operators.sampling import draw_clips
 from echoloom.functions.draws import uniform
 from echoloom.plans import dims
+from echoloom.session import checked_broadcast
 
 
 def keep_existing(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
@@ -54,9 +55,12 @@ def draw_layers(samples: DataFrame, key: str, n_layers: Column, snr: Column, cli
 
 
 def cyclic(samples: DataFrame, index: str, bases: DataFrame, base_key: str, start: int = 0) -> DataFrame:
-    """Sample i gets base (start + i) mod n: an equi-join on a number that is unique per base."""
+    """Sample i gets base (start + i) mod n: an equi-join on a number that is unique per base.
+
+    Few bases mean few join keys, so the base table is broadcast when it is small.
+    """
     n = bases.agg(F.count(F.lit(1))).scalar()
-    numbered = hash_ordinal(bases, [], [base_key], 0, "cycle", "_i")
+    numbered = checked_broadcast(hash_ordinal(bases, [], [base_key], 0, "cycle", "_i"))
     return samples.withColumn("_i", F.pmod(F.lit(start) + F.col(index), n)).join(numbered, "_i").drop("_i")
 
 

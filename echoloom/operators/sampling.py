@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from echoloom.functions.draws import bernoulli, choose, digest, in_range, integer_in, uniform, weighted
-from echoloom.operators.running import ALL, flag_lowest, hash_ordinal, listing_ordinal, take_random
+from echoloom.operators.running import flag_lowest, hash_ordinal, listing_ordinal, take_random
 from echoloom.plans import dims
+from echoloom.session import checked_broadcast
 
 __all__ = ["take_random"]
 
@@ -30,7 +31,7 @@ def clip_bank(clips: DataFrame, klass: str, clip: str, seed: int, exclude: list
     # one row per class
     classes = sizes.withColumn("class_idx", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(klass)) - 1)
     bank = hash_ordinal(pool, [klass], [clip], seed, "bank", "clip_idx")
-    return bank, classes
+    return bank, checked_broadcast(classes)
 
 
 def draw_clips(samples: DataFrame, key: list, clips: DataFrame, klass: str, clip: str, seed: int,

@@ -5,6 +5,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from echoloom.session import inline_table
+
 # Mixture buckets. bucket, content, recipe, share, loss weight.
 BUCKETS = [
     ("P0_word_direct", "word", "M0", 0.10, 1.00),
@@ -75,14 +77,13 @@ GAINS_DB = [-24, -18, -12, -6, 0, 6, 12, 18]
 
 
 def bucket_dim(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(
-        BUCKETS, "bucket string, content string, recipe string, share double, loss_weight double")
+    return inline_table(spark, "bucket, content, recipe, share, loss_weight", BUCKETS)
 
 
 def recipe_dim(spark: SparkSession) -> DataFrame:
-    rows = [(r, n, [{"lo": lo, "hi": hi} for lo, hi in snr], a[0], a[1]) for r, n, snr, a in RECIPES]
-    return spark.createDataFrame(
-        rows, "recipe string, layers int, snr array<struct<lo:double,hi:double>>, aggr_lo double, aggr_hi double")
+    """recipe, layers, snr array<struct<lo,hi>>, aggr_lo, aggr_hi"""
+    rows = [(r, n, list(snr), a[0], a[1]) for r, n, snr, a in RECIPES]
+    return inline_table(spark, "recipe, layers, snr, aggr_lo, aggr_hi", rows)
 
 
 def shares(positive: bool) -> dict[str, float]:

@@ -47,6 +47,22 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def inline_table(spark: SparkSession, columns: str, rows: list[tuple]) -> DataFrame:
+    """A constant table as a local relation: its exact size is known to the optimiser."""
+    def one(v) -> str:
+        if isinstance(v, bool):
+            return str(v).lower()
+        if isinstance(v, float):
+            return f"CAST({v!r} AS DOUBLE)"
+        if isinstance(v, (list, tuple)) and not v:
+            return "CAST(array() AS ARRAY<STRUCT<lo: DOUBLE, hi: DOUBLE>>)"
+        if isinstance(v, (list, tuple)):
+            return "array(" + ", ".join(f"named_struct('lo', {one(lo)}, 'hi', {one(hi)})" for lo, hi in v) + ")"
+        return f"'{v}'" if isinstance(v, str) else str(v)
+    body = ", ".join("(" + ", ".join(one(v) for v in row) + ")" for row in rows)
+    return spark.sql(f"SELECT * FROM VALUES {body} AS t({columns})")
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 

@@ -39,7 +39,7 @@ def threshold_table(df: DataFrame, thresholds: list[float]) -> DataFrame:
     """
     ts = sorted(thresholds)
     grid = F.array(*[F.lit(float(t)) for t in ts])
-    level = F.size(F.filter(grid, lambda t: t <= F.col("p")))
+    level = sum((F.col("p") >= F.lit(float(t))).cast("int") for t in ts)      # compiled, unlike a lambda
     bins = df.groupBy(level.alias("level")).agg(F.sum(_is(1)).alias("pos"), F.sum(_is(0)).alias("neg"))
     spread = bins.select("pos", "neg", F.posexplode(grid).alias("i", "threshold"), "level")
     reached = F.col("level") > F.col("i")

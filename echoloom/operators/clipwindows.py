@@ -46,10 +46,10 @@ def babble(seeds: DataFrame, key: str, talkers: str, pool: DataFrame, clip: str,
     parts = seeds.select(key, F.explode(F.sequence(F.lit(0), F.col(talkers).cast("int") - 1)).alias("talker"))
     parts = parts.withColumn("_i", F.floor(uniform(seed, "talker", key, "talker") * n).cast("bigint")).withColumn(
         "_g", F.pow(F.lit(10.0), in_range(uniform(seed, "talker-gain", key, "talker"), -13.0, 3.0) / 20.0))
-    samples = parts.join(bank, "_i").select(key, "_g", F.posexplode(x).alias("pos", "v"))
-    summed = samples.groupBy(key, "pos").agg(F.sum(F.col("v") * F.col("_g")).alias("v"))
-    mixed = summed.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", "v"))).alias("s"))
-    y = F.transform("s", lambda v: v["v"])
+    samples = parts.join(bank, "_i").select(key, "_g", F.posexplode(x).alias("_pos", "_v"))
+    summed = samples.groupBy(key, "_pos").agg(F.sum(F.col("_v") * F.col("_g")).alias("_v"))
+    mixed = summed.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_pos", "_v"))).alias("_mix"))
+    y = F.transform("_mix", lambda v: v["_v"])
     return mixed.select(key, A.let(y, lambda s: A.let(A.peak(s), lambda m: F.when(
         m > 0, F.transform(s, lambda v: v / m)).otherwise(s))).alias("mix"))
 

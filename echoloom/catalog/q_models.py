@@ -19,9 +19,11 @@ from echoloom.operators import joins as J
 from echoloom.operators import mining as H
 from echoloom.operators import sampling as S
 from echoloom.operators import scoring as T
+from echoloom.operators.ranking import top_n
 from echoloom.operators.metrics import at_budgets
 from echoloom.plans import corpus as P
 from echoloom.plans import dims
+from echoloom.session import materialize
 from echoloom.sources import tables as SRC
 
 SEED = 31
@@ -159,13 +161,13 @@ def _deployed(spark, sf):
     pos = D.integer_in(D.uniform(SEED, "pos", "clip_id", "variant"), 0, 41).cast("int")
     bed = F.when(F.col("snr") > 90, A.zeros(64)).otherwise(F.col("x"))
     spliced = A.splice_over_bed(F.slice("z", 1, 24), bed, pos, F.col("snr"), 64)
-    return v.withColumn("p", A.let(spliced, T.linear_score)).drop("x", "z")
+    # scored once; thresholds and the list of misses read the stored scores
+    return materialize(v.withColumn("p", A.let(spliced, T.linear_score)).drop("x", "z"), "scores")
 
 
 @query("h5_deployed_misses", H5_SQL + " SELECT clip_id, variant, snr, round(p, 6) AS p FROM p WHERE p < 0.4 ORDER BY round(p, 9), clip_id, variant LIMIT 6000")
 def h5(spark, sf):
     miss = _deployed(spark, sf).filter("p < 0.4").withColumn("pr", F.round("p", 9))
-    from echoloom.operators.ranking import top_n
     return top_n(miss, "pr", ["clip_id", "variant"], 6000, worst=True).select("clip_id", F.col("variant").cast("bigint").alias("variant"), "snr", r6("p").alias("p"))
 
 
@@ -265,3 +267,14 @@ def h9b(spark, sf):
     out = P.build(samples, "row_key", signals(spark, sf), "class", "clip_id", "x", 64, SEED)
     return out.groupBy("split", "bucket").agg(
         F.count(F.lit(1)).alias("n"), r6(F.avg("snr"), 4).alias("snr"), r6(F.min("lvl"), 4).alias("min_lvl"), r6(F.max("lvl"), 4).alias("max_lvl"))
+
+
+@query("h9_corpus_features")
+def h9c(spark, sf):
+    """One-second signals and their log-mel features for one planned sample per document."""
+    docs = table(spark, sf, "documents").select("doc_id").join(table(spark, sf, "labels").select("doc_id", "quality"), "doc_id", "left")
+    samples = docs.select("doc_id", F.coalesce("quality", F.lit(0)).alias("y"))
+    f = P.build_features(samples, "doc_id", signals(spark, sf), "class", "clip_id", "x", 16000, SEED,
+                         prepare=lambda c: A.tile_to(c, 16000))
+    return f.groupBy("split", "bucket").agg(
+        F.count(F.lit(1)).alias("n"), r6(F.avg(A.total(F.col("features").cast("array<double>")) / 1960), 3).alias("mean_feature"))

@@ -5,11 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from echoloom.operators.running import hash_ordinal
+from echoloom.operators.running import hash_ordinal, ladder, running, value_bucket
+
+
+#: list lengths up to which every task may simply send its own best rows to one merge
+SHORT_LIST = 1000
 
 
 def top_n(df: DataFrame, score: str, key: list[str], n: int, worst: bool = False) -> DataFrame:
-    """Highest (or lowest) ``n`` scores; equal scores in key order. The limit is the operator."""
+    """Highest (or lowest) ``n`` scores; equal scores in key order. The limit is the operator.
+
+    A sort with a limit sends up to ``n`` rows per input partition to one merge. For longer lists
+    the score of the n-th row is found first, from counts per distinct score, and only rows that
+    reach it are sorted.
+    """
+    if n > SHORT_LIST:
+        steps = ladder(df, [], score, {"_n": F.lit(1)}, descending=not worst).filter(F.col("_n_cum") >= n)
+        cut = steps.agg((F.min(score) if worst else F.max(score))).scalar()     # NULL: fewer than n rows
+        reaches = F.col(score) <= cut if worst else F.col(score) >= cut
+        df = df.filter(F.coalesce(reaches, F.lit(True)))
     first = F.col(score).asc() if worst else F.col(score).desc()
     return df.orderBy(first, *key).limit(n)
 
@@ -97,8 +111,6 @@ def non_dominated(df: DataFrame, better_high: str, better_low: str) -> DataFrame
     One pass over the costs in order: a row stays if its capacity exceeds everything cheaper and
     is the best at its own cost. No pair of rows is formed.
     """
-    from echoloom.operators.running import running, value_bucket
-
     per_cost = df.groupBy(better_low).agg(F.max(better_high).alias("_top"))
     before = running(per_cost, [], [better_low], value_bucket(F.col(better_low), 0.01),
                      {"_best_below": ("max", F.col("_top"), False)})

@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from echoloom.functions import arrays as A
 from echoloom.functions import draws as D
+from echoloom.functions.features import to_features
+from echoloom.functions.render import render
 from echoloom.operators import sampling as S
 from echoloom.operators.joins import layer_rows, with_mixture
 from echoloom.plans import dims
@@ -26,14 +33,35 @@ def plan(samples: DataFrame, key: str, seed: int) -> DataFrame:
     return S.talker_conditions(p, [key], seed)
 
 
-def build(samples: DataFrame, key: str, clips: DataFrame, klass: str, clip: str, x: str, window: int, seed: int) -> DataFrame:
-    """One finished signal per planned sample, with its split.
+CONTROLS = ["speed", "offset", "beta", "burst", "bits", "clip_neg", "clip_pos", "level"]
+
+
+def controls(p: DataFrame, key: str, window: int, seed: int) -> DataFrame:
+    """Every random choice of the signal chain as a column; NULL switches a step off."""
+    u = lambda salt: D.uniform(seed, salt, key)                        # noqa: E731
+    clipped = u("clip") < 0.30
+    run = _burst_width(window)
+    return p.select(
+        "*", F.when((F.col("mix_content") == "word") & (u("speed-on") < 0.85), D.in_range(u("speed"), 0.80, 1.22))
+        .otherwise(F.lit(1.0)).alias("speed"),
+        u("offset").alias("offset"), F.when(F.col("cadence"), D.in_range(u("beta"), -0.25, 0.25)).alias("beta"),
+        F.when(F.col("dropout"), D.integer_in(u("burst"), 0, max(1, window - run))).alias("burst"),
+        F.when(F.col("bitcrush"), F.lit(8)).alias("bits"),
+        F.when(clipped, D.in_range(u("clip-neg"), 0.35, 1.0)).alias("clip_neg"),
+        F.when(clipped, D.in_range(u("clip-pos"), 0.35, 1.0)).alias("clip_pos"))
+
+
+def _burst_width(window: int) -> int:
+    return max(1, int(0.03 * window))
+
+
+def gather(samples: DataFrame, key: str, clips: DataFrame, klass: str, clip: str, x: str, window: int, seed: int) -> DataFrame:
+    """Plan, split, controls, content clip (``base``) and noise layers (``stack``) per sample.
 
     The plan is written once (narrow rows), because three branches read it. Content and noise
-    clips are drawn by number and fetched with equi-joins on the clip id; every stage after that
-    is a column expression over the sample's own arrays.
+    clips are drawn by number and fetched with equi-joins on the clip id.
     """
-    p = materialize(split(plan(samples, key, seed), key), "plan")
+    p = materialize(controls(split(plan(samples, key, seed), key), key, window, seed), "plan")
     sound = clips.select(clip, x)
     noise = (layer_rows(p, key, F.col("layers"), F.col("snr"), clips, klass, clip, seed)
              .join(sound.select(F.col(clip).alias("layer_clip"), F.col(x).alias("samples")), "layer_clip"))
@@ -42,9 +70,50 @@ def build(samples: DataFrame, key: str, clips: DataFrame, klass: str, clip: str,
     drawn = S.draw_clips(p.drop("layers", "snr"), [key], clips, klass, clip, seed, "content").drop(klass)
     j = drawn.join(sound.withColumnRenamed(x, "base"), clip).join(stack, key, "left")
     j = j.withColumn("stack", F.coalesce("stack", F.array().cast(stack.schema["stack"].dataType)))
-    j = j.select(key, "y", F.col("mix").alias("bucket"), "split", _group(F.col("y"), F.col("stack")).alias("group"),
-                 _snr(F.col("stack")).alias("snr"), _signal(key, window, seed).alias("s"))
-    return j.select(key, "y", "bucket", "split", "group", "snr", F.col("s.level").alias("lvl"), F.col("s.samples").alias("x"))
+    return j.select(key, "y", F.col("mix").alias("bucket"), "split", _group(F.col("y"), F.col("stack")).alias("group"),
+                    _snr(F.col("stack")).alias("snr"), *CONTROLS, "base", "stack")
+
+
+KEPT = ["y", "bucket", "split", "group", "snr"]
+
+
+def build(samples: DataFrame, key: str, clips: DataFrame, klass: str, clip: str, x: str, window: int, seed: int) -> DataFrame:
+    """One finished signal ``x`` per planned sample, as column expressions (short signals)."""
+    j = gather(samples, key, clips, klass, clip, x, window, seed).withColumn("s", _signal(window))
+    return j.select(key, *KEPT, F.col("s.level").alias("lvl"), F.col("s.samples").alias("x"))
+
+
+def build_features(samples: DataFrame, key: str, clips: DataFrame, klass: str, clip: str, x: str, window: int, seed: int,
+                   features: bool = True, prepare: Callable[[Column], Column] = lambda c: c) -> DataFrame:
+    """The same samples rendered in Arrow batches, as log-mel features (or signals).
+
+    ``prepare`` turns a stored clip into samples after the joins, so that the shuffles carry the
+    stored form. Rendering and features share one pass through Python.
+    """
+    j = gather(samples, key, clips, klass, clip, x, window, seed)
+    j = j.select(key, *KEPT, *CONTROLS, prepare(F.col("base")).alias("base"),
+                 F.transform("stack", lambda v: prepare(v["samples"])).alias("noises"),
+                 F.transform("stack", lambda v: v["snr"]).alias("snrs"))
+    keep = [f for f in j.schema.fields if f.name in (key, *KEPT)]
+    names = [f.name for f in keep]
+    schema = T.StructType(keep + [T.StructField("lvl", T.DoubleType()), T.StructField(
+        "features" if features else "x", T.ArrayType(T.FloatType() if features else T.DoubleType()))])
+    column = schema.fields[-1].name
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for lo in range(0, len(b), SUB_BATCH):
+                part = b.iloc[lo: lo + SUB_BATCH]
+                done = [render(r.base, r.noises, r.snrs, r, window) for r in part.itertuples()]
+                x = np.stack([d[0] for d in done])
+                out = part[names].copy()
+                out["lvl"] = [d[1] for d in done]
+                out[column] = list(to_features(x).astype(np.float32).reshape(len(x), -1) if features else x)
+                yield out
+    return j.mapInPandas(run, schema)
+
+
+SUB_BATCH = 64
 
 
 def _group(y: Column, stack: Column) -> Column:
@@ -57,24 +126,19 @@ def _snr(stack: Column) -> Column:
     return F.when(F.size(stack) > 0, F.aggregate(stack, F.lit(0.0), lambda a, v: a + v["snr"]) / F.size(stack))
 
 
-def _signal(key: str, window: int, seed: int) -> Column:
+def _signal(window: int) -> Column:
     """struct(samples, level): speed, fit, layers, effects and level of one sample."""
-    u = lambda salt: D.uniform(seed, salt, key)                        # noqa: E731
-    word = F.col("base")
-    speed = D.in_range(u("speed"), 0.80, 1.22)
-    sped = F.when((F.col("mix_content") == "word") & (u("speed-on") < 0.85), A.speed_perturb(word, speed)).otherwise(word)
-    placed = A.let(sped, lambda s: A.fit_to_window(s, window, u("offset")))
-    mixed = A.let(placed, lambda s: A.mix_layers(s, F.transform("stack", lambda v: F.struct(
+    c = F.col
+    sped = A.let(A.speed_perturb(c("base"), c("speed")), lambda s: A.fit_to_window(s, window, c("offset")))
+    mixed = A.let(sped, lambda s: A.mix_layers(s, F.transform("stack", lambda v: F.struct(
         A.tile_to(v["samples"], window).alias("samples"), v["snr"].alias("snr")))))
-    warped = A.let(mixed, lambda s: F.when(F.col("cadence"), A.cadence_warp(s, D.in_range(u("beta"), -0.25, 0.25))).otherwise(s))
-    run = max(1, int(0.03 * window))
-    starts = F.array(D.integer_in(u("burst"), 0, max(1, window - run)))
-    dropped = A.let(warped, lambda s: F.when(F.col("dropout"), A.burst_dropout(s, starts, run)).otherwise(s))
-    crushed = A.let(dropped, lambda s: F.when(F.col("bitcrush"), A.quantise(s, 8)).otherwise(s))
-    guarded = A.let(crushed, A.peak_guard)
-    levelled = A.let(guarded, lambda s: A.level_policy(
-        s, u("clip") < 0.30, D.in_range(u("clip-neg"), 0.35, 1.0), D.in_range(u("clip-pos"), 0.35, 1.0), F.col("level")))
-    return A.let(levelled, lambda s: A.level_floor_lift(s["samples"], F.col("level")))
+    warped = A.let(mixed, lambda s: F.when(c("beta").isNotNull(), A.cadence_warp(s, c("beta"))).otherwise(s))
+    dropped = A.let(warped, lambda s: F.when(
+        c("burst").isNotNull(), A.burst_dropout(s, F.array("burst"), _burst_width(window))).otherwise(s))
+    crushed = A.let(dropped, lambda s: F.when(c("bits").isNotNull(), A.quantise(s, 8)).otherwise(s))
+    levelled = A.let(A.let(crushed, A.peak_guard), lambda s: A.level_policy(
+        s, c("clip_neg").isNotNull(), c("clip_neg"), c("clip_pos"), c("level")))
+    return A.let(levelled, lambda s: A.level_floor_lift(s["samples"], c("level")))
 
 
 def split(planned: DataFrame, key: str, seed: int = 7) -> DataFrame:

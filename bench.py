@@ -19,7 +19,7 @@ HEADLINE = [
     "k1_top_by_score", "k11_hardest_negatives_in_batch", "g1_weighted_bucket_draw", "g3_class_uniform_clip_draw",
     "g14_stratified_split", "g15_shuffled_split", "j6_samples_with_noise_layers", "a5_mix_at_snr",
     "a11_babble_live", "w1_hop_windows_inclusive", "a31_log_mel_features", "m24_offset_stress",
-    "h5_deployed_misses", "h6_fine_tune_set", "h9_corpus_plan", "h9_corpus_build",
+    "h5_deployed_misses", "h6_fine_tune_set", "h9_corpus_plan", "h9_corpus_build", "h9_corpus_features",
 ]
 
 

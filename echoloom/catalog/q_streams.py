@@ -14,6 +14,7 @@ from echoloom.operators import mining as H
 from echoloom.operators.ranking import top_n
 from echoloom.operators.running import exact_quantiles, running
 from echoloom.plans import dims
+from echoloom.session import materialize
 
 THR = 0.68
 MAIN = [D.Policy(THR)]
@@ -216,6 +217,12 @@ def m23(spark, sf):
     return t.select("snr", "trials", "detected", "control_hits", r6("detection").alias("detection"), r6("control_fa_per_hour").alias("control_fa_per_hour"))
 
 
+@query("s17_experiment_result_sink", _det_sql(MAIN, CONTROL_TAIL + """ SELECT snr, round(count(*) FILTER (hit) / count(*), 6) AS detection,
+  round(sum(ctl) / greatest(sum(steps) * 0.1 / 3600.0, 1e-9), 6) AS control_fa_per_hour FROM pb GROUP BY snr""", "arm", ARMS))
+def s17(spark, sf):
+    return materialize(m23(spark, sf).select("snr", "detection", "control_fa_per_hour"), "experiment")
+
+
 @query("j14_trial_with_matched_control", _det_sql(MAIN, CONTROL_TAIL + " SELECT bed, snr, hit, ctl AS control_hits FROM pb", "arm", ARMS))
 def j14(spark, sf):
     s = streams(spark, sf)

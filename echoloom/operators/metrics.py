@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from echoloom.operators.running import exact_quantiles, ladder
+from echoloom.operators.running import exact_quantiles, join_null_safe, ladder
 
 
 
@@ -121,7 +121,7 @@ def bucket_table(df: DataFrame, threshold: float, y: int, by: list[str]) -> Data
     hit = F.col("p") >= F.lit(threshold)
     means = sel.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg("p").alias("mean_conf"),
                                  F.count_if(hit).alias(count))
-    out = means.join(exact_quantiles(sel, by, "p", {tail: q}), by)
+    out = join_null_safe(means, exact_quantiles(sel, by, "p", {tail: q}), by)
     out = out.withColumn(rate, F.col(count) / F.col("n"))
     return out.withColumn("missed", F.lit(1.0) - F.col("recall")) if y == 1 else out
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from echoloom.operators.ranking import top_n
-from echoloom.operators.running import exact_quantiles, hash_ordinal, take_random
+from echoloom.operators.running import exact_quantiles, hash_ordinal, join_null_safe, take_random
 from echoloom.operators.sampling import head_val, union_with_provenance
 from echoloom.session import materialize
 
@@ -40,7 +40,7 @@ def bucket_histogram(df: DataFrame) -> DataFrame:
 def miss_profile(df: DataFrame, threshold: float, by: list[str]) -> DataFrame:
     """Share below the threshold and median score per group."""
     miss = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("p") < F.lit(threshold)).cast("int")).alias("miss"))
-    return miss.join(exact_quantiles(df, by, "p", {"median": 0.5}), by)
+    return join_null_safe(miss, exact_quantiles(df, by, "p", {"median": 0.5}), by)
 
 
 def fine_tune_set(corpus: DataFrame, mined_neg: DataFrame, mined_pos: DataFrame, key: list[str], n_pos: int,

@@ -14,11 +14,23 @@ from pyspark.sql import functions as F
 from echoloom.functions import draws
 from echoloom.session import checked_broadcast, materialize
 
-ALL = "_all"          # constant group for "no key"
+KEY = "_key"
+LOWEST = -(1 << 62)
 
 
-def _keys(df: DataFrame, by: list[str]) -> tuple[DataFrame, list[str]]:
-    return (df, list(by)) if by else (df.withColumn(ALL, F.lit(0)), [ALL])
+def _keyed(df: DataFrame, by: list[str]) -> DataFrame:
+    """The key as one struct. A struct is never NULL and compares NULL fields as equal, so rows
+    with a NULL key stay in the joins below; without a key it is a constant."""
+    return df.withColumn(KEY, F.struct(*by) if by else F.struct(F.lit(0).alias("all")))
+
+
+def join_null_safe(left: DataFrame, right: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join that matches NULL keys, for small grouped tables."""
+    r = right.withColumnsRenamed({k: f"_r_{k}" for k in by})
+    cond = F.lit(True)
+    for k in by:
+        cond = cond & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
+    return left.join(r, cond, how).drop(*[f"_r_{k}" for k in by])
 
 
 def running(df: DataFrame, by: list[str], order: list, bucket: Column,
@@ -28,18 +40,17 @@ def running(df: DataFrame, by: list[str], order: list, bucket: Column,
     ``measures``: name -> (kind, expression, inclusive) with kind 'sum' or 'max'. ``bucket`` must
     not decrease along ``order``; it bounds the rows one task sorts.
     """
-    src, keys = _keys(df, by)
-    src = src.withColumn("_b", bucket)
+    src = _keyed(df, by).withColumn("_b", F.coalesce(bucket, F.lit(LOWEST)))
     for name, (_, expr, _) in measures.items():
         src = src.withColumn(f"_v_{name}", expr)
     agg = {"sum": F.sum, "max": F.max}
-    part = src.groupBy(*keys, "_b").agg(
+    part = src.groupBy(KEY, "_b").agg(
         *[agg[k](f"_v_{n}").alias(f"_p_{n}") for n, (k, _, _) in measures.items()])
-    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    carried = part.select(*keys, "_b", *[
+    before = Window.partitionBy(KEY).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    carried = part.select(KEY, "_b", *[
         agg[k](f"_p_{n}").over(before).alias(f"_c_{n}") for n, (k, _, _) in measures.items()])
-    joined = src.join(carried, [*keys, "_b"])
-    inside = Window.partitionBy(*keys, "_b").orderBy(*order)
+    joined = src.join(carried, [KEY, "_b"])
+    inside = Window.partitionBy(KEY, "_b").orderBy(*order)
     out = joined
     for name, (kind, _, inclusive) in measures.items():
         w = inside.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
@@ -49,7 +60,7 @@ def running(df: DataFrame, by: list[str], order: list, bucket: Column,
         else:
             val = F.greatest(carry, here)          # greatest skips nulls
         out = out.withColumn(name, val)
-    return out.drop("_b", ALL, *[f"_v_{n}" for n in measures], *[f"_c_{n}" for n in measures])
+    return out.drop("_b", KEY, *[f"_v_{n}" for n in measures], *[f"_c_{n}" for n in measures])
 
 
 def ordinal_by_bucket(df: DataFrame, by: list[str], order: list, bucket: Column,
@@ -97,37 +108,36 @@ def hash_cutoffs(df: DataFrame, by: list[str], key: list[str], takes: dict, seed
     ``takes`` maps a name to a function from the group size to a count. Counts per digest slice
     find the slice that holds each cut; only those slices are ranked. A take of 0 gives NULL.
     """
-    rows, keys = _keys(df.select(*by, *key), by)
+    rows = _keyed(df.select(*by, *key), by)
     rows = rows.withColumn("_h", draws.digest(seed, salt, *key)).withColumn("_b", hash_bucket(F.col("_h")))
-    counts = rows.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy(*keys)
+    counts = rows.groupBy(KEY, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy(KEY)
     upto = w.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
     wanted = F.array(*[F.struct(F.lit(n).alias("name"), F.least(F.col("_all_n"), f(F.col("_all_n"))).cast("long").alias("k"))
                        for n, f in takes.items()])
     cut = (counts.withColumn("_cum", F.sum("_n").over(upto)).withColumn("_all_n", F.sum("_n").over(w))
            .withColumn("_w", F.explode(wanted))
            .filter((F.col("_cum") - F.col("_n") < F.col("_w.k")) & (F.col("_cum") >= F.col("_w.k")))
-           .select(*keys, "_b", F.col("_w.name").alias("_name"),
+           .select(KEY, "_b", F.col("_w.name").alias("_name"),
                    (F.col("_w.k") - (F.col("_cum") - F.col("_n"))).alias("_rest")))
     side = F.broadcast(cut) if not by else checked_broadcast(cut)  # at most one row per name without a key
-    within = Window.partitionBy(*keys, "_b", "_name").orderBy("_h", *key)
-    hit = (rows.join(side, [*keys, "_b"]).withColumn("_rn", F.row_number().over(within))
+    within = Window.partitionBy(KEY, "_b", "_name").orderBy("_h", *key)
+    hit = (rows.join(side, [KEY, "_b"]).withColumn("_rn", F.row_number().over(within))
            .filter(F.col("_rn") == F.col("_rest")))
     last = F.struct("_h", *key)
-    return hit.groupBy(*keys).agg(*[F.max(F.when(F.col("_name") == n, last)).alias(f"_cut_{n}") for n in takes])
+    return hit.groupBy(KEY).agg(*[F.max(F.when(F.col("_name") == n, last)).alias(f"_cut_{n}") for n in takes])
 
 
 def flag_lowest(df: DataFrame, by: list[str], key: list[str], takes: dict, seed: int, salt: str) -> DataFrame:
     """One boolean column per name: the row is among the first ``take(n)`` of its group in a keyed
     permutation. The wide rows are not shuffled when the table of cuts is small."""
     cut = hash_cutoffs(df, by, key, takes, seed, salt)
-    src, keys = _keys(df, by)
     side = F.broadcast(cut) if not by else checked_broadcast(cut)     # one row without a key
-    out = src.join(side, keys, "left")
+    out = _keyed(df, by).join(side, KEY, "left")
     mine = F.struct(draws.digest(seed, salt, *key).alias("_h"), *[F.col(k) for k in key])
     for n in takes:
         out = out.withColumn(n, F.coalesce(mine <= F.col(f"_cut_{n}"), F.lit(False))).drop(f"_cut_{n}")
-    return out.drop(ALL)
+    return out.drop(KEY)
 
 
 def take_random(df: DataFrame, n: int, key: list[str], seed: int, salt: str) -> DataFrame:
@@ -151,24 +161,23 @@ def ladder(df: DataFrame, by: list[str], value: str, counts: dict[str, Column],
     and including the value, ``c_total``. Equal values collapse before anything is sorted, so a
     value shared by a third of the rows is one row here.
     """
-    src, keys = _keys(df, by)
-    pts = (src.groupBy(*keys, value).agg(*[F.sum(e).cast("long").alias(c) for c, e in counts.items()])
-           .withColumn("_b", value_bucket(F.col(value), scale)))
-    part = pts.groupBy(*keys, "_b").agg(*[F.sum(c).alias(f"_p_{c}") for c in counts])
+    pts = (_keyed(df, by).groupBy(KEY, value).agg(*[F.sum(e).cast("long").alias(c) for c, e in counts.items()])
+           .withColumn("_b", F.coalesce(value_bucket(F.col(value), scale), F.lit(LOWEST))))
+    part = pts.groupBy(KEY, "_b").agg(*[F.sum(c).alias(f"_p_{c}") for c in counts])
     direction = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
-    whole = Window.partitionBy(*keys)
+    whole = Window.partitionBy(KEY)
     before = whole.orderBy(direction("_b")).rowsBetween(Window.unboundedPreceding, -1)
-    carried = part.select(*keys, "_b", *[
+    carried = part.select(KEY, "_b", *[
         x for c in counts for x in (
             F.coalesce(F.sum(f"_p_{c}").over(before), F.lit(0)).alias(f"_c_{c}"),
             F.sum(f"_p_{c}").over(whole).alias(f"{c}_total"))])
-    inside = (Window.partitionBy(*keys, "_b").orderBy(direction(value))
+    inside = (Window.partitionBy(KEY, "_b").orderBy(direction(value))
               .rowsBetween(Window.unboundedPreceding, 0))
-    out = pts.join(carried, [*keys, "_b"])
-    for c in counts:
-        out = out.withColumn(f"{c}_cum", F.col(f"_c_{c}") + F.sum(c).over(inside))
-    return out.drop("_b", *[f"_c_{c}" for c in counts]) if by else \
-        out.drop("_b", ALL, *[f"_c_{c}" for c in counts])
+    out = pts.join(carried, [KEY, "_b"])
+    return out.select(
+        *[F.col(KEY)[k].alias(k) for k in by], value, *counts,
+        *[(F.col(f"_c_{c}") + F.sum(c).over(inside)).alias(f"{c}_cum") for c in counts],
+        *[f"{c}_total" for c in counts])
 
 
 def exact_quantiles(df: DataFrame, by: list[str], value: str, qs: dict[str, float],

@@ -46,7 +46,9 @@ def draw_clips(samples: DataFrame, key: list, clips: DataFrame, klass: str, clip
     drawn = samples.withColumn("class_idx", F.floor(uniform(seed, f"{salt}-class", *key) * n_classes).cast("int"))
     with_class = drawn.join(classes, "class_idx").withColumn(
         "clip_idx", F.floor(uniform(seed, f"{salt}-clip", *key) * F.col("n_clips")).cast("bigint"))
-    return with_class.join(bank, [klass, "clip_idx"]).drop("class_idx", "clip_idx", "n_clips")
+    spot = F.struct(F.col(klass).alias("c"), F.col("clip_idx").alias("i"))          # also matches a NULL class
+    numbered = bank.select(spot.alias("_spot"), clip)
+    return with_class.withColumn("_spot", spot).join(numbered, "_spot").drop("_spot", "class_idx", "clip_idx", "n_clips")
 
 
 def distinct_pair(df: DataFrame, key: list, n: Column, seed: int) -> DataFrame:

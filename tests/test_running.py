@@ -88,3 +88,15 @@ def test_quantiles_outside_the_unit_interval(spark):
     df = spark.createDataFrame([(v,) for v in vals], "v double")
     r = R.exact_quantiles(df, [], "v", {"m": 0.5, "p": 0.9}).first()
     assert r.m == pytest.approx(np.percentile(vals, 50)) and r.p == pytest.approx(np.percentile(vals, 90))
+
+
+def test_null_keys_keep_their_rows(spark):
+    rows = [(None if i % 3 == 0 else "a", None if i % 10 == 0 else i, i, i / 10.0) for i in range(60)]
+    df = spark.createDataFrame(rows, "k string, o int, i int, v double")
+    assert R.hash_ordinal(df, ["k"], ["i"], 1, "s").count() == 60
+    out = R.running(df, ["k"], ["o", "i"], F.floor(F.col("o") / 7), {"n": ("sum", F.lit(1), True)})
+    assert {r.k: r.m for r in out.groupBy("k").agg(F.max("n").alias("m")).collect()} == {None: 20, "a": 40}
+    flagged = R.flag_lowest(df, ["k"], ["i"], {"t": lambda n: F.floor(n / 2)}, 1, "s")
+    assert {r.k: r.c for r in flagged.groupBy("k").agg(F.count_if("t").alias("c")).collect()} == {None: 10, "a": 20}
+    q = {r.k: r.m for r in R.exact_quantiles(df, ["k"], "v", {"m": 0.5}).collect()}
+    assert q[None] == pytest.approx(np.median([v for k, _, _, v in rows if k is None]))

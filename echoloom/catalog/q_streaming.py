@@ -8,6 +8,7 @@ from echoloom.catalog.adapters import EV, detector_sql, r6
 from echoloom.catalog.q_streams import MSG_SQL
 from echoloom.catalog.registry import query
 from echoloom.operators.detector import Policy, engine_policy
+from echoloom.session import scratch_path
 from echoloom.streaming import detector as S
 
 SCAN = Policy(0.68)
@@ -38,6 +39,12 @@ def d10b(spark, sf):
     return S.run_to_table(S.triggers(s, ENGINE), "triggers").select("stream", "step")
 
 
+@query("d10_streaming_micro_batches", f"WITH RECURSIVE {EV}, {detector_sql([SCAN])} SELECT stream, step FROM det")
+def d10c(spark, sf):
+    scores = event_stream(spark, sf).select("stream", "ts", "seq", "p", "gated")
+    return S.run_micro_batches(scores, SCAN, scratch_path(spark, "micro-batches")).select("stream", "step")
+
+
 @query("d13_streaming_wake_sessions", f"""WITH {EV}, {MSG_SQL},
 m AS (SELECT *, max(CASE WHEN kind = 'wake' THEN step END) OVER (PARTITION BY stream ORDER BY step) AS wk,
   max(CASE WHEN kind = 'end' THEN step END) OVER (PARTITION BY stream ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS en FROM msg),

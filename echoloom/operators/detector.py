@@ -177,15 +177,22 @@ def _compose(last: Column, item: Column, reach: int, first_step: Column) -> Colu
     return F.coalesce(F.element_at(item["vec"], d), last)
 
 
-def detect(scores: DataFrame, policies: list[Policy], size: int = CHUNK, block: int = BLOCK) -> DataFrame:
+def detect(scores: DataFrame, policies: list[Policy], size: int = CHUNK, block: int = BLOCK,
+           enter: DataFrame | None = None) -> DataFrame:
     """(stream, pid, step) of every trigger.
 
     ``scores``: stream, step (dense from 0), p in [0, 1], gated. ``pid`` indexes ``policies``.
+    ``enter`` (stream, last) continues streams: steps below 0 are look-back rows that cannot
+    trigger, and ``last`` (negative, or NULL) is the step of the last trigger before step 0.
     """
     reach = max(max(p.gap, p.lookback + p.span) for p in policies)
     # written once: both the chunk summaries and the final pass read it, and it is a small share
     # of the scores
-    cands = materialize(candidates(scores, policies, size), "candidates")
+    found = candidates(scores, policies, size)
+    if enter is not None:
+        found = (found.withColumn("cands", F.filter("cands", lambda c: c["s"] >= 0))
+                 .filter(F.size("cands") > 0))
+    cands = materialize(found, "candidates")
     far = F.lit(-(reach + 1))
 
     def picks(enter: Column) -> Column:
@@ -196,7 +203,7 @@ def detect(scores: DataFrame, policies: list[Policy], size: int = CHUNK, block:
         zero = F.struct(enter.alias("last"), F.array().cast("array<bigint>").alias("steps"))
         return F.aggregate("cands", zero, pick, lambda acc: acc["steps"])
 
-    if not cands.filter("chunk > 0").take(1):          # every stream fits into its first chunk
+    if enter is None and not cands.filter("chunk > 0").take(1):          # every stream fits into its first chunk
         return cands.select("stream", "pid", F.explode(picks(_none())).alias("step"))
 
     dist = F.sequence(F.lit(1), F.lit(reach + 1))
@@ -220,8 +227,12 @@ def detect(scores: DataFrame, policies: list[Policy], size: int = CHUNK, block:
     streams = (block_vec.groupBy("stream", "pid")
                .agg(F.sort_array(F.collect_list(F.struct("block", "vec"))).alias("items")))
 
+    before = _none()
+    if enter is not None:
+        streams = streams.join(enter.select("stream", F.col("last").alias("_from")), "stream", "left")
+        before = F.col("_from")
     block_entry = streams.select("stream", "pid", F.explode(
-        _entries(F.col("items"), "block", reach, size * block, _none())).alias("e"))
+        _entries(F.col("items"), "block", reach, size * block, before)).alias("e"))
     block_entry = block_entry.select("stream", "pid", F.col("e.id").alias("block"), F.col("e.last").alias("enter"))
     chunk_entry = (blocks.join(block_entry, ["stream", "pid", "block"])
                    .select("stream", "pid", F.explode(

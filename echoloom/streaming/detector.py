@@ -8,8 +8,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echoloom.operators.detector import Policy
-from echoloom.session import scratch_path
+from echoloom.operators.detector import Policy, detect
+from echoloom.operators.running import ordinal_by_bucket, time_bucket
+from echoloom.session import materialize, scratch_path
 
 STATE = "step long, hold double, mean double, hits long, lock long"
 OUT = "stream long, step long, score double, ts timestamp"
@@ -44,6 +45,8 @@ def triggers(scores: DataFrame, policy: Policy, watermark: str = "10 minutes") -
 
     State per stream is five numbers. Rows are ordered by time within a micro-batch and taken in
     arrival order between micro-batches; the result equals the batch detector for in-order input.
+    One task handles a stream's rows of one micro-batch, so limit the trigger (files, bytes or
+    offsets), or use :func:`run_micro_batches` when a single stream is too hot for that.
     """
     def run(key, frames, state):
         cur = state.get if state.exists else (0, 0.0, 0.0, 0, 0)
@@ -61,6 +64,56 @@ def triggers(scores: DataFrame, policy: Policy, watermark: str = "10 minutes") -
             .applyInPandasWithState(run, OUT, STATE, "append", "NoTimeout"))
 
 
+CARRY = ("stream long, next_step long, last long, "
+         "tail array<struct<step: bigint, p: double, gated: boolean>>")
+
+
+def run_micro_batches(scores: DataFrame, policy: Policy, out: str, **trigger) -> DataFrame:
+    """The detector for streams too hot for one task per micro-batch.
+
+    Every micro-batch goes through the chunked batch detector. Between batches a small table per
+    stream carries the next step, the last trigger and the look-back rows. Triggers and carried
+    state are written under the batch number, so a repeated batch overwrites itself.
+    """
+    keep = policy.lookback + policy.span
+
+    def each(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        state = (spark.read.schema(CARRY).parquet(f"{out}/state/{number - 1}") if number
+                 else spark.createDataFrame([], CARRY))
+        placed = ordinal_by_bucket(batch.withColumn("_us", F.unix_micros("ts")), ["stream"], ["_us", "seq"],
+                                   time_bucket("_us"), "_i")
+        fresh = materialize(placed.select("stream", F.col("_i").alias("step"), "p", "gated"), "micro-batch")
+        offset = state.select("stream", "next_step")
+        # steps count from the start of this micro-batch; carried rows lie below 0
+        tail = state.select("stream", "next_step", F.explode("tail").alias("t")).select(
+            "stream", (F.col("t.step") - F.col("next_step")).alias("step"), "t.p", "t.gated")
+        enter = state.select("stream", (F.col("last") - F.col("next_step")).alias("last"))
+        target = f"{out}/triggers/batch={number}"
+        found = detect(fresh.unionByName(tail), [policy], enter=enter)
+        shift = F.coalesce("next_step", F.lit(0))
+        found.join(offset, "stream", "left").select("stream", (F.col("step") + shift).alias("step")).write.mode(
+            "overwrite").parquet(target)
+        fired = spark.read.schema("stream long, step long").parquet(target)
+
+        rows = (fresh.unionByName(tail).join(offset, "stream", "left")
+                .select("stream", (F.col("step") + shift).alias("step"), "p", "gated"))
+        ends = (fresh.groupBy("stream").agg((F.max("step") + 1).alias("n")).join(offset, "stream", "left")
+                .select("stream", (F.col("n") + shift).alias("next_step")))
+        recent = (rows.join(ends, "stream").filter(F.col("step") >= F.col("next_step") - keep)
+                  .groupBy("stream").agg(F.collect_list(F.struct("step", "p", "gated")).alias("tail")))
+        last = fired.groupBy("stream").agg(F.max("step").alias("last"))
+        moved = (ends.join(recent, "stream").join(last, "stream", "left")
+                 .join(state.select("stream", F.col("last").alias("_old")), "stream", "left")
+                 .select("stream", "next_step", F.coalesce("last", "_old").alias("last"), "tail"))
+        moved.unionByName(state.join(ends, "stream", "left_anti")).write.mode("overwrite").parquet(f"{out}/state/{number}")
+
+    q = (scores.writeStream.foreachBatch(each).option("checkpointLocation", f"{out}/progress")
+         .trigger(**(trigger or {"availableNow": True})).start())
+    q.awaitTermination()
+    return scores.sparkSession.read.schema("stream long, step long, batch int").parquet(f"{out}/triggers")
+
+
 SESSION_STATE = "wake_ms long, first_ms long, bytes long, frames long, live boolean"
 SESSION_OUT = "stream long, wake_ms long, frames long, bytes long, duration_s double, first_packet_delta_ms long"
 

@@ -33,6 +33,18 @@ def test_streaming_detector_equals_batch(spark, tmp_path):
         assert got == want and want
 
 
+def test_micro_batches_with_carried_state_equal_batch(spark, tmp_path):
+    rows = score_files(spark, str(tmp_path), n=300, batches=4)
+    for i, policy in enumerate((Policy(0.9), Policy(0.6, agg="ema", need=2, span=3, refractory=4),
+                                Policy(0.95, variant="engine", span=3, refractory=40))):
+        src = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/b")
+        out = S.run_micro_batches(src.select("stream", "ts", "seq", "p", "gated"), policy, f"{tmp_path}/o{i}")
+        got = sorted((r.stream, r.step) for r in out.collect())
+        want = sorted((r.stream, r.step) for r in detect(rows.select("stream", "step", "p", "gated"), [policy]).collect())
+        assert got == want and want
+        assert out.select("batch").distinct().count() > 1
+
+
 def messages(spark, n=300):
     k = F.abs(F.hash("id")) % 10
     return spark.range(n).select(

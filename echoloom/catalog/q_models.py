@@ -7,8 +7,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from echoloom.catalog.adapters import EM, LI, TR, corpus, r6, signals, table, transcripts
-from echoloom.catalog.q_arrays import DIG, PR, digest, pairs, pk, pw, us, zer, zip2
-from echoloom.catalog.q_sampling import order_sql
+from echoloom.catalog.q_arrays import DIG, PR, digest, pairs, pk, pw, zer, zip2
 from echoloom.catalog.registry import query
 from echoloom.functions import arrays as A
 from echoloom.functions import draws as D
@@ -17,7 +16,6 @@ from echoloom.functions.features import log_mel
 from echoloom.functions.text import any_contains
 from echoloom.operators import joins as J
 from echoloom.operators import mining as H
-from echoloom.operators import sampling as S
 from echoloom.operators import scoring as T
 from echoloom.operators.ranking import top_n
 from echoloom.operators.metrics import at_budgets

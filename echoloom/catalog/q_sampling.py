@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from echoloom.catalog.adapters import EM, LI, TR, corpus, r6, signals, table, transcripts
+from echoloom.catalog.adapters import EM, LI, TR, corpus, r6, signals, transcripts
 from echoloom.catalog.registry import query
 from echoloom.functions import draws as D
 from echoloom.operators import sampling as S

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from echoloom.functions.draws import bernoulli, choose, digest, in_range, integer_in, uniform, weighted
+from echoloom.functions.draws import bernoulli, choose, in_range, uniform, weighted
 from echoloom.operators.running import flag_lowest, hash_ordinal, listing_ordinal, take_random
 from echoloom.plans import dims
 from echoloom.session import checked_broadcast

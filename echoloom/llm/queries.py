@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from echoloom.llm import bpe, quality_rules, token_count, url_filter
+from echoloom.llm import bpe, decontaminate, lm_score, quality_rules, simhash, suffix_dedup, token_count, url_filter
 from echoloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,6 +33,11 @@ def op1_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf, "documents"))
 
 
+@query
+def op2_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark")).drop("text_key")
+
+
 @query
 def op3_url_filter(spark: SparkSession, sf: str) -> DataFrame:
     return url_filter.judge(table(spark, sf, "pages"), URL_RULES)
@@ -43,6 +48,21 @@ def op4_bpe_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.digests(table(spark, sf, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
+@query
+def op5_simhash(spark: SparkSession, sf: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf, "documents"))
+
+
+@query
+def op6_lm_scores(spark: SparkSession, sf: str) -> DataFrame:
+    return lm_score.train_and_score(table(spark, sf, "documents"))
+
+
+@query
+def op8_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return suffix_dedup.digests(table(spark, sf, "documents"))
+
+
 @query
 def op10_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return token_count.count(table(spark, sf, "documents"), tokenizer_file("byte_bpe_50k.tiktoken"))

@@ -8,20 +8,43 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from echoloom.llm import bpe, quality_rules
+from pyspark.sql import functions as F
+
+from echoloom.llm import bpe, decontaminate, quality_rules, simhash, suffix_dedup
 from echoloom.llm.common import stored, table
 from echoloom.llm.queries import tokenizer_file
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass their own rules and whose host is not rejected."""
     return quality_rules.keep_good(docs)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each SimHash component, the one with the smallest id."""
+    return simhash.keep_one(docs)
+
+
+def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the strings of 100 bytes that occur earlier; ``n_chars`` follows the text."""
+    cut = suffix_dedup.cut_texts(docs)
+    if "n_chars" not in docs.columns:
+        return cut
+    return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark item."""
+    return decontaminate.drop_leaked(docs, table(spark, sf_dir, "benchmark"))
+
+
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids, counts and digests of what is left."""
     return bpe.digests(docs, tokenizer_file("byte_bpe_50k.json"))
 
 
-STAGES = [("quality_rules", quality), ("bpe_encoding", encoding)]
+STAGES = [("quality_rules", quality), ("simhash", near_duplicates), ("suffix_dedup", repeated_strings),
+          ("decontamination", decontamination), ("bpe", encoding)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

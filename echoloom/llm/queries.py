@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from echoloom.llm import bpe, decontaminate, lm_score, quality_rules, simhash, suffix_dedup, token_count, url_filter
+from echoloom.llm import (bpe, decontaminate, html_text, lm_score, quality_rules, simhash, suffix_dedup, token_count,
+                          url_filter, warc)
 from echoloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,11 +59,21 @@ def op6_lm_scores(spark: SparkSession, sf: str) -> DataFrame:
     return lm_score.train_and_score(table(spark, sf, "documents"))
 
 
+@query
+def op7_html_text(spark: SparkSession, sf: str) -> DataFrame:
+    return html_text.extract(table(spark, sf, "pages"))
+
+
 @query
 def op8_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return suffix_dedup.digests(table(spark, sf, "documents"))
 
 
+@query
+def op9_warc(spark: SparkSession, sf: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf, "pages"))
+
+
 @query
 def op10_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return token_count.count(table(spark, sf, "documents"), tokenizer_file("byte_bpe_50k.tiktoken"))

@@ -6,17 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from echoloom.llm import (bpe, decontaminate, html_text, lm_score, quality_rules, simhash, suffix_dedup, token_count,
+from echoloom.llm import (bpe, decontaminate, html_text, lm_score, quality_rules, simhash, sql, suffix_dedup, token_count,
                           url_filter, warc)
 from echoloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 
 #: (verdict, host, path) of the URL rules
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
              ("block", "net", "/es/"), ("block", "net", "/fr/")]
 
+#: the others go beyond SQL and are tested against brute force
+ORACLES: dict[str, str] = {
+    "op1_quality_rules": sql.QUALITY_RULES,
+    "op3_url_filter": sql.url_filter(URL_RULES, url_filter.UNIT, url_filter.FOLLOW_PERCENT, url_filter.STEPS),
+    "op9_warc": sql.WARC,
+}
+
 
 def tokenizer_file(name: str) -> str:
     import public_tokenizers

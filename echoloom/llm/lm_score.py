@@ -166,8 +166,8 @@ def train(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, WindowNetwor
     """Vocabulary and network from all documents."""
     known = vocabulary(docs, text)
     counts = np.zeros(CLASSES ** 3, np.int64)
-    rows = stored(triple_counts(docs, known, text), "triples").toPandas()      # CLASSES ** 3 rows at most
-    counts[rows["cell"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
+    rows = stored(triple_counts(docs, known, text), "triples").toArrow()       # CLASSES ** 3 rows at most
+    counts[rows["cell"].to_numpy()] = rows["n"].to_numpy()
     network = WindowNetwork()
     network.fit(counts)
     return known, network

@@ -186,9 +186,11 @@ signal_query("a23_linear_resample", lambda: A.resample(F.col("x"), F.when(F.col(
 signal_query("a24_speed_perturb", lambda: A.speed_perturb(F.col("x"), D.in_range(u("speed"), 0.80, 1.22)),
              [f"0.80::DOUBLE + (1.22::DOUBLE - 0.80::DOUBLE) * {us('speed')} AS f", "CAST(round_even(64 / f, 0) AS BIGINT) AS m", rs("x", "m") + " AS r",
               f"CASE WHEN abs(f - 1.0) < 0.02 THEN x WHEN m < 64 THEN list_concat({zer('greatest(0, (64 - m) // 2)')}, r, {zer('greatest(0, 64 - m - (64 - m) // 2)')}) ELSE r[(m - 64) // 2 + 1:(m - 64) // 2 + 64] END AS y"], **em_q)
-_TW = "(least(greatest(j / 63 + be * (j / 63) * (1.0 - j / 63), 0.0), 1.0) * 63)"
+_TW = "least(greatest(j / 63 + be * (j / 63) * (1.0 - j / 63), 0.0), 1.0)"
 signal_query("a25_cadence_warp", lambda: A.cadence_warp(F.col("x"), D.in_range(u("beta"), -0.25, 0.25)),
-             [f"-0.25 + 0.5::DOUBLE * {us('beta')} AS be", f"list_transform(range(64), lambda j: {lerp('x', _TW)}) AS y"], **em_q)
+             [f"-0.25 + 0.5::DOUBLE * {us('beta')} AS be", f"list_transform(range(64), lambda j: {_TW}) AS tw",
+              "list_transform(range(64), lambda j: len(list_filter(tw, lambda w: w <= j / 63))) AS below",
+              "list_transform(below, lambda k, i: CASE WHEN k >= 64 THEN x[64] ELSE x[k] + (x[k + 1] - x[k]) * ((i - 1) / 63 - tw[k]) / (tw[k + 1] - tw[k]) END) AS y"], **em_q)
 signal_query("a26_downmix_mean", lambda: A.downmix(F.array(F.col("x"), F.col("z"), F.col("z2"))), ["list_transform(list_zip(x, z, z2), lambda q: (q[1] + q[2] + q[3]) / 3) AS y"])
 signal_query("a26_downmix_first", lambda: A.downmix(F.array(F.col("x"), F.col("z")), "first"), ["x AS y"])
 signal_query("a27_standardise_clip", lambda: A.standardise(F.array(F.col("x"), F.col("z")), F.when(F.col("class") < 5, 80).otherwise(320), 160),
@@ -211,8 +213,8 @@ def _mask_sql(fill):
 for _fill in ("zero", "min"):
     signal_query(f"a28_spec_mask_{_fill}", lambda f=_fill: F.flatten(A.spec_mask(
         grid8(F.col("x")), D.integer_in(u("f0"), 0, 5), 3, D.integer_in(u("t0"), 0, 6), 2, f)), _mask_sql(_fill), **em_q)
-signal_query("a29_feature_gain_offset", lambda: A.feature_gain(F.col("x"), D.in_range(u("fg"), -1.0, 1.0) * A.gain_offset(6.0)),
-             [f"(-1.0 + 2.0 * {us('fg')}) * (6.0::DOUBLE / 20.0 * 2.302585092994046::DOUBLE) AS o", "list_transform(x, lambda v: v + o) AS y"], **em_q)
+signal_query("a29_feature_gain_offset", lambda: A.feature_gain(F.col("x"), D.in_range(u("fg"), -A.gain_span(12.0), A.gain_span(12.0))),
+             [f"-2.0 + 4.0 * {us('fg')} AS o", "list_transform(x, lambda v: v + o) AS y"], **em_q)
 signal_query("a29_level_stress_clip", lambda: A.feature_gain(A.gain(F.col("x"), 20.0), A.gain_offset(-24.0), -11.5129, 5.0),
              ["(-24.0::DOUBLE / 20.0 * 2.302585092994046::DOUBLE) AS o", "list_transform(x, lambda v: least(greatest(v * 20.0 + o, -11.5129::DOUBLE), 5.0)) AS y"], **em_q)
 

@@ -219,6 +219,14 @@ def s2(spark, sf):
     return T.read_index(spark, path, fallback=named).select("path", "class")
 
 
+@query("s2_index_by_header_names", f"""WITH {NAMES_SQL}, {STEMS} SELECT path, {CLASS_SQL} AS class, (page_id % 50) / 4.0 AS duration_s FROM st""")
+def s2_names(spark, sf):
+    path = scratch_path(spark, "index")
+    rows = T.index_rows(_named(spark, sf), (F.col("page_id") % 50) / 4.0, F.lit(16000))
+    rows.select("class", F.lit("x").alias("note"), "duration_s", F.col("path").alias("file")).write.option("header", "true").csv(path)
+    return T.read_index(spark, path).select("path", "class", "duration_s")
+
+
 @query("s5_column_alias_resolution", "SELECT lang AS class, 'unknown' AS target, count(*) AS n FROM documents GROUP BY lang")
 def s5(spark, sf):
     d = table(spark, sf, "documents").withColumnRenamed("lang", "label")
@@ -270,9 +278,12 @@ def s14(spark, sf):
     return T.verify(recorded, actual)
 
 
-@query("s15_table_digest", f"""WITH {PG} SELECT count(*) AS rows, sum(('0x' || substr(sha256(concat_ws('|', clip_id, path)), 1, 8))::BIGINT)::BIGINT AS digest FROM pg""")
+@query("s15_table_digest", f"""WITH {PG} SELECT count(*) AS rows, sum(('0x' || substr(sha256(
+  coalesce(length(clip_id::VARCHAR) || ':' || clip_id, '-') || coalesce(length(path) || ':' || path, '-') || coalesce(length(p2) || ':' || p2, '-')), 1, 15))::HUGEINT)::VARCHAR AS digest
+FROM (SELECT *, CASE WHEN clip_id % 3 > 0 THEN path END AS p2 FROM pg)""")
 def s15(spark, sf):
-    return T.table_digest(clip_files(spark, sf), ["clip_id", "path"])
+    gaps = clip_files(spark, sf).withColumn("p2", F.when(F.col("clip_id") % 3 > 0, F.col("path")))
+    return T.table_digest(gaps, ["clip_id", "path", "p2"])
 
 
 @query("s10_corpus_sink_and_partial_read", f"""WITH {LI}, o AS (SELECT *, row_number() OVER (ORDER BY {D.digest_sql(7, 'head', 'row_key')}, row_key) AS rn, count(*) OVER () AS n FROM li)

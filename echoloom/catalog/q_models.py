@@ -21,7 +21,7 @@ from echoloom.operators.ranking import top_n
 from echoloom.operators.metrics import at_budgets
 from echoloom.plans import corpus as P
 from echoloom.plans import dims
-from echoloom.session import materialize
+from echoloom.session import materialize, scratch_path
 from echoloom.sources import tables as SRC
 
 SEED = 31
@@ -114,11 +114,15 @@ def p11(spark, sf):
     return dec.groupBy("class").agg(F.count(F.lit(1)).alias("clips"), F.count_if(F.col("error").isNotNull()).alias("errors"))
 
 
-@query("s1_recursive_file_scan")
+@query("s1_recursive_file_scan", "SELECT page_id % 5 AS bucket, sum(strlen(url) + 1)::BIGINT AS bytes, sum(strlen(url) + 1)::BIGINT AS listed FROM pages GROUP BY 1")
 def s1(spark, sf):
-    """Lists the files of the data folder without reading their content."""
-    files = SRC.scan_clips(spark, sf, "*.parquet")
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "length")
+    """Page addresses are written to files in nested folders; the scan finds and reads them."""
+    path = scratch_path(spark, "files")
+    pages = table(spark, sf, "pages").select(F.col("url").alias("value"), (F.col("page_id") % 5).alias("bucket"))
+    pages.write.partitionBy("bucket").text(path)
+    files = SRC.scan_clips(spark, path, "*.txt", content=True)
+    bucket = F.regexp_extract("path", r"bucket=(\d+)/", 1).cast("bigint")
+    return files.groupBy(bucket.alias("bucket")).agg(F.sum(F.octet_length("content")).cast("bigint").alias("bytes"), F.sum("length").alias("listed"))
 
 
 @query("s7_label_by_directory", """SELECT (label < 5)::INT AS y, count(*) AS n, sum(44 + 2 * 64)::BIGINT AS bytes FROM embeddings GROUP BY 1""")
@@ -207,14 +211,17 @@ V4 = dims.PROFILES["v4"]
 H7_KEYS = ["utt_id", "word", "voice", "variant"]
 
 
-@query("h7_confusable_variants", f"""WITH {TR}, w AS (SELECT utt_id, unnest(list_distinct(list_filter(words, lambda w: starts_with(w, 'the')))) AS word FROM tr),
+@query("h7_confusable_variants", f"""WITH {TR}, cf AS (SELECT DISTINCT unnest(regexp_split_to_array(lower(text), '[ \\n\\t\\r]+')) AS word FROM benchmark),
+w AS (SELECT utt_id, word FROM (SELECT utt_id, unnest(list_distinct(words)) AS word FROM tr) SEMI JOIN cf USING (word)),
 v AS (SELECT utt_id, word, voice, variant FROM w, (SELECT unnest(range(3)) AS voice), (SELECT unnest(range(3)) AS variant)),
 d AS (SELECT word, voice, {D.uniform_sql(SEED, 'warp', *H7_KEYS)} < 0.60 AS warp, {D.uniform_sql(SEED, 'reverb', *H7_KEYS)} < 0.70 AS reverb FROM v)
 SELECT word, voice, count(*) AS n, count(*) FILTER (warp) AS warped, count(*) FILTER (reverb) AS reverbed FROM d GROUP BY ALL""")
 def h7(spark, sf):
-    words = F.array_distinct(F.filter("words", lambda w: w.startswith("the")))
+    # the list of confusable words is a table of the job; here the words of the benchmark
+    listed = table(spark, sf, "benchmark").select(F.explode(F.split(F.lower("text"), r"[ \n\t\r]+")).alias("word")).distinct()
     three = F.sequence(F.lit(0), F.lit(2))
-    w = transcripts(spark, sf).select("utt_id", F.explode(words).alias("word"))
+    w = transcripts(spark, sf).select("utt_id", F.explode(F.array_distinct("words")).alias("word"))
+    w = w.join(listed, "word", "left_semi")
     v = w.select("utt_id", "word", F.explode(three).alias("voice")).select("*", F.explode(three).alias("variant"))
     v = v.withColumn("warp", D.bernoulli(D.uniform(SEED, "warp", *H7_KEYS), 0.60)).withColumn("reverb", D.bernoulli(D.uniform(SEED, "reverb", *H7_KEYS), 0.70))
     return v.groupBy("word", "voice").agg(F.count(F.lit(1)).alias("n"), F.count_if("warp").alias("warped"), F.count_if("reverb").alias("reverbed"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from echoloom.catalog.adapters import EV, TRIALS, detector_sql, r6, streams, table, trials, users
+from echoloom.catalog.adapters import EV, TRIALS, _epoch, detector_sql, r6, streams, table, trials, users
 from echoloom.catalog.registry import query
 from echoloom.operators import chunks as C
 from echoloom.operators import detector as D
@@ -12,7 +12,7 @@ from echoloom.operators import evaluation as E
 from echoloom.operators import joins as J
 from echoloom.operators import mining as H
 from echoloom.operators.ranking import top_n
-from echoloom.operators.running import exact_quantiles, running
+from echoloom.operators.running import exact_quantiles, ordinal_by_bucket, running, time_bucket
 from echoloom.plans import dims
 from echoloom.session import materialize
 
@@ -50,6 +50,34 @@ _detector_query("d8_full_detector", MAIN, ungated=True)
 _detector_query("d9_engine_detector", [D.engine_policy(THR, 2, 0), D.engine_policy(THR, 2, 3), D.engine_policy(THR, 3, 4, agg="ema")], ungated=True)
 
 
+# streams that go over many chunks and blocks: two of all events together
+LONG = """lg AS (SELECT user_id % 2 AS stream, row_number() OVER (PARTITION BY user_id % 2 ORDER BY ts, event_id) - 1 AS step, least(1.0, value / 150.0)::DOUBLE AS p, value < 5.0 AS gated FROM events), """
+
+
+def _long_streams(spark, sf):
+    ev = table(spark, sf, "events").select((F.col("user_id") % 2).alias("stream"), F.timestamp_diff("MICROSECOND", _epoch(), F.col("ts")).alias("ts_us"), "event_id", "value")
+    placed = ordinal_by_bucket(ev, ["stream"], ["ts_us", "event_id"], time_bucket("ts_us"), "step")
+    return placed.select("stream", "step", F.least(F.lit(1.0), F.col("value") / 150.0).alias("p"), (F.col("value") < 5.0).alias("gated"))
+
+
+def _long_query(name, policies):
+    @query(name, _det_sql(policies, "SELECT stream, pid, step FROM det", "lg", LONG))
+    def run(spark, sf):
+        return D.detect(_long_streams(spark, sf), policies, size=64, block=2)
+    return run
+
+
+_long_query("d8_full_detector_long_streams", [D.Policy(0.5), D.Policy(0.5, agg="ema", need=2, span=3)])
+_long_query("d9_engine_detector_long_streams", [D.engine_policy(0.5, 2, 3)])
+
+
+@query("d2_decaying_peak_hold_long_streams", f"""WITH RECURSIVE {EV}, {LONG}sm(stream, step, score) AS (SELECT stream, -1::BIGINT, 0.0::DOUBLE FROM (SELECT DISTINCT stream FROM lg)
+UNION ALL SELECT e.stream, e.step, greatest(CASE WHEN gated THEN 0.0 ELSE p END, score * 0.999) FROM sm JOIN lg e ON e.stream = sm.stream AND e.step = sm.step + 1)
+SELECT stream, step, round(score, 6) AS score FROM sm WHERE step >= 0""")
+def d2_long(spark, sf):
+    return E.smoothed(_long_streams(spark, sf), "maxhold", decay=0.999).select("stream", "step", r6("score").alias("score"))
+
+
 @query("d8_detector_report", _det_sql(MAIN, f""", raw AS (SELECT stream, count(*) FILTER (NOT gated AND p >= {THR}) AS raw_hits FROM ev GROUP BY stream)
 SELECT raw.stream, raw_hits, count(step) AS n_detections, min(step) * 1600 AS first_sample FROM raw LEFT JOIN det USING (stream) GROUP BY ALL"""))
 def d8(spark, sf):
@@ -192,9 +220,13 @@ def j11(spark, sf):
 ENGINE = [D.engine_policy(THR, 2, 0)]
 
 
-@query("m22_frame_vs_confirmed_recall", _det_sql(ENGINE, f""", fs AS (SELECT stream, max((p >= {THR})::INT) AS f FROM eu GROUP BY stream),
+@query("m22_frame_vs_confirmed_recall", _det_sql(ENGINE, f""", sm(stream, step, score) AS (SELECT stream, -1::BIGINT, 0.0::DOUBLE FROM (SELECT DISTINCT stream FROM eu)
+  UNION ALL SELECT e.stream, e.step, greatest(e.p, score * 0.85) FROM sm JOIN eu e ON e.stream = sm.stream AND e.step = sm.step + 1),
+ft AS (SELECT stream, min(step) AS last FROM det GROUP BY stream),
+fed AS (SELECT stream, score AS p FROM sm LEFT JOIN ft USING (stream) WHERE step >= 0 AND step <= coalesce(last, step)),
+fs AS (SELECT stream, max((p >= {THR})::INT) AS f FROM fed GROUP BY stream),
 dd AS (SELECT DISTINCT stream, 1 AS c FROM det), t AS (SELECT snr, f, coalesce(c, 0) AS c FROM trials JOIN fs USING (stream) LEFT JOIN dd USING (stream)),
-q AS (SELECT snr, quantile_cont(p, 0.5) AS md, quantile_cont(p, 0.1) AS lo FROM eu JOIN trials USING (stream) GROUP BY snr)
+q AS (SELECT snr, quantile_cont(p, 0.5) AS md, quantile_cont(p, 0.1) AS lo FROM fed JOIN trials USING (stream) GROUP BY snr)
 SELECT snr, count(*) AS trials, sum(f)::BIGINT AS frame_hits, sum(c)::BIGINT AS confirmed, round(any_value(md), 6) AS median, round(any_value(lo), 6) AS p10,
   round((sum(f) - sum(c)) / count(*), 6) AS gap FROM t JOIN q USING (snr) GROUP BY snr""", "eu", UNGATED))
 def m22(spark, sf):
@@ -226,11 +258,8 @@ def s17(spark, sf):
 @query("j14_trial_with_matched_control", _det_sql(MAIN, CONTROL_TAIL + " SELECT bed, snr, hit, ctl AS control_hits FROM pb", "arm", ARMS))
 def j14(spark, sf):
     s = streams(spark, sf)
-    ctl = s.withColumn("p", F.col("p") * F.lit(0.9))
-    kw = D.first_trigger(D.detect(s, MAIN)).select("stream", F.lit(True).alias("hit"))
-    c = D.first_trigger(D.detect(ctl, MAIN)).select("stream", F.col("n_detections").alias("control_hits"))
-    t = trials(users(spark, sf)).join(kw, "stream", "left").join(c, "stream", "left")
-    return t.select(F.col("stream").alias("bed"), "snr", F.coalesce("hit", F.lit(False)).alias("hit"), F.coalesce("control_hits", F.lit(0)).alias("control_hits"))
+    t = E.matched_arms(s, s.withColumn("p", F.col("p") * F.lit(0.9)), trials(users(spark, sf)), MAIN[0])
+    return t.select(F.col("stream").alias("bed"), "snr", "hit", "control_hits")
 
 
 STRESS = """SELECT {k}, round(max(p) FILTER (s), 6) AS max_conf, count(*) FILTER (s AND p >= 0.68) AS frames_hit, count(*) FILTER (s) AS frames,
@@ -254,12 +283,24 @@ def w4(spark, sf):
     return streams(spark, sf).filter("step % 10 = 0").groupBy("stream").agg(F.count(F.lit(1)).alias("n"), r6(F.sum("p")).alias("p"))
 
 
-@query("m18_rejection_rates", f"""WITH {EV}, c AS (SELECT stream, step // 10 AS c, max(p) AS p, count(*) AS k FROM ev WHERE step < 50 GROUP BY ALL HAVING count(*) = 10),
+def _rejection_sql(where):
+    return f"""WITH {EV}, c AS (SELECT stream, step // 10 AS c, max(p) AS p, count(*) AS k FROM ev WHERE {where} GROUP BY ALL HAVING count(*) = 10),
 f AS (SELECT stream, count(*) AS chunks, count(*) FILTER (p >= 0.85) AS al, max(p) >= 0.85 AS fa FROM c GROUP BY stream)
 SELECT count(*) AS files, sum(chunks)::BIGINT AS chunks, sum(al)::BIGINT AS chunk_alarms, count(*) FILTER (fa) AS file_alarms,
-  round(1 - count(*) FILTER (fa) / count(*), 6) AS file_rejection, round(1 - sum(al) / sum(chunks), 6) AS chunk_rejection FROM f""")
+  round(1 - count(*) FILTER (fa) / count(*), 6) AS file_rejection, round(1 - sum(al) / sum(chunks), 6) AS chunk_rejection FROM f"""
+
+
+@query("m18_rejection_rates", _rejection_sql("true"))
 def m18(spark, sf):
-    f = E.rejection(streams(spark, sf), 0.85)
+    return _rejection(E.rejection(streams(spark, sf), 0.85))
+
+
+@query("m18_rejection_rates_quick_test", _rejection_sql("step < 50"))
+def m18_quick(spark, sf):
+    return _rejection(E.rejection(streams(spark, sf), 0.85, chunks=5))
+
+
+def _rejection(f):
     return f.agg(F.count(F.lit(1)).alias("files"), F.sum("chunks").alias("chunks"), F.sum("chunk_alarms").alias("chunk_alarms"),
                  F.count_if("false_alarm").alias("file_alarms"),
                  r6(1 - F.count_if("false_alarm") / F.count(F.lit(1))).alias("file_rejection"),

@@ -6,6 +6,7 @@ gain, a peak) is bound with :func:`let` first; otherwise it would be recomputed
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -241,12 +242,24 @@ def speed_perturb(x: Column, factor) -> Column:
 
 
 def cadence_warp(x: Column, beta) -> Column:
-    def grid(b):
-        def positions(last):
-            ts = F.transform(F.sequence(F.lit(0), last), lambda i: i.cast("double") / last)
-            return F.transform(ts, lambda t: clip(t + b * t * (1.0 - t), 0.0, 1.0) * last)
-        return let(F.size(x) - 1, positions)
-    return let(lit(beta), lambda b: _read_at(x, grid(b)))
+    """Samples sit at the warped times ``w(k) = t + beta t (1 - t)``, t = k / last, and are read at even times.
+
+    The times rise for abs(beta) < 1, so the pair of samples around an even time is found by inverting
+    the quadratic; rounding is put right by looking one step to either side.
+    """
+    def warped(b, last):
+        def w(k):
+            t = k.cast("double") / last
+            return clip(t + b * t * (1.0 - t), 0.0, 1.0)
+
+        def one(i):
+            t = i.cast("double") / last
+            root = F.when(F.abs(b) < 1e-9, t).otherwise((1.0 + b - F.sqrt((1.0 + b) * (1.0 + b) - 4.0 * b * t)) / (2.0 * b))
+            near = F.least(F.greatest(F.floor(root * last).cast("int"), F.lit(0)), last - 1)
+            k = F.greatest(F.least(near + F.when(w(near) > t, -1).when(w(near + 1) <= t, 1).otherwise(0), last - 1), F.lit(0))
+            return let(k, lambda q: F.get(x, q) + (F.get(x, q + 1) - F.get(x, q)) / (w(q + 1) - w(q)) * (t - w(q)))
+        return F.when(last < 1, x).otherwise(F.transform(F.sequence(F.lit(0), last), lambda i: F.when(i >= last, F.element_at(x, -1)).otherwise(one(i))))
+    return let(lit(beta), lambda b: let(F.size(x) - 1, lambda last: warped(b, last)))
 
 
 def downmix(channels: Column, mode: str = "mean") -> Column:
@@ -338,6 +351,11 @@ def gain_offset(db) -> Column:
     return lit(db) / 20.0 * F.lit(LN10)
 
 
+def gain_span(db: float) -> float:
+    """Half the range of the level augmentation: the feature offset of ``db``, rounded up to a whole number."""
+    return float(math.ceil(db / 20.0 * LN10))
+
+
 def ema(x: Column, s: float) -> Column:
     """Running exponential mean, started at the first element."""
     return F.aggregate(

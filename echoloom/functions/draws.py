@@ -12,8 +12,12 @@ from pyspark.sql import functions as F
 TWO32 = 4294967296.0
 
 
+#: stands for NULL in a key, so that ('a', NULL, 'b') and ('a', 'b', NULL) draw differently
+NULL_KEY = "\x00"
+
+
 def _cols(keys) -> list[Column]:
-    return [F.col(k) if isinstance(k, str) else k for k in keys]
+    return [F.coalesce((F.col(k) if isinstance(k, str) else k).cast("string"), F.lit(NULL_KEY)) for k in keys]
 
 
 def digest(seed: int, salt: str, *keys) -> Column:
@@ -71,7 +75,7 @@ def bernoulli(u: Column, p) -> Column:
 
 def uniform_sql(seed: int, salt: str, *keys: str) -> str:
     """The same draw as DuckDB SQL."""
-    parts = ", ".join([f"'{seed}'", f"'{salt}'", *keys])
+    parts = ", ".join([f"'{seed}'", f"'{salt}'", *(f"coalesce(({k})::VARCHAR, chr(0))" for k in keys)])
     return f"(('0x' || substr(md5(concat_ws('|', {parts})), 1, 8))::BIGINT / {TWO32}::DOUBLE)"
 
 

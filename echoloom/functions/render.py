@@ -63,7 +63,7 @@ def render(base, noises, snrs, c, window: int):
     x = _guard(x)
     if given(c.beta):
         t = np.arange(window) / (window - 1)
-        x = np.interp(np.clip(t + c.beta * t * (1.0 - t), 0.0, 1.0) * (window - 1), np.arange(window), x)
+        x = np.interp(t, np.clip(t + c.beta * t * (1.0 - t), 0.0, 1.0), x)     # samples sit at the warped times
     if given(c.burst):
         x = x.copy()
         x[int(c.burst):int(c.burst) + max(1, int(0.03 * window))] = 0.0

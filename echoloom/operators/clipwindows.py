@@ -39,18 +39,21 @@ def babble(seeds: DataFrame, key: str, talkers: str, pool: DataFrame, clip: str,
     """Sum of drawn talkers with gains from U(-13, 3) dB, divided by the peak.
 
     A mixture has at most 14 talkers, so their scaled signals are collected per mixture and folded;
-    that moves whole arrays instead of one row per sample, and fixes the order of the sum.
+    that moves whole arrays instead of one row per sample, and fixes the order of the sum. A talker
+    shorter than the longest one is repeated up to its length.
     """
     n = pool.agg(F.count(F.lit(1))).scalar()
-    bank = hash_ordinal(pool.select(clip, x), [], [clip], seed, "talkers", "_i")
+    bank = hash_ordinal(pool.select(clip), [], [clip], seed, "talkers", "_i").join(pool.select(clip, x), clip)
     parts = seeds.select(key, F.explode(F.sequence(F.lit(0), F.col(talkers).cast("int") - 1)).alias("talker"))
     parts = parts.withColumn("_i", F.floor(uniform(seed, "talker", key, "talker") * n).cast("bigint")).withColumn(
         "_g", F.pow(F.lit(10.0), in_range(uniform(seed, "talker-gain", key, "talker"), -13.0, 3.0) / 20.0))
     scaled = parts.join(bank, "_i").select(key, F.struct("talker", A.gain(F.col(x), F.col("_g")).alias("s")).alias("_t"))
     mixed = scaled.groupBy(key).agg(F.sort_array(F.collect_list("_t")).alias("_ts"))
-    # talkers may differ in length: the shorter one counts as zero beyond its end
-    y = F.aggregate(F.slice("_ts", F.lit(2), F.size("_ts")), F.get("_ts", F.lit(0))["s"], lambda acc, t: F.zip_with(
-        acc, t["s"], lambda a, b: F.coalesce(a, F.lit(0.0)) + F.coalesce(b, F.lit(0.0))))
+    longest = F.array_max(F.transform("_ts", lambda t: F.size(t["s"])))
+    mixed = mixed.withColumn("_ts", A.let(longest, lambda m: F.transform("_ts", lambda t: F.when(F.size(t["s"]) == m, t["s"]).otherwise(
+        F.slice(F.flatten(F.array_repeat(t["s"], F.ceil(m / F.greatest(F.size(t["s"]), F.lit(1))).cast("int"))), F.lit(1), m)))))
+    y = F.aggregate(F.slice("_ts", F.lit(2), F.size("_ts")), F.get("_ts", F.lit(0)), lambda acc, t: F.zip_with(
+        acc, t, lambda a, b: F.coalesce(a, F.lit(0.0)) + F.coalesce(b, F.lit(0.0))))
     return mixed.select(key, A.let(y, lambda s: A.let(A.peak(s), lambda m: F.when(
         m > 0, F.transform(s, lambda v: v / m)).otherwise(s))).alias("mix"))
 

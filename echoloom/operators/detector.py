@@ -49,9 +49,17 @@ class Policy:
     decay: float = 0.85
     keep_score: bool = False
 
+    def __post_init__(self):
+        if self.agg == "maxhold" and not 0.0 < self.decay < 1.0:
+            raise ValueError("a peak hold needs a decay between 0 and 1: without decay a score is never forgotten")
+        if self.agg != "maxhold" and not 0.0 < self.alpha <= 1.0:
+            raise ValueError("a mean needs an alpha above 0 and up to 1")
+
     @property
     def lookback(self) -> int:
         """Steps after which an old score can no longer matter."""
+        if self.agg != "maxhold" and self.alpha == 1.0:
+            return 4
         if self.agg == "maxhold":
             return max(1, math.ceil(math.log(self.threshold) / math.log(self.decay)) + 1)
         return math.ceil(54 * math.log(2.0) / -math.log(1.0 - self.alpha)) + 4
@@ -203,9 +211,6 @@ def detect(scores: DataFrame, policies: list[Policy], size: int = CHUNK, block:
         zero = F.struct(enter.alias("last"), F.array().cast("array<bigint>").alias("steps"))
         return F.aggregate("cands", zero, pick, lambda acc: acc["steps"])
 
-    if enter is None and not cands.filter("chunk > 0").take(1):          # every stream fits into its first chunk
-        return cands.select("stream", "pid", F.explode(picks(_none())).alias("step"))
-
     dist = F.sequence(F.lit(1), F.lit(reach + 1))
 
     start = F.col("chunk") * F.lit(size)

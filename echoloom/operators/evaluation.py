@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from echoloom.operators.chunks import chunk_window, with_halo
-from echoloom.operators.detector import Policy, detect, policy_table
+from echoloom.operators.detector import Policy, detect, first_trigger, policy_table
 from echoloom.operators.joins import first_in_interval
 from echoloom.operators.metrics import ratio
 from echoloom.operators.running import exact_quantiles, running
@@ -14,6 +13,10 @@ from echoloom.operators.running import exact_quantiles, running
 STEP_SECONDS = 0.1
 RATE = 16000
 HOP = 1600
+#: steps in a smoothing chunk, chunks in a group, and levels of groups before a stream is one group
+SMOOTH_CHUNK = 64
+SMOOTH_GROUP = 256
+SMOOTH_LEVELS = 2
 
 
 def hours(steps: Column) -> Column:
@@ -24,17 +27,51 @@ def per_hour(events: Column, steps: Column) -> Column:
     return events / F.greatest(hours(steps), F.lit(1e-9))
 
 
-def smoothed(scores: DataFrame, agg: str, lookback: int = 128, alpha: float = 0.6, decay: float = 0.85) -> DataFrame:
-    """The smoothed score per step without any trigger. Beyond ``lookback`` steps the remaining
-    share of an old score is below 1e-9."""
-    w = chunk_window().rowsBetween(-(lookback - 1), 0)
+def smoothed(scores: DataFrame, agg: str, alpha: float = 0.6, decay: float = 0.85, size: int = SMOOTH_CHUNK,
+             group: int = SMOOTH_GROUP) -> DataFrame:
+    """The smoothed score per step without any trigger, exact for every ``alpha`` and ``decay``.
+
+    A run of steps maps the score before it to the score after it: ``max(v, f * e)`` for the peak
+    hold and ``v + f * e`` for the mean, with two numbers (f, v) per run. Streams are cut into chunks
+    of ``size`` steps; the chunks' numbers are composed in groups, the groups in groups again, and
+    the entry scores are handed back down. So a long stream needs no long window and no look-back.
+    """
+    keep = decay if agg == "maxhold" else 1.0 - alpha
     x = F.when(F.col("gated"), F.lit(0.0)).otherwise(F.col("p"))
-    rows = with_halo(scores, lookback).withColumn("past", F.collect_list(x).over(w))
-    if agg == "maxhold":
-        val = F.aggregate("past", F.lit(0.0), lambda h, v: F.greatest(v, h * F.lit(decay)))
-    else:
-        val = F.aggregate("past", F.lit(0.0), lambda e, v: F.lit(alpha) * v + F.lit(1.0 - alpha) * e)
-    return rows.filter("own").withColumn("score", val).drop("past", "own", "chunk")
+
+    def after(e: Column, f: Column, v: Column) -> Column:
+        return F.greatest(v, f * e) if agg == "maxhold" else v + f * e
+
+    def one(v: Column) -> Column:
+        return v if agg == "maxhold" else F.lit(alpha) * v
+
+    def through(items: Column) -> Column:
+        """(f, v) of a run of items in order."""
+        return F.aggregate(items, F.struct(F.lit(1.0).alias("f"), F.lit(0.0).alias("v")),
+                           lambda a, i: F.struct((a["f"] * i["f"]).alias("f"), after(a["v"], i["f"], i["v"]).alias("v")))
+
+    def entries(items: DataFrame, levels: int) -> DataFrame:
+        """(stream, i, e): the score before each item (stream, i, f, v)."""
+        up = F.floor(F.col("i") / F.lit(group)) if levels else F.lit(0).cast("bigint")
+        grouped = items.withColumn("g", up)
+        before = Window.partitionBy("stream", "g").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+        placed = grouped.withColumn("past", F.collect_list(F.struct("f", "v")).over(before))
+        entry = F.lit(0.0)
+        if levels:
+            run = grouped.groupBy("stream", "g").agg(F.sort_array(F.collect_list(F.struct("i", "f", "v"))).alias("all"))
+            run = run.select("stream", F.col("g").alias("i"), through(F.col("all")).alias("m")).select("stream", "i", "m.f", "m.v")
+            outer = entries(run, levels - 1).select("stream", F.col("i").alias("g"), F.col("e").alias("outer"))
+            placed = placed.join(outer, ["stream", "g"])
+            entry = F.col("outer")
+        return placed.select("stream", "i", F.aggregate("past", entry, lambda e, i: after(e, i["f"], i["v"])).alias("e"))
+
+    rows = scores.withColumn("i", F.floor(F.col("step") / F.lit(size))).withColumn("x", x)
+    own = rows.groupBy("stream", "i").agg(F.sort_array(F.collect_list(F.struct("step", "x"))).alias("all"))
+    own = own.select("stream", "i", through(F.transform("all", lambda r: F.struct(F.lit(keep).alias("f"), one(r["x"]).alias("v")))).alias("m"))
+    start = entries(own.select("stream", "i", "m.f", "m.v"), SMOOTH_LEVELS)
+    so_far = Window.partitionBy("stream", "i").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
+    placed = rows.withColumn("past", F.collect_list("x").over(so_far)).join(start, ["stream", "i"])
+    return placed.withColumn("score", F.aggregate("past", F.col("e"), lambda e, v: after(e, F.lit(keep), one(v)))).drop("past", "e", "i", "x")
 
 
 def soundscape_stress(scores: DataFrame, threshold: float, by: list[str], stride: int = 10) -> DataFrame:
@@ -47,10 +84,11 @@ def soundscape_stress(scores: DataFrame, threshold: float, by: list[str], stride
     return g.filter("frames > 0").withColumn("hours", hours(F.col("steps")))
 
 
-def rejection(scores: DataFrame, threshold: float, chunk_steps: int = 10, chunks: int = 5) -> DataFrame:
-    """Per stream: chunks at or above the threshold among the first ``chunks``, and the file verdict."""
-    per_chunk = (scores.filter(F.col("step") < chunk_steps * chunks)
-                 .groupBy("stream", F.floor(F.col("step") / chunk_steps).alias("c"))
+def rejection(scores: DataFrame, threshold: float, chunk_steps: int = 10, chunks: int | None = None) -> DataFrame:
+    """Per stream: chunks at or above the threshold, and the file verdict. ``chunks`` limits a stream to
+    its first ones, as a quick test does; without it all are read."""
+    read = scores if chunks is None else scores.filter(F.col("step") < chunk_steps * chunks)
+    per_chunk = (read.groupBy("stream", F.floor(F.col("step") / chunk_steps).alias("c"))
                  .agg(F.max("p").alias("p"), F.count(F.lit(1)).alias("k")).filter(F.col("k") == chunk_steps))
     return per_chunk.groupBy("stream").agg(
         F.count(F.lit(1)).alias("chunks"), F.count_if(F.col("p") >= threshold).alias("chunk_alarms"),
@@ -76,19 +114,26 @@ def latency(results: DataFrame, origin: str) -> DataFrame:
 
 
 def frame_vs_confirmed(scores: DataFrame, trials: DataFrame, policy: Policy) -> DataFrame:
-    """Per SNR: trials with any frame over the bar against trials the detector confirmed."""
-    per_stream = scores.groupBy("stream").agg(F.max(F.col("p") >= policy.threshold).alias("frame_hit"))
-    fired = detect(scores, [policy]).select("stream").distinct().withColumn("fired", F.lit(True))
+    """Per SNR: trials with any smoothed score over the bar against trials the detector confirmed.
+
+    A trial is fed until the detector confirms, so the scores that count are the smoothed ones up to
+    and including its first trigger.
+    """
+    first = first_trigger(detect(scores, [policy])).select("stream", "first_step")
+    fed = smoothed(scores, policy.agg, policy.alpha, policy.decay).join(first, "stream", "left").filter("first_step IS NULL OR step <= first_step")
+    fed = fed.select("stream", F.col("score").alias("p"))
+    per_stream = fed.groupBy("stream").agg(F.max(F.col("p") >= policy.threshold).alias("frame_hit"))
+    fired = first.select("stream", F.lit(True).alias("fired"))
     t = trials.join(per_stream, "stream").join(fired, "stream", "left")
     g = t.groupBy("snr").agg(F.count(F.lit(1)).alias("trials"), F.count_if("frame_hit").alias("frame_hits"),
                              F.count_if(F.coalesce("fired", F.lit(False))).alias("confirmed"))
-    with_snr = scores.select("stream", "p").join(trials.select("stream", "snr"), "stream")
+    with_snr = fed.join(trials.select("stream", "snr"), "stream")
     q = exact_quantiles(with_snr, ["snr"], "p", {"median": 0.5, "p10": 0.1})
     return g.join(q, "snr").withColumn("gap", ratio(F.col("frame_hits") - F.col("confirmed"), F.col("trials")))
 
 
-def control_arm(keyword: DataFrame, control: DataFrame, trials: DataFrame, policy: Policy) -> DataFrame:
-    """Detection on the keyword arm and false alarms per hour on the same beds without it.
+def matched_arms(keyword: DataFrame, control: DataFrame, trials: DataFrame, policy: Policy) -> DataFrame:
+    """Trials with ``hit`` on the keyword arm and ``control_hits`` on the same bed without the keyword.
 
     Both arms run through one detection; the arm is part of the stream key and dropped again
     before the beds are matched.
@@ -99,11 +144,17 @@ def control_arm(keyword: DataFrame, control: DataFrame, trials: DataFrame, polic
     n = n.select(F.col("stream.arm").alias("arm"), F.col("stream.bed").alias("stream"), "n")
     kw = n.filter("arm = 'kw'").select("stream", F.lit(True).alias("hit"))
     ctl = n.filter("arm = 'control'").select("stream", F.col("n").alias("ctl_hits"))
+    per_bed = trials.join(kw, "stream", "left").join(ctl, "stream", "left")
+    return per_bed.withColumn("hit", F.coalesce("hit", F.lit(False))).withColumn("control_hits", F.coalesce("ctl_hits", F.lit(0))).drop("ctl_hits")
+
+
+def control_arm(keyword: DataFrame, control: DataFrame, trials: DataFrame, policy: Policy) -> DataFrame:
+    """Detection on the keyword arm and false alarms per hour on the same beds without it."""
     steps = control.groupBy("stream").agg(F.count(F.lit(1)).alias("steps"))
-    per_bed = trials.join(kw, "stream", "left").join(ctl, "stream", "left").join(steps, "stream")
+    per_bed = matched_arms(keyword, control, trials, policy).join(steps, "stream")
     g = per_bed.groupBy("snr").agg(
-        F.count(F.lit(1)).alias("trials"), F.count_if(F.coalesce("hit", F.lit(False))).alias("detected"),
-        F.coalesce(F.sum("ctl_hits"), F.lit(0)).alias("control_hits"), F.sum("steps").alias("steps"))
+        F.count(F.lit(1)).alias("trials"), F.count_if("hit").alias("detected"),
+        F.sum("control_hits").alias("control_hits"), F.sum("steps").alias("steps"))
     return g.withColumn("detection", ratio("detected", "trials")).withColumn(
         "control_fa_per_hour", per_hour(F.col("control_hits"), F.col("steps"))).drop("steps")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -76,15 +76,26 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-#: rows above which a lookup table is no longer broadcast
-BROADCAST_ROWS = 200_000
+#: bytes above which a lookup table is no longer broadcast
+BROADCAST_BYTES = 16 << 20
 
 
-def checked_broadcast(dim: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only if ``dim`` was counted and found small; else leave the join to AQE.
+def row_bytes(df: DataFrame) -> Column:
+    """About how many bytes a row takes: texts and arrays by their length, all else 8 bytes a column."""
+    def one(name: str, kind: str) -> Column:
+        if kind in ("string", "binary"):
+            return F.coalesce(F.octet_length(F.col(name)), F.lit(0))
+        if kind.startswith("array"):
+            return F.greatest(F.coalesce(F.size(F.col(name)), F.lit(0)), F.lit(0)) * 16
+        return F.lit(8)
+    return sum((one(f"`{c}`", k) for c, k in df.dtypes), F.lit(16)).cast("long")
+
+
+def checked_broadcast(dim: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast only if ``dim`` was measured and found small; else leave the join to AQE.
 
     The table is written once to the shared folder, so the check does not compute it twice.
     """
     stored = materialize(dim, "dim")
-    few = stored.limit(max_rows + 1).count() <= max_rows
-    return F.broadcast(stored) if few else stored
+    size = stored.agg(F.coalesce(F.sum(row_bytes(stored)), F.lit(0))).first()[0]
+    return F.broadcast(stored) if size <= max_bytes else stored

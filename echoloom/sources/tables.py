@@ -35,13 +35,16 @@ def label_by_directory(files: DataFrame) -> DataFrame:
 # ---- index ------------------------------------------------------------------------------------
 
 def read_index(spark: SparkSession, path: str, fallback: DataFrame | None = None) -> DataFrame:
-    """(path, class, duration_s, sr) from either index layout; the fallback listing if it is empty."""
-    head = spark.read.option("header", "true").csv(path)
-    name = "path" if "path" in head.columns else "file"
-    schema = T.StructType.fromDDL(INDEX_SCHEMA if name == "path" else INDEX_VARIANT)
-    rows = spark.read.option("header", "true").schema(schema).csv(path)
-    sr = F.col("sr") if "sr" in rows.columns else F.lit(None).cast("int")
-    index = rows.select(F.regexp_replace(name, r"\\", "/").alias("path"), "class", "duration_s", sr.alias("sr"))
+    """(path, class, duration_s, sr) from either index layout; the fallback listing if it is empty.
+
+    Columns are bound by the names in the header, in any order; further ones are ignored.
+    """
+    rows = spark.read.option("header", "true").csv(path)
+    layout = T.StructType.fromDDL(INDEX_SCHEMA if "path" in rows.columns else INDEX_VARIANT)
+    typed = {f.name: (F.col(f.name) if f.name in rows.columns else F.lit(None)).try_cast(f.dataType) for f in layout.fields}
+    name = layout.fieldNames()[0]
+    index = rows.select(F.regexp_replace(typed[name], r"\\", "/").alias("path"), typed["class"].alias("class"),
+                        typed["duration_s"].alias("duration_s"), typed.get("sr", F.lit(None).cast("int")).alias("sr"))
     if fallback is None:
         return index
     empty = index.agg(F.count(F.lit(1)) == 0).scalar()
@@ -124,10 +127,17 @@ def verify(recorded: DataFrame, actual: DataFrame) -> DataFrame:
     return diffs.unionByName(none)
 
 
-def table_digest(df: DataFrame, cols: list[str], chars: int = 8) -> DataFrame:
-    """Digest that does not depend on row order: sums of the leading hex digits of row hashes."""
-    h = F.conv(F.substring(F.sha2(F.concat_ws("|", *cols), 256), 1, chars), 16, 10).cast("bigint")
-    return df.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(h), F.lit(0)).alias("digest"))
+def table_digest(df: DataFrame, cols: list[str]) -> DataFrame:
+    """Digest that does not depend on row order: the sum of 60-bit row hashes, as text.
+
+    Each value goes in with its length in front and NULL as a sign of its own, so neither NULLs nor
+    separators inside values make two different rows look alike.
+    """
+    def part(c: str) -> Column:
+        v = F.col(c).cast("string")
+        return F.coalesce(F.concat(F.length(v), F.lit(":"), v), F.lit("-"))
+    h = F.conv(F.substring(F.sha2(F.concat(*(part(c) for c in cols)), 256), 1, 15), 16, 10).cast("decimal(38,0)")
+    return df.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(h), F.lit(0)).cast("string").alias("digest"))
 
 
 def build_key(config: dict, digest: str) -> str:

@@ -72,10 +72,14 @@ def test_speed_keeps_length(spark, sig, f):
         assert np.allclose(got, sig[0])
 
 
-@pytest.mark.parametrize("beta", [-0.25, 0.0, 0.2])
+def test_level_range_is_a_whole_number():
+    assert [A.gain_span(v) for v in (0.0, 6.0, 12.0, 24.0)] == [0.0, 1.0, 2.0, 3.0]
+
+
+@pytest.mark.parametrize("beta", [-0.9, -0.25, 0.0, 0.2, 0.9])
 def test_cadence_warp(spark, sig, beta):
     t = np.linspace(0, 1, 200)
-    want = np.interp(np.clip(t + beta * t * (1 - t), 0, 1), t, sig[0])
+    want = np.interp(t, np.clip(t + beta * t * (1 - t), 0, 1), sig[0])       # samples sit at the warped times
     assert np.allclose(one(spark, A.cadence_warp(X(), beta), x=sig[0]), want)
 
 

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -95,3 +96,29 @@ def test_scan_and_engine_differ_in_span_mode(spark):
 def test_no_trigger_gives_no_rows(spark):
     df = spark.range(20).select(F.lit(1).alias("stream"), F.col("id").alias("step"), F.lit(0.1).alias("p"), F.lit(False).alias("gated"))
     assert detect(df, [Policy(0.68)]).count() == 0
+
+
+@pytest.mark.parametrize(("agg", "alpha", "decay"), [("maxhold", 0.6, 0.999), ("maxhold", 0.6, 0.85), ("ema", 0.01, 0.85), ("ema", 0.6, 0.85), ("ema", 1.0, 0.85)])
+def test_smoothing_is_exact_over_long_streams(spark, agg, alpha, decay):
+    from echoloom.operators.evaluation import smoothed
+
+    rng = np.random.default_rng(3)
+    p = np.where(rng.random(10_000) < 0.002, rng.random(10_000), 0.0)
+    p[0] = 1.0
+    rows = [("s", i, float(v), i % 17 == 3) for i, v in enumerate(p)] + [("t", 0, 0.5, False)]
+    df = spark.createDataFrame(rows, "stream string, step long, p double, gated boolean")
+    got = {r["step"]: r["score"] for r in smoothed(df, agg, alpha, decay, size=16, group=8).filter("stream = 's'").collect()}
+    e = 0.0
+    for i, v in enumerate(p):
+        x = 0.0 if i % 17 == 3 else v
+        e = max(x, decay * e) if agg == "maxhold" else alpha * x + (1 - alpha) * e
+        assert abs(got[i] - e) < 1e-12
+    assert len(got) == len(p)
+
+
+def test_settings_without_forgetting_are_refused():
+    from echoloom.operators.detector import Policy
+
+    with pytest.raises(ValueError, match="decay"):
+        Policy(0.5, decay=1.0)
+    assert Policy(0.5, agg="ema", alpha=1.0).lookback >= 1

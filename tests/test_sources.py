@@ -137,3 +137,15 @@ def test_shared_folder_comes_from_the_session(spark):
     assert scratch_root(spark) == spark.sparkContext.getConf().get("spark.checkpoint.dir")
     df = materialize(spark.range(5), "t")
     assert df.count() == 5 and df.inputFiles()[0].startswith("file://" + scratch_root(spark))
+
+
+def test_digest_sees_where_a_null_is(spark):
+    rows = [("a", None, "b"), ("a", "b", None), ("a|b", None, ""), ("a", "b|", "")]
+    got = {T.table_digest(spark.createDataFrame([r], "x string, y string, z string"), ["x", "y", "z"]).first()["digest"] for r in rows}
+    assert len(got) == len(rows)
+
+
+def test_index_columns_are_bound_by_name(spark, tmp_path):
+    (tmp_path / "i.csv").write_text("class,note,sr,path,duration_s\ndog,n,16000,a\\b.wav,1.25\ncat,n,x,c.wav,\n")
+    got = sorted(map(tuple, T.read_index(spark, str(tmp_path / "i.csv")).collect()))
+    assert got == [("a/b.wav", "dog", 1.25, 16000), ("c.wav", "cat", None, None)]

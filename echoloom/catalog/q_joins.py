@@ -115,6 +115,17 @@ def j12(spark, sf):
             .unionByName(leaked.select("doc_id", F.lit("leaked").alias("status"))))
 
 
+@query("j12_benchmark_isolation", r"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[^\s]+') AS ws FROM documents),
+b AS (SELECT item_id, regexp_extract_all(lower(text), '[^\s]+') AS ws FROM benchmark),
+g AS (SELECT DISTINCT array_to_string(ws[i : i + 7], ' ') AS gram FROM (SELECT ws, unnest(range(1, len(ws) - 6)) AS i FROM b)),
+h AS (SELECT DISTINCT doc_id FROM (SELECT doc_id, array_to_string(ws[i : i + 7], ' ') AS gram FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM w)) SEMI JOIN g USING (gram))
+SELECT doc_id, CASE WHEN h.doc_id IS NULL THEN 'clean' ELSE 'leaked' END AS status FROM documents LEFT JOIN h USING (doc_id)""")
+def j12_benchmark(spark, sf):
+    """Documents that hold eight words in a row of an evaluation item, wherever they stand in the text."""
+    clean, leaked = J.held_out_passages(table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "benchmark"), "doc_id", "text", 8)
+    return clean.select("doc_id", F.lit("clean").alias("status")).unionByName(leaked.select("doc_id", F.lit("leaked").alias("status")))
+
+
 # ---- projections and predicates ---------------------------------------------------------------
 
 NAMES_SQL = """nm AS (SELECT page_id, url, 'bank/' || CASE page_id % 6

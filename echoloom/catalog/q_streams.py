@@ -112,12 +112,27 @@ def d11(spark, sf):
 GRID = D.grid(dims.SWEEP_THRESHOLDS, dims.POLICIES, ["ema", "maxhold"])
 BUDGET = 1500.0
 
-SWEEP_TAIL = f""", tot AS (SELECT count(*) AS n FROM ev), nt AS (SELECT count(*) AS n FROM trials),
-fr AS (SELECT thr, count(e.p) AS frames FROM (SELECT DISTINCT thr FROM pol) LEFT JOIN (SELECT * FROM ev WHERE NOT gated AND step % 10 = 0) e ON e.p >= thr GROUP BY thr),
+# three inputs: soundscapes, speech and trials are different streams
+ROLE_SQL = "(CASE stream % 3 WHEN 0 THEN 'soundscape' WHEN 1 THEN 'speech' ELSE 'trial' END)"
+
+
+def _scores(spark, sf):
+    """Scores of all three inputs, stored once for the several passes of a sweep."""
+    role = F.element_at(F.array(F.lit("soundscape"), F.lit("speech"), F.lit("trial")), (1 + F.col("stream") % 3).cast("int"))
+    return materialize(streams(spark, sf).select("stream", "step", "p", "gated", "class", role.alias("role")), "scores")
+
+
+def _trials(spark, sf):
+    return trials(users(spark, sf).filter("stream % 3 = 2"))
+
+
+SWEEP_TAIL = f""", tot AS (SELECT count(*) FILTER ({ROLE_SQL} = 'soundscape') AS sn, count(*) FILTER ({ROLE_SQL} = 'speech') AS sp FROM ev),
+nt AS (SELECT count(*) AS n FROM trials WHERE {ROLE_SQL} = 'trial'),
+fr AS (SELECT thr, count(e.p) AS frames FROM (SELECT DISTINCT thr FROM pol) LEFT JOIN (SELECT * FROM ev WHERE NOT gated AND step % 10 = 0 AND {ROLE_SQL} = 'soundscape') e ON e.p >= thr GROUP BY thr),
 ps AS (SELECT stream, pid, min(step) AS fs, count(*) AS n FROM det GROUP BY ALL),
-ag AS (SELECT pid, sum(ps.n)::BIGINT AS triggers, count(*) FILTER (fs * 1600 <= kw_end + 3200) AS hits FROM ps JOIN trials USING (stream) GROUP BY pid),
+ag AS (SELECT pid, sum(ps.n) FILTER ({ROLE_SQL} = 'speech')::BIGINT AS triggers, count(*) FILTER ({ROLE_SQL} = 'trial' AND fs * 1600 <= kw_end + 3200) AS hits FROM ps JOIN trials USING (stream) GROUP BY pid),
 sw AS (SELECT pol.pid, thr AS threshold, agg, need, span, refr, coalesce(triggers, 0) AS triggers, coalesce(hits, 0) AS hits,
-  frames / greatest(tot.n * 0.1 / 3600.0, 1e-9) AS noise_fa, coalesce(triggers, 0) / greatest(tot.n * 0.1 / 3600.0, 1e-9) AS speech_fa,
+  frames / greatest(tot.sn * 0.1 / 3600.0, 1e-9) AS noise_fa, coalesce(triggers, 0) / greatest(tot.sp * 0.1 / 3600.0, 1e-9) AS speech_fa,
   coalesce(hits, 0) / greatest(1, nt.n) AS recall FROM pol JOIN fr USING (thr) LEFT JOIN ag USING (pid), tot, nt),
 best AS (SELECT * FROM sw WHERE noise_fa + speech_fa <= {BUDGET} ORDER BY recall DESC, pid LIMIT 1)"""
 
@@ -126,16 +141,14 @@ best AS (SELECT * FROM sw WHERE noise_fa + speech_fa <= {BUDGET} ORDER BY recall
 SELECT agg, need, span, threshold, triggers, hits, round(noise_fa, 6) AS noise_fa, round(speech_fa, 6) AS speech_fa,
   round(noise_fa + speech_fa, 6) AS total_fa, round(recall, 6) AS recall FROM sw"""))
 def d12(spark, sf):
-    s = streams(spark, sf)
-    t = E.sweep(s, trials(users(spark, sf)), GRID)
+    t = E.sweep(_scores(spark, sf), _trials(spark, sf), GRID)
     return t.select("agg", "need", "span", "threshold", "triggers", "hits", *[r6(c).alias(c) for c in ("noise_fa", "speech_fa", "total_fa", "recall")])
 
 
 @query("k4_best_recall_under_budget", _det_sql(GRID, SWEEP_TAIL + """
 SELECT agg, need, span, threshold, round(noise_fa + speech_fa, 6) AS total_fa, round(recall, 6) AS recall FROM best"""))
 def k4(spark, sf):
-    s = streams(spark, sf)
-    return E.choose(E.sweep(s, trials(users(spark, sf)), GRID), BUDGET).select(
+    return E.choose(E.sweep(_scores(spark, sf), _trials(spark, sf), GRID), BUDGET).select(
         "agg", "need", "span", "threshold", r6("total_fa").alias("total_fa"), r6("recall").alias("recall"))
 
 
@@ -143,25 +156,25 @@ def k4(spark, sf):
 SELECT threshold, agg, need, span, CASE WHEN span > need THEN span ELSE 0 END AS confirm_window, refr AS refractory_steps,
   round(recall, 6) AS recall, round(noise_fa + speech_fa, 6) AS fa_per_hour FROM best"""))
 def t5(spark, sf):
-    s = streams(spark, sf)
-    f = E.freeze(E.choose(E.sweep(s, trials(users(spark, sf)), D.grid(dims.SWEEP_THRESHOLDS, ["2/3"], ["ema", "maxhold"])), BUDGET))
+    f = E.freeze(E.choose(E.sweep(_scores(spark, sf), _trials(spark, sf), D.grid(dims.SWEEP_THRESHOLDS, ["2/3"], ["ema", "maxhold"])), BUDGET))
     return f.withColumn("recall", r6("recall")).withColumn("fa_per_hour", r6("fa_per_hour"))
 
 
 FLAG_GRID = D.grid(dims.SWEEP_THRESHOLDS)
 
 
-@query("flagship_false_alarms_per_class", _det_sql(FLAG_GRID, SWEEP_TAIL + """, d AS (SELECT class, count(*) AS triggers FROM det JOIN best USING (pid) JOIN ev USING (stream, step) GROUP BY class),
-h AS (SELECT class, count(*) * 0.1 / 3600.0 AS hours FROM ev GROUP BY class)
+@query("flagship_false_alarms_per_class", _det_sql(FLAG_GRID, SWEEP_TAIL + f""", d AS (SELECT class, count(*) AS triggers FROM det JOIN best USING (pid) JOIN ev USING (stream, step) WHERE {ROLE_SQL} = 'soundscape' GROUP BY class),
+h AS (SELECT class, count(*) * 0.1 / 3600.0 AS hours FROM ev WHERE {ROLE_SQL} = 'soundscape' GROUP BY class)
 SELECT class, threshold, coalesce(d.triggers, 0) AS triggers, round(hours, 6) AS hours, round(coalesce(d.triggers, 0) / hours, 6) AS fa_per_hour
 FROM h LEFT JOIN d USING (class), best"""))
 def flagship(spark, sf):
-    """False alarms per hour per class, at the threshold with the best recall within the budget."""
-    s = streams(spark, sf)
-    found = D.detect(s, FLAG_GRID)
-    best = E.choose(E.sweep(s, trials(users(spark, sf)), FLAG_GRID, detections=found), BUDGET).select("pid", "threshold")
-    det = found.join(F.broadcast(best), "pid")                             # one row
-    hits = det.join(s.select("stream", "step", "class"), ["stream", "step"]).groupBy("class").agg(F.count(F.lit(1)).alias("triggers"))
+    """False alarms per hour per soundscape class, at the threshold with the best recall within the budget."""
+    scores = _scores(spark, sf)
+    found = D.detect(scores, FLAG_GRID)
+    best = E.choose(E.sweep(scores, _trials(spark, sf), FLAG_GRID, detections=found), BUDGET).select("pid", "threshold")
+    best = F.broadcast(materialize(best, "operating_point"))               # one row, used twice
+    s = scores.filter("role = 'soundscape'")
+    hits = found.join(best, "pid").join(s.select("stream", "step", "class"), ["stream", "step"]).groupBy("class").agg(F.count(F.lit(1)).alias("triggers"))
     h = s.groupBy("class").agg(E.hours(F.count(F.lit(1))).alias("hours"))
     n = F.coalesce("triggers", F.lit(0))
     return h.join(hits, "class", "left").withColumn("threshold", best.select("threshold").scalar()).select(

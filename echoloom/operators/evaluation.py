@@ -161,29 +161,35 @@ def control_arm(keyword: DataFrame, control: DataFrame, trials: DataFrame, polic
 
 def sweep(scores: DataFrame, trials: DataFrame, policies: list[Policy], stride: int = 10,
           detections: DataFrame | None = None) -> DataFrame:
-    """One row per policy: frame and debounced false alarms per hour, and recall over the trials.
+    """One row per policy: false alarms per hour on soundscapes and on speech, and recall over the trials.
 
-    All policies run in one detection over scores that are read once.
+    ``scores`` holds three inputs told apart by ``role``: frames of 'soundscape' streams at or above the
+    threshold and confirmed triggers in 'speech' streams are false alarms, each over the hours of its
+    own input; triggers in 'trial' streams count as recall if they are in time, and never as false
+    alarms. All policies run in one detection.
     """
     spark = scores.sparkSession
-    det = detect(scores, policies) if detections is None else detections
-    total = scores.agg(F.count(F.lit(1))).scalar()
-    n_trials = trials.agg(F.count(F.lit(1))).scalar()
+    det = detect(scores.filter("role <> 'soundscape'"), policies) if detections is None else detections
+    steps = scores.agg(*(F.count_if(F.col("role") == r).alias(r) for r in ("soundscape", "speech")))
+    n_trials = trials.agg(F.count(F.lit(1)).alias("n_trials"))
     thresholds = sorted({p.threshold for p in policies})
-    scored = scores.filter(~F.col("gated") & (F.col("step") % stride == 0))
+    scored = scores.filter((F.col("role") == "soundscape") & ~F.col("gated") & (F.col("step") % stride == 0))
     frames = (scored.select(F.explode(F.filter(
         F.array(*[F.lit(float(t)) for t in thresholds]), lambda t: t <= F.col("p"))).alias("threshold"))
         .groupBy("threshold").agg(F.count(F.lit(1)).alias("frames")))
-    per_stream = det.groupBy("stream", "pid").agg(F.min("step").alias("first_step"), F.count(F.lit(1)).alias("n"))
-    hit = F.col("first_step") * HOP <= F.col("kw_end") + 3200
+    roles = scores.groupBy("stream").agg(F.first("role").alias("role"))
+    per_stream = det.groupBy("stream", "pid").agg(F.min("step").alias("first_step"), F.count(F.lit(1)).alias("n")).join(roles, "stream")
+    hit = (F.col("role") == "trial") & (F.col("first_step") * HOP <= F.col("kw_end") + 3200)
     agg = (per_stream.join(trials, "stream", "left").groupBy("pid")
-           .agg(F.sum("n").alias("triggers"), F.count_if(hit).alias("hits")))
+           .agg(F.sum(F.when(F.col("role") == "speech", F.col("n"))).alias("triggers"), F.count_if(hit).alias("hits")))
     t = policy_table(spark, policies).join(agg, "pid", "left").join(frames, "threshold", "left")
+    # two tables of one row each
+    t = t.join(F.broadcast(steps)).join(F.broadcast(n_trials))
     t = t.withColumn("triggers", F.coalesce("triggers", F.lit(0))).withColumn("hits", F.coalesce("hits", F.lit(0)))
-    t = t.withColumn("noise_fa", per_hour(F.coalesce("frames", F.lit(0)), total)).withColumn(
-        "speech_fa", per_hour(F.col("triggers"), total))
+    t = t.withColumn("noise_fa", per_hour(F.coalesce("frames", F.lit(0)), F.col("soundscape"))).withColumn(
+        "speech_fa", per_hour(F.col("triggers"), F.col("speech")))
     return (t.withColumn("total_fa", F.col("noise_fa") + F.col("speech_fa"))
-            .withColumn("recall", F.col("hits") / F.greatest(F.lit(1), n_trials)).drop("frames"))
+            .withColumn("recall", F.col("hits") / F.greatest(F.lit(1), F.col("n_trials"))).drop("frames", "soundscape", "speech", "n_trials"))
 
 
 def choose(table: DataFrame, fa_budget: float) -> DataFrame:

@@ -74,6 +74,19 @@ def held_out(pool: DataFrame, evaluation: DataFrame, content: str) -> tuple[Data
     return p.join(e, "content_hash", "left_anti"), p.join(e, "content_hash", "left_semi")
 
 
+def held_out_passages(pool: DataFrame, evaluation: DataFrame, key: str, text: str, n: int) -> tuple[DataFrame, DataFrame]:
+    """(clean pool, leaked rows): pool rows that hold no, or some, ``n`` words in a row of an evaluation text.
+
+    Both sides are reduced to distinct hashes of word runs; only the hashes move.
+    """
+    def runs(df: DataFrame, *keep: str) -> DataFrame:
+        words = df.select(*keep, F.regexp_extract_all(F.lower(text), F.lit(r"([^\s]+)"), F.lit(1)).alias("_w"))
+        hashed = F.transform("_w", lambda w, i: F.xxhash64(w, *(F.get("_w", i + k) for k in range(1, n))))
+        return words.select(*keep, F.explode(F.array_distinct(F.slice(hashed, F.lit(1), F.greatest(F.size("_w") - F.lit(n - 1), F.lit(0))))).alias("_h"))
+    hit = runs(pool, key).join(checked_broadcast(runs(evaluation).distinct()), "_h", "left_semi").select(key).distinct()
+    return pool.join(hit, key, "left_anti"), pool.join(hit, key, "left_semi")
+
+
 def first_in_interval(trials: DataFrame, detections: DataFrame, hop: int = 1600, slack: int = 3200) -> DataFrame:
     """Per trial the first trigger, and whether it fell at or before keyword end + ``slack``.
 

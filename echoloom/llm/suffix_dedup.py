@@ -14,10 +14,13 @@ same text) is removed; strings are judged on the input.
 3. Each shard's parts are put together to one byte text and its suffixes are sorted by external
    induced sorting (``suffix_sort``). Runs of suffixes with common prefixes of ``MATCH`` bytes are
    equal windows; all but the earliest of a run are repeats.
-4. Repeats are merged to spans per document and cut out.
+4. A key that more than ``CROWD`` different parts share (a frequent line of 66 to 99 bytes) would land in
+   one task. Its windows are dealt out one by one instead, by two 64-bit hashes of all their bytes, and
+   the earliest of each kind is found by aggregation.
+5. Repeats are merged to spans per document and cut out.
 
-A shard is sorted in pieces that end with a key; one key with more text than memory is sorted from
-the disk queues. Nothing is capped.
+A shard is sorted in pieces that end with a key, from disk queues where it is larger than memory.
+Nothing is capped.
 
 Defined results for odd input: a NULL text is empty. A document without id has no place in the order:
 it is returned whole and takes nothing from others. Rows that repeat an id are one document at one
@@ -35,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from echoloom.llm.common import stored
+from echoloom.llm.common import broadcast_if_small, stored
 from echoloom.llm.suffix_sort import descending
 
 MATCH = 100
@@ -50,6 +53,8 @@ STEP_BYTES = 1 << 20
 HELD_ANCHORS = 1 << 20
 #: bytes of parts that are sorted together, if more than one key is there
 SHARD_BYTES = 4 << 20
+#: parts with one key beyond which its windows are dealt out one by one
+CROWD = 2048
 
 
 def gram_hashes(b: np.ndarray) -> np.ndarray:
@@ -313,11 +318,34 @@ def compare_windows(parts: DataFrame) -> DataFrame:
     return parts.repartition("key").sortWithinPartitions("key").mapInArrow(run, "k long, s long, e long")
 
 
+def crowded_windows(parts: DataFrame) -> DataFrame:
+    """(k, s, e): spans of repeated windows among ``parts``, without bringing a key's parts together."""
+    import pyarrow as pa
+    from xxhash import xxh64_intdigest
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, 1024):
+                part = b.slice(lo, 1024)
+                rows = [(xxh64_intdigest(w, 1), xxh64_intdigest(w, 2), k, s + i)
+                        for k, s, n, t in zip(*(c.to_pylist() for c in part.columns), strict=True) for i in range(n) for w in (t[i:i + MATCH],)]
+                cols = [np.array(c, np.uint64).view(np.int64) for c in zip(*rows, strict=True)] if rows else [np.zeros(0, np.int64)] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["h", "i", "k", "s"])
+
+    windows = stored(parts.select("k", "s", "n", "bytes").mapInArrow(run, "h long, i long, k long, s long"), "windows")
+    first = windows.groupBy("h", "i").agg(F.min(F.struct("k", "s")).alias("first"), F.count(F.lit(1)).alias("m")).filter("m > 1")
+    first = stored(first.select("h", "i", F.col("first.k").alias("fk"), F.col("first.s").alias("fs")), "first_windows")
+    return windows.join(first, ["h", "i"]).filter("k <> fk OR s <> fs").select("k", "s", (F.col("s") + MATCH).alias("e"))
+
+
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(k, s, e) spans of repeats in ``docs`` (k, t); spans of a document may overlap."""
     compared = stored(compare_segments(anchors(docs)), "segments")
     chosen = compared.filter("c > 0").select("k", "s", "c", "p")
-    more = compare_windows(parts_of(docs, chosen))
+    parts = stored(parts_of(docs, chosen), "parts")
+    crowds = parts.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > CROWD)
+    crowds = broadcast_if_small(stored(crowds.select("key"), "crowds"))
+    more = compare_windows(parts.join(crowds, "key", "left_anti")).unionByName(crowded_windows(parts.join(crowds, "key", "left_semi")))
     return stored(more.unionByName(compared.filter("c < 0").select("k", "s", F.col("x").alias("e"))), "spans")
 
 

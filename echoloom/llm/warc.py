@@ -38,10 +38,10 @@ from echoloom.session import scratch_path
 
 CELLS = 16_384
 #: a shard holds about this many payload bytes; small tables get FEWEST shards
-SHARD_BYTES = 512 << 20
+SHARD_BYTES = 256 << 20
 FEWEST = 64
 #: a file is closed when it has reached this many compressed bytes
-ROLL_BYTES = 128 << 20
+ROLL_BYTES = 64 << 20
 MIN_REVISIT_BYTES = 0
 DATE = "2024-01-01T00:00:00Z"
 VERSION = b"WARC/1.1"

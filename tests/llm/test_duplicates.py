@@ -107,7 +107,7 @@ def passages(seed=2):
 @pytest.mark.parametrize("small", [False, True])
 def test_removed_bytes_equal_brute_force(spark, monkeypatch, small):
     if small:
-        for name, value in (("HELD_ANCHORS", 50), ("SHARD_BYTES", 2000), ("STEP_BYTES", 3000)):
+        for name, value in (("HELD_ANCHORS", 50), ("SHARD_BYTES", 2000), ("STEP_BYTES", 3000), ("CROWD", 1)):
             monkeypatch.setattr(suffix_dedup, name, value)
     rows = passages()
     random.Random(1).shuffle(rows)

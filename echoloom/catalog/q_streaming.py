@@ -11,15 +11,22 @@ from echoloom.operators.detector import Policy, engine_policy
 from echoloom.session import scratch_path
 from echoloom.streaming import detector as S
 
+SLICES = 4
 SCAN = Policy(0.68)
 ENGINE = engine_policy(0.68, 2, 3)
 
 
 def event_stream(spark, sf):
-    """The events file as a stream; time is the event time, the event id orders equal times."""
-    schema = spark.read.parquet(f"{sf}/events.parquet").schema
-    ev = (spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
-          .option("maxFilesPerTrigger", 1).parquet(sf))
+    """The events as a stream of several micro-batches, one slice of time after the other; the event id
+    orders equal times."""
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    path = scratch_path(spark, "arrivals")
+    low, high = events.agg(F.min("ts"), F.max("ts")).first()
+    for i in range(SLICES):
+        start, stop = low + (high - low) * i / SLICES, low + (high - low) * (i + 1) / SLICES
+        within = (F.col("ts") >= F.lit(start)) & ((F.col("ts") < F.lit(stop)) if i < SLICES - 1 else F.lit(True))
+        events.filter(within).coalesce(1).write.mode("append").parquet(path)         # one file, so one micro-batch
+    ev = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
     return ev.select(F.col("user_id").alias("stream"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"),
                      F.least(F.lit(1.0), F.col("value") / 150.0).alias("p"), (F.col("value") < 5.0).alias("gated"),
                      F.col("event_type").alias("class"), "value",

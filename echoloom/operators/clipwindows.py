@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from echoloom.functions import arrays as A
 from echoloom.functions.draws import in_range, uniform
 from echoloom.operators.running import hash_ordinal
-from echoloom.session import inline_table
+from echoloom.session import checked_broadcast, inline_table
 
 
 def hop_windows(clips: DataFrame, x: str, win: int, hop: int, inclusive: bool = True, every: int = 1,
@@ -91,13 +91,16 @@ def mel_energy(power: DataFrame, key: list[str], table: DataFrame) -> DataFrame:
 def feature_statistics(df: DataFrame, x: str, by: list[str]) -> DataFrame:
     """Rows, mean rms, and min, max and standard deviation over all elements.
 
-    Each row contributes its element count, sum and sum of squares; nothing is exploded.
+    Nothing is exploded: each row gives its count, mean and squared deviation from its own mean. The
+    deviation of all is the sum of those inside rows and of the row means around the mean of all,
+    so no two large numbers are subtracted.
     """
     c = F.col(x)
-    rows = df.select(*by, A.rms(c).alias("_rms"), F.array_min(c).alias("_lo"), F.array_max(c).alias("_hi"),
-                     F.size(c).alias("_k"), A.total(c).alias("_s"), A.total(c, lambda v: v * v).alias("_q"))
-    g = rows.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), F.avg("_rms").alias("mean_rms"), F.min("_lo").alias("lo"), F.max("_hi").alias("hi"),
-        F.sum("_k").alias("_k"), F.sum("_s").alias("_s"), F.sum("_q").alias("_q"))
-    mean = F.col("_s") / F.col("_k")
-    return g.withColumn("std", F.sqrt(F.greatest(F.lit(0.0), F.col("_q") / F.col("_k") - mean * mean))).drop("_k", "_s", "_q")
+    rows = df.select(*by, A.rms(c).alias("_rms"), F.array_min(c).alias("_lo"), F.array_max(c).alias("_hi"), F.size(c).alias("_k"),
+                     A.let(A.total(c) / F.size(c), lambda m: F.struct(m.alias("m"), A.total(c, lambda v: (v - m) * (v - m)).alias("d"))).alias("_s"))
+    centre = rows.groupBy(*by).agg((F.sum(F.col("_k") * F.col("_s.m")) / F.sum("_k")).alias("_c"), F.count(F.lit(1)).alias("n"), F.avg("_rms").alias("mean_rms"),
+                                   F.min("_lo").alias("lo"), F.max("_hi").alias("hi"))
+    off = F.col("_s.m") - F.col("_c")
+    spread = rows.join(checked_broadcast(centre.select(*by, "_c")), by).groupBy(*by).agg(
+        F.sqrt((F.sum("_s.d") + F.sum(F.col("_k") * off * off)) / F.sum("_k")).alias("std"))
+    return centre.drop("_c").join(spread, by)

@@ -14,6 +14,8 @@ from echoloom.session import materialize, scratch_path
 
 STATE = "step long, hold double, mean double, hits long, lock long"
 OUT = "stream long, step long, score double, ts timestamp"
+#: state of a stream is kept so long after its last row (event time)
+IDLE_MS = 30 * 24 * 3600 * 1000
 
 
 def _ordered(frames: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
@@ -40,28 +42,46 @@ def advance(state, p: float, gated: bool, policy: Policy):
     return (step + 1, hold, mean, hits, lock), (score if fires else None)
 
 
-def triggers(scores: DataFrame, policy: Policy, watermark: str = "10 minutes") -> DataFrame:
+def _on_time(rows: pd.DataFrame, state) -> pd.DataFrame:
+    """Rows not behind the watermark. Spark itself lets through what came late only by the last batch's watermark."""
+    limit = state.getCurrentWatermarkMs()
+    return rows[rows["ts"].astype("datetime64[ms]").astype("int64") >= limit] if limit > 0 else rows
+
+
+def _keep_until(state, rows: pd.DataFrame, idle_ms: int) -> None:
+    """State goes when the watermark is ``idle_ms`` past the stream's last row."""
+    state.setTimeoutTimestamp(max(int(rows["ts"].max().timestamp() * 1000), state.getCurrentWatermarkMs()) + idle_ms)
+
+
+def triggers(scores: DataFrame, policy: Policy, watermark: str = "10 minutes", idle_ms: int = IDLE_MS) -> DataFrame:
     """Trigger stream from a score stream (stream, ts, seq, p, gated).
 
-    State per stream is five numbers. Rows are ordered by time within a micro-batch and taken in
+    State per stream is five numbers and is dropped ``idle_ms`` after the stream's last row. Rows
+    behind the watermark are dropped. The others are ordered by time within a micro-batch and taken in
     arrival order between micro-batches; the result equals the batch detector for in-order input.
     One task handles a stream's rows of one micro-batch, so limit the trigger (files, bytes or
     offsets), or use :func:`run_micro_batches` when a single stream is too hot for that.
     """
     def run(key, frames, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
         cur = state.get if state.exists else (0, 0.0, 0.0, 0, 0)
-        found = []
-        for r in _ordered(frames, ["ts", "seq"]).itertuples():
+        found, rows = [], _on_time(_ordered(frames, ["ts", "seq"]), state)
+        if not len(rows):
+            return
+        for r in rows.itertuples():
             at = cur[0]
             cur, score = advance(cur, r.p, r.gated, policy)
             if score is not None:
                 found.append((key[0], at, score, r.ts))
         state.update(cur)
+        _keep_until(state, rows, idle_ms)
         if found:
             yield pd.DataFrame(found, columns=["stream", "step", "score", "ts"])
 
     return (scores.withWatermark("ts", watermark).groupBy("stream")
-            .applyInPandasWithState(run, OUT, STATE, "append", "NoTimeout"))
+            .applyInPandasWithState(run, OUT, STATE, "append", "EventTimeTimeout"))
 
 
 CARRY = ("stream long, next_step long, last long, "
@@ -114,31 +134,52 @@ def run_micro_batches(scores: DataFrame, policy: Policy, out: str, **trigger) ->
     return scores.sparkSession.read.schema("stream long, step long, batch int").parquet(f"{out}/triggers")
 
 
-SESSION_STATE = "wake_ms long, first_ms long, bytes long, frames long, live boolean"
+SESSION_STATE = "wake_ms long, first_ms long, bytes long, frames long, live boolean, last_ms long"
 SESSION_OUT = "stream long, wake_ms long, frames long, bytes long, duration_s double, first_packet_delta_ms long"
 
 
-def sessions(messages: DataFrame, watermark: str = "10 minutes") -> DataFrame:
-    """Finished wake sessions from control messages and audio frames (stream, ts, seq, kind, bytes)."""
+def sessions(messages: DataFrame, watermark: str = "10 minutes", silence_ms: int | None = None, idle_ms: int = IDLE_MS) -> DataFrame:
+    """Finished wake sessions from control messages and audio frames (stream, ts, seq, kind, bytes).
+
+    A session ends with its end message or, where ``silence_ms`` is given, with a longer pause between
+    two messages; a session still open when its state goes ends then. Late rows are dropped.
+    """
     def run(key, frames, state):
-        wake, first, size, n, live = state.get if state.exists else (0, -1, 0, 0, False)
+        wake, first, size, n, live, last = state.get if state.exists else (0, -1, 0, 0, False, 0)
         done = []
-        for r in _ordered(frames, ["ts", "seq"]).itertuples():
+
+        def closed():
+            return key[0], wake, n, size, size / 32000.0, first - wake if n else None
+
+        rows = None
+        if state.hasTimedOut:
+            if live and silence_ms is not None:
+                done.append(closed())
+            state.remove()
+        else:
+            rows = _on_time(_ordered(frames, ["ts", "seq"]), state)
+        for r in () if rows is None else rows.itertuples():
+            if live and silence_ms is not None and r.ts_ms - last > silence_ms:
+                done.append(closed())
+                live = False
+            last = int(r.ts_ms)
             if r.kind == "wake":
                 wake, first, size, n, live = int(r.ts_ms), -1, 0, 0, True
             elif live and r.kind == "end":
-                done.append((key[0], wake, n, size, size / 32000.0, first - wake if n else None))
+                done.append(closed())
                 live = False
             elif live:
                 first = int(r.ts_ms) if n == 0 else first
                 size, n = size + int(r.bytes), n + 1
-        state.update((wake, first, size, n, live))
+        if rows is not None and len(rows):
+            state.update((wake, first, size, n, live, last))
+            _keep_until(state, rows, silence_ms if live and silence_ms is not None else idle_ms)
         if done:
             out = pd.DataFrame(done, columns=["stream", "wake_ms", "frames", "bytes", "duration_s", "first_packet_delta_ms"])
             yield out.astype({"first_packet_delta_ms": "Int64"})
 
     return (messages.withWatermark("ts", watermark).groupBy("stream")
-            .applyInPandasWithState(run, SESSION_OUT, SESSION_STATE, "append", "NoTimeout"))
+            .applyInPandasWithState(run, SESSION_OUT, SESSION_STATE, "append", "EventTimeTimeout"))
 
 
 def parse_control(raw: DataFrame, body: str = "body") -> DataFrame:

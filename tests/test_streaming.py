@@ -15,7 +15,7 @@ SCORES = "stream long, step long, seq long, ts timestamp, p double, gated boolea
 def score_files(spark, path, n=240, batches=3):
     base = spark.range(n * 4).select(
         (F.col("id") % 4).alias("stream"), F.floor(F.col("id") / 4).alias("step"), F.col("id").alias("seq"),
-        (F.col("id") / 10.0).cast("timestamp").alias("ts"),
+        (86400 + F.col("id") / 10.0).cast("timestamp").alias("ts"),
         (F.abs(F.hash("id")) % 1000 / 1000.0).alias("p"), (F.abs(F.hash("id", F.lit(1))) % 9 == 0).alias("gated"))
     base = base.persist()
     for b in range(batches):
@@ -49,7 +49,7 @@ def messages(spark, n=300):
     k = F.abs(F.hash("id")) % 10
     return spark.range(n).select(
         (F.col("id") % 3).alias("stream"), F.floor(F.col("id") / 3).alias("step"), F.col("id").alias("seq"),
-        F.col("id").cast("timestamp").alias("ts"), (F.col("id") * 1000).alias("ts_ms"),
+        (86400 + F.col("id")).cast("timestamp").alias("ts"), (F.col("id") * 1000).alias("ts_ms"),
         F.when(k == 0, "wake").when(k == 1, "end").otherwise("audio").alias("kind"), (k * 100).cast("long").alias("bytes"),
         F.lit(False).alias("quiet"))
 
@@ -96,3 +96,31 @@ def test_listening_states_capture_the_preroll(spark):
     got = {r.step: (r.state, r.captured) for r in listening_states(s, d).collect()}
     assert [k for k, v in got.items() if v[1]] == [3, 4, 5, 6, 7, 8, 9]
     assert [k for k, v in got.items() if v[0] == "STREAMING"] == [6, 7, 8, 9]
+
+
+def test_late_rows_are_dropped_and_state_expires(spark, tmp_path):
+    def batch(stream, seconds, p):
+        rows = spark.range(5).select(F.lit(stream).cast("long").alias("stream"), (86400 + seconds + F.col("id") / 10.0).cast("timestamp").alias("ts"),
+                                     F.col("id").alias("seq"), F.lit(p).alias("p"), F.lit(False).alias("gated"))
+        rows.coalesce(1).write.mode("append").parquet(f"{tmp_path}/b")
+        return rows.schema
+    batch(1, 100_000, 0.0)
+    batch(1, 200_000, 0.0)
+    batch(1, 100_000, 0.99)              # far behind the watermark
+    batch(2, 500_000, 0.0)
+    batch(2, 510_000, 0.0)               # by now stream 1 has been silent for too long
+    schema = batch(1, 600_000, 0.99)
+    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/b")
+    got = S.run_to_table(S.triggers(src, Policy(0.9), idle_ms=3_600_000), "late").collect()
+    assert [(r["ts"].timestamp(), r["step"]) for r in got] == [(86400 + 600_000 + 0.1, 1)]
+
+
+def test_a_pause_closes_a_session(spark, tmp_path):
+    rows = [(1, 10, "wake"), (1, 11, "audio"), (1, 12, "audio"), (1, 60, "audio"), (1, 61, "end"), (1, 70, "wake"), (1, 71, "audio"), (1, 72, "end")]
+    df = spark.createDataFrame(rows, "stream long, s long, kind string").select(
+        "stream", (86400 + F.col("s")).cast("timestamp").alias("ts"), F.col("s").alias("seq"), "kind", F.lit(100).cast("long").alias("bytes"), (F.col("s") * 1000).alias("ts_ms"))
+    df.coalesce(1).write.parquet(f"{tmp_path}/m")
+    src = lambda: spark.readStream.schema(df.schema).parquet(f"{tmp_path}/m")
+    closed = sorted((r["wake_ms"], r["frames"]) for r in S.run_to_table(S.sessions(src(), silence_ms=5000), "s").collect())
+    assert closed == [(10_000, 2), (70_000, 1)]
+    assert sorted((r["wake_ms"], r["frames"]) for r in S.run_to_table(S.sessions(src()), "s").collect()) == [(10_000, 3), (70_000, 1)]

@@ -183,8 +183,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Dat
     """
     named, unnamed = docs.filter(docs[f"`{id_col}`"].isNotNull()), docs.filter(docs[f"`{id_col}`"].isNull())
     kept = grouped(named, id_col, text).filter("k = component_id").select("k").distinct()
-    kept = stored(kept, "kept").withColumnRenamed("k", "kept_key")
-    turn = fresh(docs, "turn")
-    one = Window.partitionBy("kept_key").orderBy(F.lit(0))
-    first = named.join(kept, named[f"`{id_col}`"] == kept["kept_key"]).withColumn(turn, F.row_number().over(one))
+    turn, mark = fresh(docs, "turn"), fresh(docs, "kept_key")
+    kept = stored(kept, "kept").withColumnRenamed("k", mark)
+    one = Window.partitionBy(mark).orderBy(F.lit(0))
+    first = named.join(kept, named[f"`{id_col}`"] == kept[mark]).withColumn(turn, F.row_number().over(one))
     return first.filter(F.col(turn) == 1).select(*(F.col(f"`{c}`") for c in docs.columns)).unionByName(unnamed)

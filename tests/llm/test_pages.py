@@ -24,6 +24,7 @@ def test_odd_markup_does_not_break():
     assert html_text.blocks("<div class='sidebar'><p>a</div>b")[1] == ["b"]
     assert html_text.blocks("<p>a<br>b&nbsp; c</p><p> </p>d")[1] == ["a b c", "d"]
     assert html_text.blocks("<p class='read adventure'>kept</p>")[1] == ["kept"]
+    assert html_text.blocks("<div class='page with-sidebar no-ads'><p>kept</p><div class='left sidebar'>gone</div></div>")[1] == ["kept"]
 
 
 def test_common_lines_is_a_longest_common_subsequence():

@@ -25,9 +25,10 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-#: entries of each per-worker table (chunks, pre-tokens) before it is emptied, and nodes of a trie
-REMEMBER = 600_000
-MAX_NODES = 1_000_000
+#: entries of each per-worker table (chunks, pre-tokens) before it is emptied, and nodes of a trie;
+#: together they take about 300 MB of a worker
+REMEMBER = 350_000
+MAX_NODES = 700_000
 #: splits a text where any pre-tokenisation has a border: a single space between two visible characters
 CHUNKS = re.compile(r"(?<=\S) (?=\S)")
 #: how the tokenizer file splits text before merging (fixed value of the public tokenizer)

@@ -83,3 +83,38 @@ def test_training_lowers_the_loss():
         counts[(left * lm_score.CLASSES + left + 1) * lm_score.CLASSES + left + 2] = 50
     losses = lm_score.WindowNetwork().fit(counts)
     assert losses[-1] < 0.5 * losses[0]
+
+
+def test_rare_words_have_scores_of_their_own_and_probabilities_add_up(spark):
+    rnd = random.Random(5)
+    many = [f"w{i}" for i in range(400)]
+    texts = [" ".join(rnd.choice(many[:1 + rnd.randrange(400)]) for _ in range(60)) for _ in range(200)]
+    known, network = lm_score.train(spark.createDataFrame([(t,) for t in texts], "text string"))
+    assert len(known) >= lm_score.FREQUENT and network.words.count() == len({w for t in texts for w in t.split()})
+    rare = sorted({w for t in texts for w in t.split()} - {w for w in many if Scan([w.encode()]).hash[0] in known})
+    counts = {r["word"]: r["n"] for r in network.words.collect()}
+    hashed = {w: int(Scan([w.encode()]).hash.view(np.int64)[0]) for w in [*many, "unseen"]}
+    alone = spark.createDataFrame([(i, w) for i, w in enumerate([*many, "unseen"])], "doc_id long, text string")
+    got = {w: r["log_likelihood"] for w, r in zip([*many, "unseen"], lm_score.score(alone, known, network).orderBy("doc_id").collect(), strict=True)}
+    own = {w: int(lm_score.classes(Scan([w.encode()]), known)[1][0]) for w in got}
+    for c in {own[w] for w in rare}:
+        same = sorted((w for w in rare if own[w] == c), key=lambda w: counts[hashed[w]])
+        assert all(abs(got[b] - got[a] - np.log(counts[hashed[b]] / counts[hashed[a]])) < 1e-3 for a, b in zip(same, same[1:], strict=False))
+    # every word of the corpus, and one unseen word in each shared class, have probability one together (classes without words aside)
+    free = {c: -np.log(sum(n for w, n in ((w, counts[hashed[w]]) for w in rare) if own[w] == c) + 1) for c in {own[w] for w in rare}}
+    left = network.table().reshape((network.size,) * 3)[0, 0]
+    seen = sum(np.exp(got[w]) for w in hashed if w != "unseen" and hashed[w] in counts)
+    assert abs(seen + sum(np.exp(left[c] + free[c]) for c in free) + sum(np.exp(left[c]) for c in range(network.size) if c not in set(own.values()) - {own["unseen"]} | set(free)) - 1) < 0.02
+
+
+def test_classes_grow_with_the_corpus_and_gradients_add_up_over_partitions(spark, monkeypatch):
+    rnd = random.Random(6)
+    df = spark.createDataFrame([(i, " ".join(f"v{rnd.randrange(150)}" for _ in range(400))) for i in range(100)], "doc_id long, text string")
+    known, whole = lm_score.train(df)
+    assert len(known) == 150 > lm_score.FREQUENT and whole.size == 151 + lm_score.SHARED
+    monkeypatch.setattr(lm_score, "LOCAL_TRIPLES", 0)
+    monkeypatch.setattr(lm_score, "STEPS", 6)
+    dealt = lm_score.train(df.repartition(5))[1]
+    monkeypatch.setattr(lm_score, "NORMS", 0)
+    a, b = (lm_score.score(df, known, n).agg({"log_likelihood": "sum"}).first()[0] for n in (whole, dealt))
+    assert abs(a / b - 1) < 0.1

@@ -27,6 +27,14 @@ def test_odd_markup_does_not_break():
     assert html_text.blocks("<div class='page with-sidebar no-ads'><p>kept</p><div class='left sidebar'>gone</div></div>")[1] == ["kept"]
 
 
+def test_hints_are_whole_names_and_end_with_their_parent():
+    for c in ("post category-social", "hentry comments-open", "sidebar"):
+        assert html_text.blocks(f"<div class='widget'><article class='{c}'><p>kept</p></article></div>")[0] == ["kept"]
+    page = "<article><section id='related-work'><h2 id='search'>Search</h2>kept</section><div class='ad'>gone<p>gone</article><p>free</p>"
+    assert html_text.blocks(page) == (["Search", "kept"], ["free"])
+    assert html_text.blocks("<article>a<ul><li class=ad>gone<div>gone</div><li>b</ul><div class=related><article>gone</article></div>c</article>")[0] == ["a", "b", "c"]
+
+
 def test_common_lines_is_a_longest_common_subsequence():
     rnd = random.Random(1)
     for _ in range(300):

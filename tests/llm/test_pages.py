@@ -64,6 +64,20 @@ def test_lines_that_neighbours_share_are_deleted(spark):
     assert html_text.extract(df.filter("1 = 0")).collect() == []
 
 
+def test_short_pages_and_runs_of_equal_pages_lose_the_template(spark):
+    top = "".join(f"<p>Template line {i} of this site, the same everywhere, {'x' * 70}</p>" for i in range(5))
+    long = " and so on with more and more words of its own" * 40
+    rows = [(n, f"http://s.org/{n:03d}", f"{top}<p>Page {n}</p>") for n in range(30)]                       # nearly all template
+    rows += [(100 + n, f"http://e.org/{n:03d}", f"{top}<p>Text {n if n < 10 or n > 13 else 'copied'}{long}</p>") for n in range(25)]
+    rows += [(200 + n, f"http://c.org/{n}", f"<p>A long article text{long}</p><p>version {n}</p>") for n in range(2)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for parts in (1, 9):
+        by = {r["page_id"]: r["text"] for r in html_text.extract(df.repartition(parts)).collect()}
+        assert all(by[n] == f"Page {n}" for n in range(30))
+        assert all(by[100 + n] == f"Text {n if n < 10 or n > 13 else 'copied'}{long}" for n in range(25))
+        assert all("article" in by[200 + n] for n in range(2))                                             # two copies, no third page
+
+
 def pages(n=40):
     rnd = random.Random(3)
     rows = [(i, f"http://h/{i}", "".join(rnd.choice("abc <>é") for _ in range(rnd.randint(0, 3000)))) for i in range(n)]

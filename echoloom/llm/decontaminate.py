@@ -7,7 +7,10 @@ of ``WINDOW`` template tokens are hash-joined. Matches of a document and an item
 always stands for one value of the document, and the other way round; windows with a slot that
 does not are not counted. An item is leaked into a document if enough of its windows are found.
 
-So a question copied word for word is found, and so is one with other numbers and names.
+So a question copied word for word is found, and so is one with other numbers and names. Beside its
+template, each window is matched as literal words with case folded, since a copy in another case has
+other names; a window counts as found if either matches. An item without a window of enough plain words
+(all capitals, mostly digits) has all its literal windows instead.
 
 Documents are scanned once. A fixed-size bitmap of the item window hashes keeps most windows from
 leaving the scan; what passes is joined exactly. The bitmap does not grow with either table.
@@ -43,6 +46,7 @@ UNITS = ("kg g mg lb lbs oz ton tons km m cm mm mile miles foot feet inch inches
 
 MIX = np.uint64(0x94D049BB133111EB)
 NUMBER, NAME, UNIT = (np.uint64(v) for v in (0xA5A5A5A5A5A5A5A1, 0xA5A5A5A5A5A5A5A2, 0xA5A5A5A5A5A5A5A3))
+LITERAL = np.uint64(0x5C5C5C5C5C5C5C5C)
 
 
 def _unit_hashes() -> np.ndarray:
@@ -73,18 +77,36 @@ def template(scan: Scan) -> tuple[np.ndarray, np.ndarray]:
 def windows(scan: Scan, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(first token, hash, words, kind per token) of all windows of ``size`` tokens inside one text."""
     t, kind = template(scan)
+    same, h = _window_hashes(t, scan.doc, size)
+    count = np.concatenate([[0], np.cumsum(kind == 0)])
+    return same, h, count[same + size] - count[same], kind
+
+
+def _window_hashes(t: np.ndarray, doc: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     n = len(t) - size + 1
     if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), kind
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     p, h = powers(size, int(MIX)), np.zeros(n, np.uint64)
-    count = np.concatenate([[0], np.cumsum(kind == 0)])
     for k in range(size):
         h += (t[k:k + n] ^ (t[k:k + n] >> np.uint64(31))) * p[k]
     h ^= h >> np.uint64(30)
     h *= MIX
     h ^= np.uint64(size)
-    same = np.flatnonzero(scan.doc[:n] == scan.doc[size - 1:])
-    return same, h[same], (count[size:] - count[:-size])[same], kind
+    same = np.flatnonzero(doc[:n] == doc[size - 1:])
+    return same, h[same]
+
+
+def folded(texts: list[bytes], scan: Scan) -> np.ndarray:
+    """Hash of each token of ``scan`` with case folded; the scan itself folds ASCII only."""
+    if all(t.isascii() for t in texts):
+        return scan.hash
+    return Scan([t if t.isascii() else t.decode("utf-8", "replace").casefold().encode() for t in texts]).hash
+
+
+def literal_windows(words: np.ndarray, doc: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first token, hash) of all windows of ``size`` words; the hashes are apart from those of templates."""
+    at, h = _window_hashes(words, doc, size)
+    return at, (h ^ LITERAL) * MIX
 
 
 def _signed(h: int) -> int:
@@ -97,7 +119,7 @@ def _slots(scan: Scan, kind: np.ndarray, at: int, size: int) -> list[str]:
 
 
 def item_windows(items: DataFrame, id_col: str = "item_id", text: str = "text") -> DataFrame:
-    """(item, i_pos, size, h, i_slots, n_windows) for every window of every item."""
+    """(item, i_pos, size, h, i_slots, n_windows) for every window of every item, as template and as literal words (no slots)."""
     import pyarrow as pa
 
     given = items.select(items[f"`{id_col}`"].alias("k"), items[f"`{text}`"].alias("t"))
@@ -106,13 +128,18 @@ def item_windows(items: DataFrame, id_col: str = "item_id", text: str = "text")
         for b in batches:
             rows = []
             for i, v in enumerate(b.column(1)):
-                scan = Scan([(v.as_py() or "").encode()])
+                texts = [(v.as_py() or "").encode()]
+                scan = Scan(texts)
                 size = min(WINDOW, len(scan.start))
                 if size:
                     at, h, known, kind = windows(scan, size)
                     good = known >= (MIN_WORDS if size == WINDOW else 1)
                     at, h = at[good], h[good].view(np.int64)
-                    rows += [(b.column(0)[i].as_py(), int(p), size, int(x), _slots(scan, kind, p, size), len(at)) for p, x in zip(at, h, strict=True)]
+                    p_all, literal = literal_windows(folded(texts, scan), scan.doc, size)
+                    chosen = at if len(at) else p_all
+                    key = b.column(0)[i].as_py()
+                    rows += [(key, int(p), size, int(x), _slots(scan, kind, p, size), len(chosen)) for p, x in zip(at, h, strict=True)]
+                    rows += [(key, int(p), size, int(x), [], len(chosen)) for p, x in zip(chosen, literal[chosen].view(np.int64), strict=True)]
             cols = list(zip(*rows, strict=True)) if rows else [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], b.schema.field(0).type), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()),
                                               pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.list_(pa.string())), pa.array(cols[5], pa.int64())],
@@ -136,14 +163,16 @@ def doc_windows(docs: DataFrame, sizes: list[int], bits: np.ndarray, id_col: str
         for b in batches:
             for first, texts in steps(b.column(1)):
                 scan, rows, at, hs, slots = Scan(texts), [], [], [], []
+                words = folded(texts, scan)
                 for size in sizes:
                     p, h, _, kind = windows(scan, size)
-                    cell = (h >> np.uint64(64 - BITS)).astype(np.int64)
-                    hit = np.flatnonzero(bitmap[cell >> 3] >> (cell & 7).astype(np.uint8) & 1)
-                    rows += (first + scan.doc[p[hit]]).tolist()
-                    at += p[hit].tolist()
-                    hs.append(h[hit].view(np.int64))
-                    slots += [_slots(scan, kind, i, size) for i in p[hit]]
+                    for p, h, typed in ((p, h, True), (*literal_windows(words, scan.doc, size), False)):
+                        cell = (h >> np.uint64(64 - BITS)).astype(np.int64)
+                        hit = np.flatnonzero(bitmap[cell >> 3] >> (cell & 7).astype(np.uint8) & 1)
+                        rows += (first + scan.doc[p[hit]]).tolist()
+                        at += p[hit].tolist()
+                        hs.append(h[hit].view(np.int64))
+                        slots += [_slots(scan, kind, i, size) if typed else [] for i in p[hit]]
                 keys = [_signed(xxhash.xxh64_intdigest(texts[r - first], 42)) for r in rows]
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), pa.array(keys, pa.int64()), pa.array(at, pa.int64()),
                                                   pa.array(np.concatenate(hs) if hs else [], pa.int64()), pa.array(slots, pa.list_(pa.string()))],

@@ -39,6 +39,16 @@ def test_leaks_equal_brute_force(spark, sf):
     assert set(exact) <= set(got)
 
 
+def test_copies_in_another_case_and_items_without_plain_words_are_found(spark):
+    shout, digits = "WHY DOES THE RIVER BEND NEAR THE OLD MILL AND NOT BEFORE", "12 7 55 1 90 4 8 33 21 6"
+    umlaut = "Wie viele Äpfel trägt der große Baum über dem Öltank im September nach der Ernte"
+    items = [(1, ITEM), (2, shout), (3, digits), (4, umlaut)]
+    docs = [(1, f"x {ITEM.upper()} y"), (2, f"x {ITEM.lower()} y"), (3, f"x {shout} y"), (4, shout.lower()), (5, f"so {digits} it is"), (6, umlaut.upper()), (7, CLEAN), (8, ITEM.title()), (9, "1 2 3 4 5 6 7 8 9 10")]
+    got = {(r["doc_id"], r["item_id"]): (r["n_windows"], r["n_found"]) for r in decontaminate.leaks(
+        spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert set(got) == {(1, 1), (2, 1), (3, 2), (4, 2), (5, 3), (6, 4), (8, 1)} and all(a == b for a, b in got.values())
+
+
 def test_scan_tokens():
     s = Scan([b"Ab c1-\xc3\xa9", b"", b"zz", b"ab"])
     assert [s.data[a:b] for a, b in zip(s.start, s.stop, strict=True)] == [b"Ab", b"c1", "é".encode(), b"zz", b"ab"]

@@ -16,7 +16,8 @@ Documents are scanned once. A fixed-size bitmap of the item window hashes keeps
 leaving the scan; what passes is joined exactly. The bitmap does not grow with either table.
 
 Defined results for odd input: a NULL or blank text has no windows. An item with fewer than
-``WINDOW`` tokens is one window of its whole length; an item without tokens matches nothing. Equal
+``WINDOW`` tokens is matched as literal words only and is reported, but no document is dropped for it; one with fewer
+than ``SHORT`` must be found whole. An item without tokens matches nothing. Equal
 items are reported each. Rows that repeat id and text are one document; documents without an id are
 reported under NULL, each by its own text. Columns beyond the named ones are ignored.
 """
@@ -36,8 +37,11 @@ from echoloom.llm.tokenscan import Scan, powers, steps
 WINDOW = 6
 #: share of an item's windows that must be found in a document
 MIN_SHARE = 0.3
-#: at least so many tokens of a window must be words, not placeholders (a whole short item: one)
+#: at least so many tokens of a window must be words, not placeholders
 MIN_WORDS = 2
+#: an item with fewer tokens must be found in all its windows, and they need SHORT_WORDS words
+SHORT = 9
+SHORT_WORDS = 4
 #: the bitmap has 2 ** BITS bits (512 KB)
 BITS = 22
 UNITS = ("kg g mg lb lbs oz ton tons km m cm mm mile miles foot feet inch inches yard yards l ml litre litres liter liters "
@@ -119,7 +123,7 @@ def _slots(scan: Scan, kind: np.ndarray, at: int, size: int) -> list[str]:
 
 
 def item_windows(items: DataFrame, id_col: str = "item_id", text: str = "text") -> DataFrame:
-    """(item, i_pos, size, h, i_slots, n_windows) for every window of every item, as template and as literal words (no slots)."""
+    """(item, i_pos, size, h, i_slots, n_windows, n_tokens) for every window of every item, as template and as literal words (no slots)."""
     import pyarrow as pa
 
     given = items.select(items[f"`{id_col}`"].alias("k"), items[f"`{text}`"].alias("t"))
@@ -130,24 +134,25 @@ def item_windows(items: DataFrame, id_col: str = "item_id", text: str = "text")
             for i, v in enumerate(b.column(1)):
                 texts = [(v.as_py() or "").encode()]
                 scan = Scan(texts)
-                size = min(WINDOW, len(scan.start))
+                n = len(scan.start)
+                size = min(WINDOW, n)
                 if size:
                     at, h, known, kind = windows(scan, size)
-                    good = known >= (MIN_WORDS if size == WINDOW else 1)
+                    good = (known >= (SHORT_WORDS if n < SHORT else MIN_WORDS)) & (size == WINDOW)
                     at, h = at[good], h[good].view(np.int64)
                     p_all, literal = literal_windows(folded(texts, scan), scan.doc, size)
                     chosen = at if len(at) else p_all
                     key = b.column(0)[i].as_py()
-                    rows += [(key, int(p), size, int(x), _slots(scan, kind, p, size), len(chosen)) for p, x in zip(at, h, strict=True)]
-                    rows += [(key, int(p), size, int(x), [], len(chosen)) for p, x in zip(chosen, literal[chosen].view(np.int64), strict=True)]
-            cols = list(zip(*rows, strict=True)) if rows else [()] * 6
+                    rows += [(key, int(p), size, int(x), _slots(scan, kind, p, size), len(chosen), n) for p, x in zip(at, h, strict=True)]
+                    rows += [(key, int(p), size, int(x), [], len(chosen), n) for p, x in zip(chosen, literal[chosen].view(np.int64), strict=True)]
+            cols = list(zip(*rows, strict=True)) if rows else [()] * 7
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], b.schema.field(0).type), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()),
-                                              pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.list_(pa.string())), pa.array(cols[5], pa.int64())],
-                                             ["item", "i_pos", "size", "h", "i_slots", "n_windows"])
+                                              pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.list_(pa.string())), pa.array(cols[5], pa.int64()), pa.array(cols[6], pa.int64())],
+                                             ["item", "i_pos", "size", "h", "i_slots", "n_windows", "n_tokens"])
 
     return given.mapInArrow(run, T.StructType([
         T.StructField("item", given.schema["k"].dataType), T.StructField("i_pos", T.LongType()), T.StructField("size", T.IntegerType()),
-        T.StructField("h", T.LongType()), T.StructField("i_slots", T.ArrayType(T.StringType())), T.StructField("n_windows", T.LongType())]))
+        T.StructField("h", T.LongType()), T.StructField("i_slots", T.ArrayType(T.StringType())), T.StructField("n_windows", T.LongType()), T.StructField("n_tokens", T.LongType())]))
 
 
 def doc_windows(docs: DataFrame, sizes: list[int], bits: np.ndarray, id_col: str, text: str) -> DataFrame:
@@ -197,13 +202,17 @@ def _bitmap(items: DataFrame) -> np.ndarray:
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text",
           min_share: float = MIN_SHARE) -> DataFrame:
     """One row per leaked pair: document id, ``text_key``, item id, windows of the item, windows found."""
+    return _leaks(docs, benchmark, id_col, text, item_id, item_text, min_share).drop("n_tokens")
+
+
+def _leaks(docs: DataFrame, benchmark: DataFrame, id_col: str, text: str, item_id: str, item_text: str, min_share: float) -> DataFrame:
     items = stored(item_windows(benchmark, item_id, item_text), "item_windows")
     sizes = [r["size"] for r in items.select("size").distinct().collect()]   # at most WINDOW rows
     found = doc_windows(docs, sizes, _bitmap(items), id_col, text)
     # a window that very many documents share is a hot key on the documents' side only: a small item table
     # is broadcast, and for a large one adaptive execution splits the key
     match = stored(found.join(broadcast_if_small(items), "h").select(
-        "k", "text_key", "item", (F.col("d_pos") - F.col("i_pos")).alias("shift"), "i_pos", "i_slots", "d_slots", "n_windows").distinct(), "matches")
+        "k", "text_key", "item", (F.col("d_pos") - F.col("i_pos")).alias("shift"), "i_pos", "i_slots", "d_slots", "n_windows", "n_tokens").distinct(), "matches")
     line = ["k", "text_key", "item", "shift"]
     pairs = match.select(*line, F.explode(F.arrays_zip("i_slots", "d_slots")).alias("p")).select(*line, F.col("p.i_slots").alias("i"), F.col("p.d_slots").alias("d")).distinct()
     torn = pairs.groupBy(*line, "i").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*line, F.col("i").alias("slot"), F.lit("i").alias("side")).unionByName(
@@ -215,14 +224,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: s
     none = F.array().cast("array<string>")
     good = m.join(t, on[0] & on[1] & on[2] & on[3], "left").filter(
         ~F.arrays_overlap("i_slots", F.coalesce("i_torn", none)) & ~F.arrays_overlap("d_slots", F.coalesce("d_torn", none)))
-    return good.groupBy("m.k", "m.text_key", "m.item").agg(F.first("n_windows").alias("n_windows"), F.countDistinct("i_pos").alias("n_found")).filter(
-        F.col("n_found") >= F.col("n_windows") * min_share).select(
-        F.col("k").alias(id_col), "text_key", F.col("item").alias(item_id), "n_windows", "n_found")
+    return good.groupBy("m.k", "m.text_key", "m.item").agg(F.first("n_windows").alias("n_windows"), F.first("n_tokens").alias("n_tokens"), F.countDistinct("i_pos").alias("n_found")).filter(
+        F.col("n_found") >= F.col("n_windows") * F.when(F.col("n_tokens") < SHORT, 1.0).otherwise(min_share)).select(
+        F.col("k").alias(id_col), "text_key", F.col("item").alias(item_id), "n_windows", "n_found", "n_tokens")
 
 
 def drop_leaked(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` without a leaked item. Texts do not move while the list of leaked documents is small."""
-    leaked = leaks(docs.select(docs[f"`{id_col}`"].alias("own_key"), docs[f"`{text}`"].alias("own_text")), benchmark, "own_key", "own_text")
+    """The rows of ``docs`` without a leaked item of ``WINDOW`` tokens or more. Texts do not move while the list of leaked documents is small."""
+    leaked = _leaks(docs.select(docs[f"`{id_col}`"].alias("own_key"), docs[f"`{text}`"].alias("own_text")), benchmark, "own_key", "own_text",
+                    "item_id", "text", MIN_SHARE).filter(F.col("n_tokens") >= WINDOW)
     bad = broadcast_if_small(stored(leaked.select("own_key", "text_key").distinct(), "leaked"))
     # a document without id is known by its text; Spark's xxhash64 starts from 42, the scan from the same seed
     same = docs[f"`{id_col}`"].eqNullSafe(bad["own_key"]) & (F.xxhash64(F.coalesce(docs[f"`{text}`"], F.lit(""))) == bad["text_key"])

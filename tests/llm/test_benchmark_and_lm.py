@@ -49,6 +49,14 @@ def test_copies_in_another_case_and_items_without_plain_words_are_found(spark):
     assert set(got) == {(1, 1), (2, 1), (3, 2), (4, 2), (5, 3), (6, 4), (8, 1)} and all(a == b for a, b in got.values())
 
 
+def test_short_items_do_not_drop_documents(spark):
+    b = spark.createDataFrame([(1, "yes"), (2, "what is the capital city of France today")], "item_id long, text string")
+    docs = [(1, "oh yes it is"), (2, "tell me what is the capital city of our land"), (3, "so, What is the capital city of Peru today?"), (4, CLEAN)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(d, b).collect()} == {(1, 1), (3, 2)}
+    assert {r["doc_id"] for r in decontaminate.drop_leaked(d, b).collect()} == {1, 2, 4}
+
+
 def test_scan_tokens():
     s = Scan([b"Ab c1-\xc3\xa9", b"", b"zz", b"ab"])
     assert [s.data[a:b] for a, b in zip(s.start, s.stop, strict=True)] == [b"Ab", b"c1", "é".encode(), b"zz", b"ab"]

@@ -19,7 +19,7 @@ same text) is removed; strings are judged on the input.
    the earliest of each kind is found by aggregation.
 5. Repeats are merged to spans per document and cut out.
 
-A shard is sorted in pieces that end with a key, from disk queues where it is larger than memory.
+A shard is sorted in memory, in pieces of about ``SHARD_BYTES`` that end with a key.
 Nothing is capped.
 
 Defined results for odd input: a NULL text is empty. A document without id has no place in the order:

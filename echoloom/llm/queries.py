@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from echoloom.llm import (bpe, decontaminate, html_text, lm_score, quality_rules, simhash, sql, suffix_dedup, token_count,
+from echoloom.llm import (bpe, decontaminate, html_text, lm_score, mixing, quality_rules, simhash, sql, suffix_dedup, token_count,
                           url_filter, warc)
 from echoloom.llm.common import table
 
@@ -21,6 +21,7 @@ ORACLES: dict[str, str] = {
     "op1_quality_rules": sql.QUALITY_RULES,
     "op3_url_filter": sql.url_filter(URL_RULES, url_filter.UNIT, url_filter.FOLLOW_PERCENT, url_filter.STEPS),
     "op9_warc": sql.WARC,
+    "op12_mixing": sql.mixing(mixing.WEIGHTS, (mixing.SHARE.numerator, mixing.SHARE.denominator), mixing.MOST, mixing.SEED),
 }
 
 
@@ -85,6 +86,11 @@ def op10_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return token_count.count(table(spark, sf, "documents"), tokenizer_file("byte_bpe_50k.tiktoken"))
 
 
+@query
+def op12_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.plan(table(spark, sf, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

@@ -98,3 +98,37 @@ SELECT page_id, payload_bytes, {_GROUPS} AS payload_digest, CASE WHEN page_id =
        CASE WHEN page_id <> keeper THEN keeper END AS refers_to
 FROM p JOIN k USING (h)
 """
+
+
+def mixing(weights: tuple[int, ...], share: tuple[int, int], most: int, seed: str) -> str:
+    num, den = share
+    weight = "CASE place % " + str(len(weights)) + " " + " ".join(f"WHEN {i} THEN {w}" for i, w in enumerate(weights)) + " END"
+    return rf"""
+WITH d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents
+), s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM d GROUP BY source
+), w AS (
+  SELECT *, CAST({weight} AS HUGEINT) AS weight, sum(source_size) OVER () AS total, CAST(sum({weight}) OVER () AS HUGEINT) AS heavy FROM s
+), f AS (
+  SELECT *, coalesce(sum(source_size) OVER o, 0) AS size_before, coalesce(sum(weight) OVER o, 0) AS weight_before,
+         row_number() OVER (ORDER BY source_size * 1.0 / weight, place) AS turn
+  FROM w WINDOW o AS (ORDER BY source_size * 1.0 / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), level AS (
+  SELECT turn AS from_turn, {num} * total - {den * most} * size_before AS remaining, {den} * (heavy - weight_before) AS over FROM f
+  WHERE {den * most} * source_size * (heavy - weight_before) >= ({num} * total - {den * most} * size_before) * weight ORDER BY turn LIMIT 1
+), t AS (
+  SELECT source, source_size, turn < from_turn AS held,
+         CASE WHEN turn < from_turn THEN CAST({most} * source_size AS DOUBLE) ELSE CAST(remaining * weight AS DOUBLE) / CAST(over AS DOUBLE) END AS target,
+         CAST(CASE WHEN turn < from_turn THEN {most} * source_size ELSE (remaining * weight) // over END AS BIGINT) AS budget FROM f, level
+), k AS (
+  SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN budget // source_size ELSE 0 END AS epochs, budget, t.source
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+), o AS (
+  SELECT *, budget - epochs * source_size AS rest, CAST('0x' || substr(md5('{seed}|' || epochs || '|' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS key FROM k
+), r AS (
+  SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM o
+)
+SELECT doc_id, source AS mix_source, size, source_size, target, CAST(epochs AS BIGINT) AS epochs,
+       CAST(epochs * size + greatest(least(rest - before, size), 0) AS BIGINT) AS taken FROM r
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from echoloom.llm import (bpe, decontaminate, html_text, lm_score, mixing, quality_rules, simhash, sql, suffix_dedup, token_count,
-                          url_filter, warc)
+                          url_filter, warc, whitening)
 from echoloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,6 +86,11 @@ def op10_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return token_count.count(table(spark, sf, "documents"), tokenizer_file("byte_bpe_50k.tiktoken"))
 
 
+@query
+def op11_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf, "embeddings"))
+
+
 @query
 def op12_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.plan(table(spark, sf, "documents"))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from echoloom.llm import (bpe, decontaminate, html_text, lm_score, mixing, quality_rules, simhash, sql, suffix_dedup, token_count,
+from echoloom.llm import (bpe, decontaminate, hard_negatives, html_text, lm_score, mixing, quality_rules, simhash, sql, suffix_dedup, token_count,
                           url_filter, warc, whitening)
 from echoloom.llm.common import table
 
@@ -22,6 +23,7 @@ ORACLES: dict[str, str] = {
     "op3_url_filter": sql.url_filter(URL_RULES, url_filter.UNIT, url_filter.FOLLOW_PERCENT, url_filter.STEPS),
     "op9_warc": sql.WARC,
     "op12_mixing": sql.mixing(mixing.WEIGHTS, (mixing.SHARE.numerator, mixing.SHARE.denominator), mixing.MOST, mixing.SEED),
+    "op13_hard_negatives": sql.hard_negatives(hard_negatives.POSITIVES, hard_negatives.NEGATIVES, hard_negatives.LOW, hard_negatives.HIGH),
 }
 
 
@@ -96,6 +98,13 @@ def op12_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.plan(table(spark, sf, "documents"))
 
 
+@query
+def op13_hard_negatives(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

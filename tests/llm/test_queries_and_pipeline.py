@@ -7,11 +7,11 @@ from brute import cut, leaks, measures, simhash_groups
 import corpus_pipeline
 from echoloom.llm import queries
 
-TABLES = ("documents", "pages", "benchmark", "labels")
+TABLES = ("documents", "pages", "benchmark", "labels", "embeddings")
 
 
 def test_each_operator_has_one_query():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 13))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 14))
     assert [s[0] for s in corpus_pipeline.STAGES] == ["quality_rules", "simhash", "suffix_dedup", "decontamination", "bpe"]
     import __spark_entry__ as e
     assert {*queries.queries(), "pipeline"} <= set(e.queries()) and set(queries.oracles()) <= set(e.oracle_sql())

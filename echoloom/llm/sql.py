@@ -150,5 +150,5 @@ WITH v AS (
 )
 SELECT p.anchor_id, positive_id, CAST(row_number() OVER w AS INT) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
 FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT same AND {low} * positive_score <= 100 * score AND 100 * score <= {high} * positive_score
-QUALIFY row_number() OVER w <= {negatives} WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id)
+WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= {negatives}
 """

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from echoloom.operators.running import ordinal_by_bucket, time_bucket
+from echoloom.session import spread
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -19,8 +20,11 @@ def r6(c, digits: int = 6) -> Column:
 
 # ---- lineitem: a scored corpus ----------------------------------------------------------------
 
-def corpus(spark: SparkSession, sf: str) -> DataFrame:
+def corpus(spark: SparkSession, sf: str, dealt: bool = False) -> DataFrame:
+    """``dealt`` deals a table of few splits over all cores, for jobs that draw for every row."""
     li = table(spark, sf, "lineitem")
+    if dealt:
+        li = spread(li.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_returnflag", "l_linestatus"))
     y = (F.col("l_returnflag") == "R").cast("int")
     q = F.least(F.lit(9999), (F.col("l_partkey") * 7919 + F.col("l_suppkey") * 104729
                               + F.col("l_linenumber") * 31) % 7000 + F.lit(3000) * y)

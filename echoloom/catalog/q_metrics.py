@@ -363,7 +363,7 @@ b AS (SELECT *, pos // 256 AS batch, -ln(CASE WHEN y = 1 THEN p ELSE 1 - p END)
 
 @query("k12_batch_assignment", _loss_sql("SELECT batch, count(*) AS n, sum(y)::BIGINT AS n_pos, round(sum(loss), 6) AS loss FROM b GROUP BY batch"))
 def k12(spark, sf):
-    b = K.batches(corpus(spark, sf), ["row_key"], 256, seed=7, salt="epoch", drop_last=True)
+    b = K.batches(corpus(spark, sf, dealt=True), ["row_key"], 256, seed=7, salt="epoch", drop_last=True)
     loss = -F.log(F.when(F.col("y") == 1, F.col("p")).otherwise(1 - F.col("p")))
     return b.withColumn("loss", loss).groupBy("batch").agg(
         F.count(F.lit(1)).alias("n"), F.sum("y").alias("n_pos"), r6(F.sum("loss")).alias("loss"))
@@ -372,7 +372,7 @@ def k12(spark, sf):
 @query("k11_hardest_negatives_in_batch", _loss_sql("""SELECT batch, count(*) AS kept, count(*) FILTER (y = 0) AS kept_neg, round(min(loss) FILTER (y = 0), 6) AS min_neg_loss
 FROM (SELECT *, row_number() OVER (PARTITION BY batch, y ORDER BY loss DESC, row_key) AS rn FROM b) WHERE y = 1 OR rn <= 64 GROUP BY batch"""))
 def k11(spark, sf):
-    b = K.batches(corpus(spark, sf), ["row_key"], 256, seed=7, salt="epoch", drop_last=True)
+    b = K.batches(corpus(spark, sf, dealt=True), ["row_key"], 256, seed=7, salt="epoch", drop_last=True)
     loss = -F.log(F.when(F.col("y") == 1, F.col("p")).otherwise(1 - F.col("p")))
     kept = K.hardest_negatives(b.withColumn("loss", loss), "batch", "loss", ["row_key"], 64)
     return kept.groupBy("batch").agg(

@@ -190,7 +190,7 @@ un AS ({_pick('pos', 'anchor-pos', 3000, 0, 'y', 'bucket')} UNION ALL {_pick('ng
 
 
 def _fine_tune(spark, sf):
-    li = corpus(spark, sf).select("row_key", "y", "bucket", "p")
+    li = corpus(spark, sf, dealt=True).select("row_key", "y", "bucket", "p")
     neg = li.filter("y = 0 AND p >= 0.5")
     pos = H.missed_positives(li, 0.68, ["row_key"], 8000)
     return H.fine_tune_set(li, neg, pos, ["row_key"], 3000, 6000, 2000, 1500, SEED)
@@ -250,7 +250,7 @@ SELECT mix_content, mix_recipe, count(*) AS n, round(avg(aggr), 6) AS aggr, coun
   round(avg(-50.0 + 36.0 * {D.uniform_sql(SEED, 'level', 'row_key')}), 6) AS level FROM a GROUP BY ALL""".replace(
     "{pos}", "@POS").replace("{neg}", "@NEG"))
 def h9(spark, sf):
-    p = P.plan(corpus(spark, sf), "row_key", SEED)
+    p = P.plan(corpus(spark, sf, dealt=True), "row_key", SEED)
     return p.groupBy("mix_content", "mix_recipe").agg(
         F.count(F.lit(1)).alias("n"), r6(F.avg("aggr")).alias("aggr"), F.count_if("cadence").alias("cadence"),
         F.count_if("dropout").alias("dropout"), r6(F.avg("level")).alias("level"))
@@ -268,7 +268,7 @@ _fill_plan_sql()
 
 @query("h9_corpus_build")
 def h9b(spark, sf):
-    samples = corpus(spark, sf).select("row_key", "y")
+    samples = corpus(spark, sf, dealt=True).select("row_key", "y")
     out = P.build(samples, "row_key", signals(spark, sf), "class", "clip_id", "x", 64, SEED)
     return out.groupBy("split", "bucket").agg(
         F.count(F.lit(1)).alias("n"), r6(F.avg("snr"), 4).alias("snr"), r6(F.min("lvl"), 4).alias("min_lvl"), r6(F.max("lvl"), 4).alias("max_lvl"))
@@ -279,7 +279,6 @@ def h9c(spark, sf):
     """One-second signals and their log-mel features for one planned sample per document."""
     docs = table(spark, sf, "documents").select("doc_id").join(table(spark, sf, "labels").select("doc_id", "quality"), "doc_id", "left")
     samples = docs.select("doc_id", F.coalesce("quality", F.lit(0)).alias("y"))
-    f = P.build_features(samples, "doc_id", signals(spark, sf), "class", "clip_id", "x", 16000, SEED,
-                         prepare=lambda c: A.tile_to(c, 16000))
+    f = P.build_features(samples, "doc_id", signals(spark, sf), "class", "clip_id", "x", 16000, SEED, repeat=True)
     return f.groupBy("split", "bucket").agg(
         F.count(F.lit(1)).alias("n"), r6(F.avg(A.total(F.col("features").cast("array<double>")) / 1960), 3).alias("mean_feature"))

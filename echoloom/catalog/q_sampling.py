@@ -27,7 +27,7 @@ BUCKET_SQL = f"""CASE WHEN y = 1 THEN {case_sql(U(SEED, 'bucket', 'row_key'), PO
 
 
 def drawn(spark, sf):
-    li = corpus(spark, sf)
+    li = corpus(spark, sf, dealt=True)
     return li.withColumn("mix", S.draw_bucket(D.uniform(SEED, "bucket", "row_key"), F.col("y") == 1, POS, NEG))
 
 
@@ -57,7 +57,7 @@ JOIN bank ON bank.class = cls.class AND bank.clip_idx = CAST(floor({U(SEED, salt
 @query("g3_class_uniform_clip_draw", f"""WITH {LI}, {EM}, {DRAW_SQL}, d AS ({draw_join_sql('li', 'g3', ['row_key'], 's.row_key')})
 SELECT class, clip_id, count(*) AS n FROM d GROUP BY ALL""")
 def g3(spark, sf):
-    d = S.draw_clips(corpus(spark, sf).select("row_key"), ["row_key"], signals(spark, sf), "class", "clip_id", SEED, "g3", exclude=[3])
+    d = S.draw_clips(corpus(spark, sf, dealt=True).select("row_key"), ["row_key"], signals(spark, sf), "class", "clip_id", SEED, "g3", exclude=[3])
     return d.groupBy("class", "clip_id").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -208,19 +208,19 @@ def k9(spark, sf):
   count(*) OVER (PARTITION BY y, bucket) AS n FROM li)
 SELECT row_key, CASE WHEN rn <= greatest(1, CAST(round_even(n * 0.2::DOUBLE, 0) AS BIGINT)) THEN 'val' ELSE 'train' END AS split FROM o""")
 def g14(spark, sf):
-    return S.stratified_split(corpus(spark, sf), ["y", "bucket"], ["row_key"]).select("row_key", "split")
+    return S.stratified_split(corpus(spark, sf, dealt=True), ["y", "bucket"], ["row_key"]).select("row_key", "split")
 
 
 @query("g15_shuffled_split", f"""WITH {LI}, o AS (SELECT *, row_number() OVER (ORDER BY {D.digest_sql(7, 'split', 'row_key')}, row_key) AS rn, count(*) OVER () AS n FROM li)
 SELECT row_key, CASE WHEN rn <= floor(n * 0.8::DOUBLE) THEN 'train' ELSE 'val' END AS split FROM o""")
 def g15(spark, sf):
-    return S.shuffled_split(corpus(spark, sf), ["row_key"]).select("row_key", "split")
+    return S.shuffled_split(corpus(spark, sf, dealt=True), ["row_key"]).select("row_key", "split")
 
 
 @query("g16_head_of_permutation_val", f"""WITH {LI}, o AS (SELECT *, row_number() OVER (ORDER BY {D.digest_sql(7, 'head', 'row_key')}, row_key) AS rn, count(*) OVER () AS n FROM li)
 SELECT row_key, CASE WHEN rn <= greatest(600, n // 20) THEN 'val' ELSE 'train' END AS split FROM o""")
 def g16(spark, sf):
-    return S.head_val(corpus(spark, sf), ["row_key"]).select("row_key", "split")
+    return S.head_val(corpus(spark, sf, dealt=True), ["row_key"]).select("row_key", "split")
 
 
 @query("g17_full_shuffle", f"WITH {LI} SELECT row_key, {order_sql('shuffle')} - 1 AS pos FROM li")

@@ -5,15 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from echoloom.functions import arrays as A
+from echoloom.functions import batch as B
 from echoloom.functions import draws as D
 from echoloom.functions.features import to_features
-from echoloom.functions.render import render
 from echoloom.operators import sampling as S
 from echoloom.operators.joins import layer_rows, with_mixture
 from echoloom.plans import dims
@@ -61,7 +59,8 @@ def gather(samples: DataFrame, key: str, clips: DataFrame, klass: str, clip: str
     The plan is written once (narrow rows), because three branches read it. Content and noise
     clips are drawn by number and fetched with equi-joins on the clip id.
     """
-    p = materialize(controls(split(plan(samples, key, seed), key), key, window, seed), "plan")
+    drawn = materialize(plan(samples, key, seed), "drawn")                     # the cuts of the split read it too
+    p = materialize(controls(split(drawn, key), key, window, seed), "plan")
     sound = clips.select(clip, x)
     noise = (layer_rows(p, key, F.col("layers"), F.col("snr"), clips, klass, clip, seed)
              .join(sound.select(F.col(clip).alias("layer_clip"), F.col(x).alias("samples")), "layer_clip"))
@@ -78,42 +77,68 @@ KEPT = ["y", "bucket", "split", "group", "snr"]
 
 
 def build(samples: DataFrame, key: str, clips: DataFrame, klass: str, clip: str, x: str, window: int, seed: int) -> DataFrame:
-    """One finished signal ``x`` per planned sample, as column expressions (short signals)."""
-    j = gather(samples, key, clips, klass, clip, x, window, seed).withColumn("s", _signal(window))
-    return j.select(key, *KEPT, F.col("s.level").alias("lvl"), F.col("s.samples").alias("x"))
+    """One finished signal ``x`` per planned sample."""
+    return build_features(samples, key, clips, klass, clip, x, window, seed, features=False)
 
 
 def build_features(samples: DataFrame, key: str, clips: DataFrame, klass: str, clip: str, x: str, window: int, seed: int,
-                   features: bool = True, prepare: Callable[[Column], Column] = lambda c: c) -> DataFrame:
-    """The same samples rendered in Arrow batches, as log-mel features (or signals).
+                   features: bool = True, repeat: bool = False) -> DataFrame:
+    """The planned samples rendered in Arrow batches, as log-mel features (or signals).
 
-    ``prepare`` turns a stored clip into samples after the joins, so that the shuffles carry the
-    stored form. Rendering and features share one pass through Python.
+    ``repeat`` repeats clips shorter than the window when they are rendered, so that joins and batches carry
+    the stored form. Rendering and features share one pass through Python.
     """
     j = gather(samples, key, clips, klass, clip, x, window, seed)
-    j = j.select(key, *KEPT, *CONTROLS, prepare(F.col("base")).alias("base"),
-                 F.transform("stack", lambda v: prepare(v["samples"])).alias("noises"),
-                 F.transform("stack", lambda v: v["snr"]).alias("snrs"))
-    keep = [f for f in j.schema.fields if f.name in (key, *KEPT)]
-    names = [f.name for f in keep]
-    schema = T.StructType(keep + [T.StructField("lvl", T.DoubleType()), T.StructField(
-        "features" if features else "x", T.ArrayType(T.FloatType() if features else T.DoubleType()))])
-    column = schema.fields[-1].name
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    j = j.select(key, *KEPT, *CONTROLS, "base", F.transform("stack", lambda v: v["samples"]).alias("noises"), F.transform("stack", lambda v: v["snr"]).alias("snrs"))
+    kept = [f for f in j.schema.fields if f.name in (key, *KEPT)]
+    return rendered(j, kept, _rows_of(window, repeat), window, features)
+
+
+def rendered(j: DataFrame, kept: list[T.StructField], make: Callable, window: int, features: bool) -> DataFrame:
+    """``kept`` columns, ``lvl`` and the features (or signals) that ``make`` renders from Arrow batches of bounded size."""
+    import pyarrow as pa
+
+    column = "features" if features else "x"
+    schema = T.StructType(kept + [T.StructField("lvl", T.DoubleType()), T.StructField(column, T.ArrayType(T.FloatType() if features else T.DoubleType()))])
+    names, size = [f.name for f in kept], max(16, BATCH_SAMPLES // window)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo in range(0, len(b), SUB_BATCH):
-                part = b.iloc[lo: lo + SUB_BATCH]
-                done = [render(r.base, r.noises, r.snrs, r, window) for r in part.itertuples()]
-                x = np.stack([d[0] for d in done])
-                out = part[names].copy()
-                out["lvl"] = [d[1] for d in done]
-                out[column] = list(to_features(x).astype(np.float32).reshape(len(x), -1) if features else x)
-                yield out
-    return j.mapInPandas(run, schema)
+            for lo in range(0, b.num_rows, size):
+                part = b.slice(lo, size)
+                x, level = make(part)
+                flat = to_features(x).astype(np.float32).reshape(len(x), -1) if features else x
+                ends = pa.array(np.arange(len(x) + 1) * flat.shape[1], pa.int32())
+                yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in names), pa.array(level),
+                                                  pa.ListArray.from_arrays(ends, pa.array(flat.ravel()))], [f.name for f in schema.fields])
+    return j.mapInArrow(run, schema)
+
+
+def column_of(part, name: str) -> np.ndarray:
+    """A numeric Arrow column as doubles, NaN where it is NULL."""
+    return np.asarray(part.column(part.schema.get_field_index(name)).to_numpy(zero_copy_only=False), float)
 
 
-SUB_BATCH = 64
+def _rows_of(window: int, repeat: bool) -> Callable:
+    width = _burst_width(window)
+
+    def make(part) -> tuple[np.ndarray, np.ndarray]:
+        c = {name: column_of(part, name) for name in CONTROLS}
+        base, stacks = (part.column(part.schema.get_field_index(n)) for n in ("base", "noises"))
+        every = np.arange(part.num_rows)
+        x = B.Bank.of_lists(base).fitted(every, c["speed"], c["offset"], window, repeat)
+        layers, snr = B.Bank.of_lists(stacks.values), np.asarray(part.column(part.schema.get_field_index("snrs")).values.to_numpy(zero_copy_only=False), float)
+        ends = stacks.offsets.to_numpy().astype(np.int64)
+        for i in range(int(np.max(np.diff(ends), initial=0))):           # layers are added one after another
+            rows = every[ends[:-1] + i < ends[1:]]
+            B.add_layer(x, rows, layers.tiled(ends[rows] + i, window), snr[ends[rows] + i])
+        some = np.flatnonzero(~np.isnan(c["burst"]))
+        return B.finish(x, c, (some, c["burst"][some].astype(np.int64), np.full(len(some), width)))
+    return make
+
+
+#: samples rendered at once
+BATCH_SAMPLES = 1 << 21
 
 
 def _group(y: Column, stack: Column) -> Column:
@@ -126,21 +151,6 @@ def _snr(stack: Column) -> Column:
     return F.when(F.size(stack) > 0, F.aggregate(stack, F.lit(0.0), lambda a, v: a + v["snr"]) / F.size(stack))
 
 
-def _signal(window: int) -> Column:
-    """struct(samples, level): speed, fit, layers, effects and level of one sample."""
-    c = F.col
-    sped = A.let(A.speed_perturb(c("base"), c("speed")), lambda s: A.fit_to_window(s, window, c("offset")))
-    mixed = A.let(sped, lambda s: A.mix_layers(s, F.transform("stack", lambda v: F.struct(
-        A.tile_to(v["samples"], window).alias("samples"), v["snr"].alias("snr")))))
-    warped = A.let(mixed, lambda s: F.when(c("beta").isNotNull(), A.cadence_warp(s, c("beta"))).otherwise(s))
-    dropped = A.let(warped, lambda s: F.when(
-        c("burst").isNotNull(), A.burst_dropout(s, F.array("burst"), _burst_width(window))).otherwise(s))
-    crushed = A.let(dropped, lambda s: F.when(c("bits").isNotNull(), A.quantise(s, 8)).otherwise(s))
-    levelled = A.let(A.let(crushed, A.peak_guard), lambda s: A.level_policy(
-        s, c("clip_neg").isNotNull(), c("clip_neg"), c("clip_pos"), c("level")))
-    return A.let(levelled, lambda s: A.level_floor_lift(s["samples"], c("level")))
-
-
 def split(planned: DataFrame, key: str, seed: int = 7) -> DataFrame:
     """Train or val per planned sample, stratified by label and bucket."""
     return S.stratified_split(planned, ["y", "mix"], [key], 0.2, seed)

@@ -76,6 +76,16 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A table read in fewer splits than there are cores is dealt out over all of them, ahead of work that is heavy per
+    row (digests, draws). A file of one row group is one split however many cores wait; larger tables stay as they are.
+
+    ``scan`` must be a plain reading of files: its splits are known without running anything.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+
+
 #: bytes above which a lookup table is no longer broadcast
 BROADCAST_BYTES = 16 << 20
 

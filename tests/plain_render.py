@@ -1,9 +1,4 @@
-"""The signal chain of one planned sample on NumPy arrays, for second-long clips.
-
-Higher-order column functions visit samples one at a time, which is fine for short signals. For
-16 000 samples per row the same chain runs on Arrow batches. Every random choice arrives as a
-column, so both forms give the same signal.
-"""
+"""The signal chain of one planned sample, step by step, to compare the batch form with."""
 
 from __future__ import annotations
 

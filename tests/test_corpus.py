@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from plain_render import render
 from pyspark.sql import functions as F
 
 from echoloom.plans import corpus as P
@@ -14,15 +15,24 @@ def inputs(spark):
             spark.createDataFrame(clips, "clip int, c string, x array<double>"))
 
 
-def test_both_forms_render_the_same_signal(inputs):
+def test_batch_form_equals_plain_chain(inputs):
     samples, clips = inputs
     args = (samples, "k", clips, "c", "clip", "x", 64, 3)
-    a = {r.k: r for r in P.build(*args).collect()}
-    b = {r.k: r for r in P.build_features(*args, features=False).collect()}
-    assert set(a) == set(b) and len(a) == 400
-    for k in a:
-        assert np.allclose(a[k].x, b[k].x, atol=1e-9), k
-        assert a[k].lvl == pytest.approx(b[k].lvl) and a[k].group == b[k].group
+    rows = {r.k: r for r in P.gather(*args).collect()}
+    made = {r.k: r for r in P.build(*args).collect()}
+    assert set(rows) == set(made) and len(made) == 400
+    for k, r in rows.items():
+        x, level = render(r.base, [v.samples for v in r.stack], [v.snr for v in r.stack], r, 64)
+        assert np.allclose(x, made[k].x, atol=1e-9), k
+        assert level == pytest.approx(made[k].lvl)
+
+
+def test_batch_sizes_do_not_matter(inputs, monkeypatch):
+    samples, clips = inputs
+    args = (samples, "k", clips, "c", "clip", "x", 64, 3)
+    one = {r.k: r.x for r in P.build(*args).collect()}
+    monkeypatch.setattr(P, "BATCH_SAMPLES", 64)
+    assert all(np.allclose(one[r.k], r.x, atol=1e-12) for r in P.build(*args).collect())
 
 
 def test_plan_respects_recipes_and_labels(inputs):

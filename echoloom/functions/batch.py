@@ -49,24 +49,34 @@ class Bank:
 
         ``repeat`` first repeats each signal up to ``n`` samples.
         """
-        own = np.maximum(self.size[which], 1)
-        size = np.maximum(own, n) if repeat else self.size[which]
-        made = np.where(np.abs(factor - 1.0) < 0.02, size, np.rint(size / factor)).astype(np.int64)
-        room = np.abs(size - n)
-        at = np.floor(u * (room + 1)).astype(np.int64)
+        if repeat:
+            short = self.size[which] < n
+            if short.all():
+                return Bank(self.tiled(which, n).ravel(), np.arange(len(which)) * n, np.full(len(which), n)).fitted(np.arange(len(which)), factor, u, n)
+            out = np.empty((len(which), n))
+            for some, again in ((np.flatnonzero(short), True), (np.flatnonzero(~short), False)):
+                out[some] = self.fitted(which[some], factor[some], u[some], n, again) if len(some) else out[some]
+            return out
+        size = self.size[which]
+        at = np.floor(u * (np.abs(size - n) + 1)).astype(np.int64)
         t = np.arange(n)[None, :] + np.where(size >= n, at, -at)[:, None]                     # place in the signal of kept length
         inside = (t >= 0) & (t < size[:, None])
-        t = t + np.where(made < size, -((size - made) // 2), (made - size) // 2)[:, None]       # place in the stretched signal
-        inside &= (t >= 0) & (t < made[:, None])
-        place = np.clip(t * (size / np.maximum(made, 1))[:, None], 0, np.maximum(size - 1, 0)[:, None])
-        low = np.floor(place).astype(np.int64)
-        high = np.minimum(low + 1, np.maximum(size - 1, 0)[:, None])
-        if repeat:
-            low_at, high_at = low % own[:, None], high % own[:, None]
-        else:
-            low_at, high_at = low, high
-        a = self.read(which, low_at)
-        return np.where(inside, a + (self.read(which, high_at) - a) * (place - low), 0.0)
+        out = np.empty((len(which), n))
+        plain = np.abs(factor - 1.0) < 0.02
+        out[plain] = self.read(which[plain], t[plain])
+        some = np.flatnonzero(~plain)
+        if len(some):
+            which, size, t = which[some], size[some], t[some]
+            made = np.rint(size / factor[some]).astype(np.int64)
+            t = t + np.where(made < size, -((size - made) // 2), (made - size) // 2)[:, None]   # place in the stretched signal
+            inside[some] &= (t >= 0) & (t < made[:, None])
+            last = np.maximum(size - 1, 0)[:, None]
+            place = np.clip(t * (size / np.maximum(made, 1))[:, None], 0, last)
+            low = place.astype(np.int64)
+            a = self.read(which, low)
+            out[some] = a + (self.read(which, np.minimum(low + 1, last)) - a) * (place - low)
+        out[~inside] = 0.0
+        return out
 
 
 def power(x: np.ndarray) -> np.ndarray:

@@ -22,15 +22,24 @@ entry state is handed back down.
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
+from collections.abc import Iterator
 from dataclasses import asdict, dataclass
+from itertools import accumulate
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from echoloom.operators.chunks import CHUNK, chunk_window, with_halo
+from echoloom.operators.chunks import CHUNK, with_halo
 from echoloom.session import inline_table, materialize
 
 BLOCK = 4096      # chunks per block
+#: look-backs up to this are counted lag by lag
+LAGS = 64
+#: stands for a hit that is not there
+NEVER = 1 << 60
 
 
 @dataclass(frozen=True)
@@ -85,98 +94,199 @@ def grid(thresholds, policies=("2/2",), aggs=("maxhold",), **kw) -> list[Policy]
     return out
 
 
-def _literal_policies(policies: list[Policy]) -> Column:
-    """The settings as one constant array, so that a plan does not grow with their number."""
-    return F.array(*[F.struct(
-        F.lit(i).alias("pid"), F.lit(float(p.threshold)).alias("thr"),
-        F.lit(p.agg == "maxhold").alias("hold"), F.lit(p.keep_score).alias("keep"),
-        F.lit(p.span).alias("span"), F.lit(max(1, p.gap - p.span + 1)).alias("short"),
-    ) for i, p in enumerate(policies)])
-
-
 def _single(values: set, what: str):
     if len(values) > 1:
         raise ValueError(f"one {what} per call, got {sorted(values)}")
     return next(iter(values), None)
 
 
-def _rows_of_hits(scores: DataFrame, policies: list[Policy], size: int) -> DataFrame:
-    """(stream, chunk, step, pid, m, k): step ``step + k`` sees a hit that needs ``m`` scores."""
-    holds = [p for p in policies if p.agg == "maxhold"]
-    means = [p for p in policies if p.agg != "maxhold"]
-    decay, alpha = _single({p.decay for p in holds}, "decay"), _single({p.alpha for p in means}, "alpha")
-    look_hold = max((p.lookback for p in holds), default=0)
-    look_ema = max((p.lookback for p in means), default=0)
-    span = max(p.span for p in policies)
-    lowest = min(p.threshold for p in policies)
-    w = chunk_window()
-
-    def fold(values: Column) -> Column:
-        return F.aggregate(values, F.lit(0.0), lambda e, x: F.lit(alpha) * x + F.lit(1.0 - alpha) * e)
-
-    rows = (with_halo(scores, max(look_hold, look_ema) + span, size=size)
-            .withColumn("x", F.when(F.col("gated"), F.lit(0.0)).otherwise(F.col("p"))))
-
-    def held(j: int) -> Column:
-        v = F.col("x") if j == 0 else F.lag("x", j).over(w)
-        for _ in range(j):
-            v = v * F.lit(decay)
-        return v
-
-    opens = [F.when(~F.lead("gated", k).over(w), F.lit(k)) for k in range(1, span)]
-    cols = ["stream", "chunk", "step", "gated",
-            F.array_compact(F.array(F.lit(0), *opens)).alias("ks"),
-            (F.array(*[held(j) for j in range(look_hold)]) if holds
-             else F.array().cast("array<double>")).alias("parts")]
-    if means:
-        cols.append(F.collect_list("x").over(w.rowsBetween(-(look_ema - 1), 0)).alias("past"))
-    rows = rows.select(*cols)
-    rows = rows.withColumn("top", F.array_max("parts")) if holds else rows.withColumn("top", F.lit(None).cast("double"))
-    rows = rows.withColumn("mean", fold(F.col("past"))) if means else rows.withColumn("mean", F.lit(None).cast("double"))
-    rows = rows.filter(~F.col("gated") & (F.greatest("top", "mean") >= F.lit(lowest)))
-
-    hits = rows.withColumn("f", F.explode(F.filter(
-        _literal_policies(policies),
-        lambda q: F.when(q["hold"], F.col("top")).otherwise(F.col("mean")) >= q["thr"])))
-    thr, short = F.col("f.thr"), F.col("f.short")
-    m_hold = F.array_position(F.transform("parts", lambda v: v >= thr), F.lit(True)).cast("int")
-    m = m_hold
+def _scores_needed_held(x: np.ndarray, thresholds: list[float], decay: float, look: int) -> list[np.ndarray]:
+    """Per threshold and step: how many of the last scores have to be seen for the peak hold to reach it; 0: never.
+
+    A score stays above a threshold for a number of steps that follows from its size (its life), so a step needs
+    the latest score that is still alive. Short lives are counted by multiplying as the hold does; for long ones a stack holds
+    the scores seen, and what has died is popped from its top, so a chunk is passed once however slow the decay is.
+    """
+    n = len(x)
+    if look <= LAGS:
+        out, v = [np.zeros(n, np.int64) for _ in thresholds], x.copy()
+        for j in range(min(look, n)):
+            if j:
+                v = v[:-1] * decay
+            for need, thr in zip(out, thresholds, strict=True):
+                late = need[j:]
+                late[(late == 0) & (v >= thr)] = j + 1
+        return out
+    return [_latest_alive(x, _lives(x, thr, decay)) for thr in thresholds]
+
+
+def _lives(x: np.ndarray, thr: float, decay: float) -> np.ndarray:
+    """For how many steps each score is at or above ``thr`` when it is multiplied by ``decay`` step after step."""
+    life = np.zeros(len(x), np.int64)
+    live = np.flatnonzero(x >= thr)
+    steps = np.log(x[live] / thr) / -np.log(decay)
+    life[live] = np.floor(steps).astype(np.int64) + 1
+    for i in live[np.abs(steps - np.rint(steps)) < 1e-6]:           # too close for a logarithm: multiply
+        v, k = float(x[i]), 0
+        while v >= thr:
+            v, k = v * decay, k + 1
+        life[i] = k
+    return life
+
+
+def _latest_alive(x: np.ndarray, life: np.ndarray) -> np.ndarray:
+    need, stack = [0] * len(x), []
+    for t, k in enumerate(life.tolist()):
+        if k:
+            stack.append((t, t + k))
+        while stack and stack[-1][1] <= t:
+            stack.pop()
+        if stack:
+            need[t] = t - stack[-1][0] + 1
+    return np.array(need, np.int64)
+
+
+def _scores_needed_mean(x: np.ndarray, thresholds: list[float], shorts: list[int], alpha: float, look: int) -> list[np.ndarray]:
+    """Per threshold and step: how many of the last scores bring the mean to it, at least ``short``; 0: ``look`` do not.
+
+    The mean over the last k scores is one step of the mean over the last k - 1, a step earlier, so short look-backs are
+    lags of one array. For long ones the mean m over all scores gives it by one subtraction, m[t] - (1 - alpha)^k m[t - k]; it never
+    falls with k, so halving finds the k, and a case too close for that is folded as the detector does.
+    """
+    n, keep = len(x), 1.0 - alpha
+    if look <= LAGS:
+        out, tail = [np.zeros(n, np.int64) for _ in thresholds], np.zeros(n)
+        for k in range(1, look + 1):
+            tail = alpha * x + keep * np.concatenate([[0.0], tail[:-1]])
+            for need, thr, short in zip(out, thresholds, shorts, strict=True):
+                if k >= min(short, look):
+                    need[(need == 0) & (tail >= thr)] = k
+        return out
+    mean = np.array(list(accumulate(x.tolist(), lambda m, v: alpha * v + keep * m, initial=0.0)))        # mean[t + 1] is after step t
+    t = np.arange(n)
+    powers = keep ** np.arange(look + 1)
+
+    def tail(k: np.ndarray) -> np.ndarray:
+        k = np.minimum(k, t + 1)
+        return mean[1:] - powers[k] * mean[t + 1 - k]
+
+    def folded(at: int, k: int) -> float:
+        e = 0.0
+        for v in x[max(0, at - k + 1):at + 1].tolist():
+            e = alpha * v + keep * e
+        return e
+
+    out = []
+    for thr, short in zip(thresholds, shorts, strict=True):
+        short = min(short, look)
+        low, high = np.full(n, short), np.full(n, look)
+        while np.any(low < high):
+            middle = (low + high) // 2
+            enough = tail(middle) >= thr
+            low, high = np.where(enough, low, np.minimum(middle + 1, high)), np.where(enough, middle, high)
+        need = np.where(tail(low) >= thr, low, 0)
+        close = (np.abs(tail(low) - thr) < 1e-9) | (np.abs(tail(np.maximum(low - 1, 1)) - thr) < 1e-9)
+        for at in np.flatnonzero(close):
+            k = bisect_left(range(short, look + 1), True, key=lambda k: folded(at, k) >= thr)
+            need[at] = short + k if k <= look - short else 0
+        out.append(need)
+    return out
+
+
+def _candidates_of(x: np.ndarray, gated: np.ndarray, policies: list[Policy]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Per policy: (index, g) of the steps of a chunk that trigger if the last trigger is ``g`` or more steps ago."""
+    holds = [i for i, p in enumerate(policies) if p.agg == "maxhold"]
+    means = [i for i, p in enumerate(policies) if p.agg != "maxhold"]
+    need: dict[int, np.ndarray] = {}
+    if holds:
+        need |= zip(holds, _scores_needed_held(x, [policies[i].threshold for i in holds], policies[holds[0]].decay, max(policies[i].lookback for i in holds)), strict=True)
     if means:
-        def tail(n: Column) -> Column:
-            n = F.least(n, F.size("past"))
-            return fold(F.slice("past", -n, n))
-        # distances up to ``short`` make no difference behind the lockout
-        first = F.get(F.filter(F.sequence(short, F.lit(look_ema)), lambda n: tail(n) >= thr), F.lit(0))
-        m_mean = F.when(tail(short) >= thr, short).otherwise(F.coalesce(first, F.lit(look_ema)))
-        m = F.when(F.col("f.hold"), m_hold).otherwise(m_mean) if holds else m_mean
-    m = F.when(F.col("f.keep"), F.lit(1)).otherwise(m)
-    return hits.select("stream", "chunk", "step", "f.pid", m.alias("m"), F.explode(
-        F.filter("ks", lambda k: k < F.col("f.span"))).alias("k"))
-
-
-def candidates(scores: DataFrame, policies: list[Policy], size: int = CHUNK) -> DataFrame:
-    """(stream, chunk, pid, cands): sorted array of (s, g) per chunk."""
-    hits = _rows_of_hits(scores, policies, size)
-    by_pid = lambda f: F.element_at(F.array(*[F.lit(f(p)) for p in policies]), F.col("pid") + 1)
-    per_step = (hits.withColumn("s", F.col("step") + F.col("k"))
-                .groupBy("stream", "chunk", "pid", "s")
-                .agg(F.sort_array(F.collect_list(F.col("m") + F.col("k"))).alias("v"),
-                     F.max((F.col("k") == 0)).alias("hit")))
-    ok = per_step.filter(
-        (F.size("v") >= by_pid(lambda p: p.need))
-        & (F.floor(F.col("s") / F.lit(size)) == F.col("chunk"))
-        & (F.col("hit") | by_pid(lambda p: p.variant == "scan")))
-    g = F.greatest(by_pid(lambda p: p.gap), F.element_at("v", by_pid(lambda p: p.need)))
-    return (ok.withColumn("g", g).groupBy("stream", "chunk", "pid")
-            .agg(F.sort_array(F.collect_list(F.struct("s", "g"))).alias("cands")))
+        shorts = [max(1, policies[i].gap - policies[i].span + 1) for i in means]
+        need |= zip(means, _scores_needed_mean(x, [policies[i].threshold for i in means], shorts, policies[means[0]].alpha,
+                                               max(policies[i].lookback for i in means)), strict=True)
+    out = []
+    for i, p in enumerate(policies):
+        hit = (need[i] > 0) & ~gated
+        m = np.where(hit, 1 if p.keep_score else need[i], NEVER)
+        seen = np.full((p.span, len(x)), NEVER)
+        for k in range(min(p.span, len(x))):
+            seen[k, k:] = m[:len(x) - k] + k
+        seen.sort(axis=0)
+        reach = seen[p.need - 1]
+        ok = (reach < NEVER) & ~gated & (hit | (p.variant == "scan"))
+        at = np.flatnonzero(ok)
+        out.append((at, np.maximum(reach[at], p.gap)))
+    return out
 
 
-def _none() -> Column:
-    return F.lit(None).cast("bigint")
+def _passage(step: np.ndarray, g: np.ndarray, start: int, reach: int) -> list[int | None]:
+    """For each distance 1 .. reach + 1 of the last trigger before ``start``: the last trigger after the chunk, None if it has none."""
+    before = start - np.arange(1, reach + 2)
+    last = before.copy()
+    for s, need in zip(step.tolist(), g.tolist(), strict=True):
+        last[s - last >= need] = s
+    return [None if a == b else a for a, b in zip(last.tolist(), before.tolist(), strict=True)]
+
 
+def candidates(scores: DataFrame, policies: list[Policy], size: int = CHUNK, first: int | None = None) -> DataFrame:
+    """(stream, chunk, pid, cands, vec): sorted array of (s, g) per chunk, and the chunk as a map of the last trigger.
 
-def _step(last: Column, start: Column, c: Column) -> Column:
-    return F.when(c["s"] - F.coalesce(last, start) >= c["g"], c["s"]).otherwise(last)
+    Steps before ``first`` cannot trigger. A task takes the chunks of its partition one after another.
+    """
+    import pyarrow as pa
+
+    _single({p.decay for p in policies if p.agg == "maxhold"}, "decay")
+    _single({p.alpha for p in policies if p.agg != "maxhold"}, "alpha")
+    halo, reach = _halo(policies), _reach(policies)
+    rows = with_halo(scores.select("stream", "step", "p", "gated"), halo, size=size)
+    kind = scores.schema["stream"].dataType
+    pair = T.StructType([T.StructField("s", T.LongType()), T.StructField("g", T.LongType())])
+    shape = T.StructType([T.StructField("stream", kind), T.StructField("chunk", T.LongType()), T.StructField("pid", T.IntegerType()),
+                          T.StructField("cands", T.ArrayType(pair)), T.StructField("vec", T.ArrayType(T.LongType()))])
+
+    def one(t: pa.Table) -> list[dict]:
+        stream, chunk = t.column("stream")[0].as_py(), t.column("chunk")[0].as_py()
+        step, own = t.column("step").to_numpy(), t.column("own").to_numpy()
+        gated = np.asarray(t.column("gated").to_numpy(), bool)
+        x = np.where(gated, 0.0, np.nan_to_num(np.asarray(t.column("p").to_numpy(), float)))
+        out = []
+        for pid, (at, g) in enumerate(_candidates_of(x, gated, policies)):
+            keep = own[at] if first is None else own[at] & (step[at] >= first)
+            s, g = step[at[keep]], g[keep]
+            if len(s):
+                out.append({"stream": stream, "chunk": chunk, "pid": pid, "cands": [{"s": a, "g": b} for a, b in zip(s.tolist(), g.tolist(), strict=True)],
+                            "vec": _passage(s, g, chunk * size, reach)})
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, schema = None, None
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            schema = schema or pa.schema([("stream", b.schema.field("stream").type), ("chunk", pa.int64()), ("pid", pa.int32()),
+                                          ("cands", pa.list_(pa.struct([("s", pa.int64()), ("g", pa.int64())]))), ("vec", pa.list_(pa.int64()))])
+            t = t if held is None else pa.concat_tables([held, t])
+            keys = list(zip(t.column("stream").to_pylist(), t.column("chunk").to_pylist(), strict=True))
+            cuts = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1])]
+            out = [r for lo, hi in zip(cuts, cuts[1:], strict=False) for r in one(t.slice(lo, hi - lo))]
+            held = t.slice(cuts[-1]) if len(keys) else None
+            if out:
+                yield pa.RecordBatch.from_pylist(out, schema)
+        if held is not None and held.num_rows:
+            yield pa.RecordBatch.from_pylist(one(held), schema)
+
+    return rows.repartition("stream", "chunk").sortWithinPartitions("stream", "chunk", "step").mapInArrow(run, shape)
+
+
+def _halo(policies: list[Policy]) -> int:
+    return max(p.lookback for p in policies) + max(p.span for p in policies)
+
+
+def _reach(policies: list[Policy]) -> int:
+    return max(max(p.gap, p.lookback + p.span) for p in policies)
+
+
+def _none() -> Column:
+    return F.lit(None).cast("bigint")
 
 
 def _compose(last: Column, item: Column, reach: int, first_step: Column) -> Column:
@@ -193,14 +303,12 @@ def detect(scores: DataFrame, policies: list[Policy], size: int = CHUNK, block:
     ``enter`` (stream, last) continues streams: steps below 0 are look-back rows that cannot
     trigger, and ``last`` (negative, or NULL) is the step of the last trigger before step 0.
     """
-    reach = max(max(p.gap, p.lookback + p.span) for p in policies)
+    reach = _reach(policies)
+    while size < 2 * _halo(policies):                                      # a chunk is longer than what it looks back to
+        size *= 2
     # written once: both the chunk summaries and the final pass read it, and it is a small share
     # of the scores
-    found = candidates(scores, policies, size)
-    if enter is not None:
-        found = (found.withColumn("cands", F.filter("cands", lambda c: c["s"] >= 0))
-                 .filter(F.size("cands") > 0))
-    cands = materialize(found, "candidates")
+    cands = materialize(candidates(scores, policies, size, None if enter is None else 0), "candidates")
     far = F.lit(-(reach + 1))
 
     def picks(enter: Column) -> Column:
@@ -213,11 +321,7 @@ def detect(scores: DataFrame, policies: list[Policy], size: int = CHUNK, block:
 
     dist = F.sequence(F.lit(1), F.lit(reach + 1))
 
-    start = F.col("chunk") * F.lit(size)
-    chunk_vec = cands.select(
-        "stream", "pid", "chunk", F.floor(F.col("chunk") / F.lit(block)).cast("long").alias("block"),
-        F.transform(dist, lambda d: F.aggregate(
-            "cands", _none(), lambda last, c: _step(last, start - d, c))).alias("vec"))
+    chunk_vec = cands.select("stream", "pid", "chunk", F.floor(F.col("chunk") / F.lit(block)).cast("long").alias("block"), "vec")
     blocks = (chunk_vec.groupBy("stream", "pid", "block")
               .agg(F.sort_array(F.collect_list(F.struct("chunk", "vec"))).alias("chunks")))
 

@@ -122,3 +122,37 @@ def test_settings_without_forgetting_are_refused():
     with pytest.raises(ValueError, match="decay"):
         Policy(0.5, decay=1.0)
     assert Policy(0.5, agg="ema", alpha=1.0).lookback >= 1
+
+
+SLOW = [Policy(0.68, decay=0.999), Policy(0.3, decay=0.999, need=2, span=3), Policy(0.9, decay=0.999, variant="engine", refractory=0), Policy(0.68, decay=0.999, keep_score=True, need=3, span=4)]
+LONG_MEANS = [Policy(0.3, agg="ema", alpha=0.01), Policy(0.1, agg="ema", alpha=0.01, need=2, span=3, refractory=40), Policy(0.5, agg="ema", alpha=0.01, variant="engine", keep_score=True)]
+
+
+@pytest.mark.parametrize("policies", [SLOW, LONG_MEANS, SLOW[:2] + LONG_MEANS[:2]])
+def test_slow_forgetting_equals_stepwise(spark, policies):
+    rng = np.random.default_rng(7)
+    sparse = np.where(rng.random(10_000) < 0.004, rng.random(10_000), 0.0)
+    walk = np.clip(np.cumsum(rng.normal(0, 0.02, 3000)) % 1.0, 0, 1)
+    data = {0: (sparse.tolist(), (rng.random(10_000) < 0.1).tolist()), 1: (walk.tolist(), [False] * 3000), 2: ([0.3] * 900, [False] * 900), 3: ([1.0] * 1500, [i % 9 == 4 for i in range(1500)])}
+    got = run(spark, data, policies)
+    for k, (ps, gs) in data.items():
+        for i, p in enumerate(policies):
+            assert got.get((k, i), []) == stepwise(ps, gs, p), (k, p)
+
+
+def test_lives_and_lags_agree():
+    from echoloom.operators import detector as D
+
+    rng = np.random.default_rng(1)
+    x = np.concatenate([rng.random(400), [1.0, 0.85, 0.85 ** 2, 0.6, 0.6, 0.0], 0.5 * 0.9 ** -np.arange(6)])
+    for decay, thr in ((0.9, 0.5), (0.85, 0.85 ** 2), (0.97, 0.3)):
+        look = Policy(thr, decay=decay).lookback
+        a = D._scores_needed_held(x, [thr], decay, look)[0]
+        assert look <= D.LAGS and np.array_equal(a, D._latest_alive(x, D._lives(x, thr, decay)))
+    for thr, short in ((0.4, 1), (0.5, 9), (0.6, 30)):
+        a = D._scores_needed_mean(x, [thr], [short], 0.6, 60)[0]
+        D.LAGS, kept = 0, D.LAGS
+        try:
+            assert np.array_equal(a, D._scores_needed_mean(x, [thr], [short], 0.6, 60)[0])
+        finally:
+            D.LAGS = kept

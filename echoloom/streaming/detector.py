@@ -2,25 +2,70 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
 from echoloom.operators.detector import Policy, detect
 from echoloom.operators.running import ordinal_by_bucket, time_bucket
 from echoloom.session import materialize, scratch_path
 
-STATE = "step long, hold double, mean double, hits long, lock long"
-OUT = "stream long, step long, score double, ts timestamp"
+STATE = "step long, hold double, mean double, hits long, lock long, until long"
+OUT = "stream {}, step long, score double, us long"
 #: state of a stream is kept so long after its last row (event time)
 IDLE_MS = 30 * 24 * 3600 * 1000
+#: keyed state with timers lives in this store
+STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def _ordered(frames: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
-    """The rows of one key in one micro-batch. The trigger's file or offset limit bounds them."""
-    return pd.concat(list(frames)).sort_values(by)
+@contextmanager
+def _keyed_store(spark: SparkSession):
+    """The store is a setting of the session, read when a streaming query starts."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, STORE)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def _in_order(rows: Iterable[Row], watermark_ms: int) -> list[Row]:
+    """The rows of one key in one micro-batch that are not behind the watermark, by time.
+
+    The trigger's file or offset limit bounds them. Spark itself lets through what came late only by the last batch's watermark.
+    """
+    return sorted((r for r in rows if r.us >= watermark_ms * 1000), key=lambda r: (r.us, r.seq))
+
+
+class Expiring(StatefulProcessor):
+    """One value per key that goes ``idle_ms`` after the key's last row; a timer of the event time ends it."""
+
+    state_schema = ""
+
+    def init(self, handle) -> None:
+        self.handle, self.state = handle, handle.getValueState("value", self.state_schema)
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        raise NotImplementedError
+
+    def current(self, fresh: tuple) -> tuple:
+        """The value, its last field (the timer) included; ``fresh`` if there is none."""
+        return tuple(self.state.get()) if self.state.exists() else (*fresh, 0)
+
+    def keep(self, value: tuple, timer_ms: int, until_ms: int) -> None:
+        """Store the value and move its timer."""
+        if timer_ms != until_ms:
+            if timer_ms:
+                self.handle.deleteTimer(timer_ms)
+            self.handle.registerTimer(until_ms)
+        self.state.update((*value, until_ms))
+
+    def close(self) -> None:
+        pass
 
 
 def advance(state, p: float, gated: bool, policy: Policy):
@@ -42,46 +87,52 @@ def advance(state, p: float, gated: bool, policy: Policy):
     return (step + 1, hold, mean, hits, lock), (score if fires else None)
 
 
-def _on_time(rows: pd.DataFrame, state) -> pd.DataFrame:
-    """Rows not behind the watermark. Spark itself lets through what came late only by the last batch's watermark."""
-    limit = state.getCurrentWatermarkMs()
-    return rows[rows["ts"].astype("datetime64[ms]").astype("int64") >= limit] if limit > 0 else rows
+class Detector(Expiring):
+    """Steps of a stream taken one by one; five numbers are carried from one micro-batch to the next."""
 
+    state_schema = STATE
 
-def _keep_until(state, rows: pd.DataFrame, idle_ms: int) -> None:
-    """State goes when the watermark is ``idle_ms`` past the stream's last row."""
-    state.setTimeoutTimestamp(max(int(rows["ts"].max().timestamp() * 1000), state.getCurrentWatermarkMs()) + idle_ms)
+    def __init__(self, policy: Policy, idle_ms: int):
+        self.policy, self.idle_ms = policy, idle_ms
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        watermark = timerValues.getCurrentWatermarkInMs()
+        mine = _in_order(rows, watermark)
+        if not mine:
+            return
+        *cur, timer = self.current((0, 0.0, 0.0, 0, 0))
+        cur = tuple(cur)
+        for r in mine:
+            at = cur[0]
+            cur, score = advance(cur, r.p, r.gated, self.policy)
+            if score is not None:
+                yield Row(stream=key[0], step=at, score=score, us=r.us)
+        self.keep(cur, timer, max(mine[-1].us // 1000, watermark) + self.idle_ms)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        self.state.clear()
+        return iter(())
 
 
 def triggers(scores: DataFrame, policy: Policy, watermark: str = "10 minutes", idle_ms: int = IDLE_MS) -> DataFrame:
     """Trigger stream from a score stream (stream, ts, seq, p, gated).
 
     State per stream is five numbers and is dropped ``idle_ms`` after the stream's last row. Rows
-    behind the watermark are dropped. The others are ordered by time within a micro-batch and taken in
-    arrival order between micro-batches; the result equals the batch detector for in-order input.
-    One task handles a stream's rows of one micro-batch, so limit the trigger (files, bytes or
-    offsets), or use :func:`run_micro_batches` when a single stream is too hot for that.
+    behind the watermark, and rows without a time, are dropped (:func:`untimed` counts the latter). The others are
+    ordered by time within a micro-batch and taken in arrival order between micro-batches; the result equals the
+    batch detector for in-order input. One task handles a stream's rows of one micro-batch, so limit the trigger (files,
+    bytes or offsets), or use :func:`run_micro_batches` when a single stream is too hot for that.
     """
-    def run(key, frames, state):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        cur = state.get if state.exists else (0, 0.0, 0.0, 0, 0)
-        found, rows = [], _on_time(_ordered(frames, ["ts", "seq"]), state)
-        if not len(rows):
-            return
-        for r in rows.itertuples():
-            at = cur[0]
-            cur, score = advance(cur, r.p, r.gated, policy)
-            if score is not None:
-                found.append((key[0], at, score, r.ts))
-        state.update(cur)
-        _keep_until(state, rows, idle_ms)
-        if found:
-            yield pd.DataFrame(found, columns=["stream", "step", "score", "ts"])
+    kind = scores.schema["stream"].dataType.simpleString()
+    timed = scores.withWatermark("ts", watermark).filter("ts IS NOT NULL").withColumn("us", F.unix_micros("ts"))
+    found = timed.groupBy("stream").transformWithState(
+        statefulProcessor=Detector(policy, idle_ms), outputStructType=OUT.format(kind), outputMode="Append", timeMode="EventTime")
+    return found.select("stream", "step", "score", F.timestamp_micros("us").alias("ts"))
+
 
-    return (scores.withWatermark("ts", watermark).groupBy("stream")
-            .applyInPandasWithState(run, OUT, STATE, "append", "EventTimeTimeout"))
+def untimed(rows: DataFrame) -> DataFrame:
+    """How many rows a stream source gave, and how many of them have no time and so no place in any stream."""
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("ts").isNull()).alias("untimed"))
 
 
 CARRY = ("stream long, next_step long, last long, "
@@ -134,52 +185,63 @@ def run_micro_batches(scores: DataFrame, policy: Policy, out: str, **trigger) ->
     return scores.sparkSession.read.schema("stream long, step long, batch int").parquet(f"{out}/triggers")
 
 
-SESSION_STATE = "wake_ms long, first_ms long, bytes long, frames long, live boolean, last_ms long"
-SESSION_OUT = "stream long, wake_ms long, frames long, bytes long, duration_s double, first_packet_delta_ms long"
+SESSION_STATE = "wake_ms long, first_ms long, bytes long, frames long, live boolean, last_ms long, until long"
+SESSION_OUT = "stream {}, wake_ms long, frames long, bytes long, duration_s double, first_packet_delta_ms long"
 
 
-def sessions(messages: DataFrame, watermark: str = "10 minutes", silence_ms: int | None = None, idle_ms: int = IDLE_MS) -> DataFrame:
-    """Finished wake sessions from control messages and audio frames (stream, ts, seq, kind, bytes).
+class Sessions(Expiring):
+    """Messages of a stream taken one by one; the open session is carried to the next micro-batch."""
 
-    A session ends with its end message or, where ``silence_ms`` is given, with a longer pause between
-    two messages; a session still open when its state goes ends then. Late rows are dropped.
-    """
-    def run(key, frames, state):
-        wake, first, size, n, live, last = state.get if state.exists else (0, -1, 0, 0, False, 0)
-        done = []
-
-        def closed():
-            return key[0], wake, n, size, size / 32000.0, first - wake if n else None
-
-        rows = None
-        if state.hasTimedOut:
-            if live and silence_ms is not None:
-                done.append(closed())
-            state.remove()
-        else:
-            rows = _on_time(_ordered(frames, ["ts", "seq"]), state)
-        for r in () if rows is None else rows.itertuples():
-            if live and silence_ms is not None and r.ts_ms - last > silence_ms:
-                done.append(closed())
+    state_schema = SESSION_STATE
+
+    def __init__(self, silence_ms: int | None, idle_ms: int):
+        self.silence_ms, self.idle_ms = silence_ms, idle_ms
+
+    @staticmethod
+    def closed(key, value: tuple) -> Row:
+        wake, first, size, n, _, _ = value
+        return Row(stream=key[0], wake_ms=wake, frames=n, bytes=size, duration_s=size / 32000.0, first_packet_delta_ms=first - wake if n else None)
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        watermark = timerValues.getCurrentWatermarkInMs()
+        mine = _in_order(rows, watermark)
+        if not mine:
+            return
+        wake, first, size, n, live, last, timer = self.current((0, -1, 0, 0, False, 0))
+        silence = self.silence_ms
+        for r in mine:
+            if live and silence is not None and r.ts_ms - last > silence:
+                yield self.closed(key, (wake, first, size, n, live, last))
                 live = False
-            last = int(r.ts_ms)
+            last = r.ts_ms
             if r.kind == "wake":
-                wake, first, size, n, live = int(r.ts_ms), -1, 0, 0, True
+                wake, first, size, n, live = r.ts_ms, -1, 0, 0, True
             elif live and r.kind == "end":
-                done.append(closed())
+                yield self.closed(key, (wake, first, size, n, live, last))
                 live = False
             elif live:
-                first = int(r.ts_ms) if n == 0 else first
-                size, n = size + int(r.bytes), n + 1
-        if rows is not None and len(rows):
-            state.update((wake, first, size, n, live, last))
-            _keep_until(state, rows, silence_ms if live and silence_ms is not None else idle_ms)
-        if done:
-            out = pd.DataFrame(done, columns=["stream", "wake_ms", "frames", "bytes", "duration_s", "first_packet_delta_ms"])
-            yield out.astype({"first_packet_delta_ms": "Int64"})
+                first = r.ts_ms if n == 0 else first
+                size, n = size + r.bytes, n + 1
+        wait = silence if live and silence is not None else self.idle_ms
+        self.keep((wake, first, size, n, live, last), timer, max(mine[-1].us // 1000, watermark) + wait)
 
-    return (messages.withWatermark("ts", watermark).groupBy("stream")
-            .applyInPandasWithState(run, SESSION_OUT, SESSION_STATE, "append", "EventTimeTimeout"))
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        *value, _ = self.current((0, -1, 0, 0, False, 0))
+        self.state.clear()
+        if value[4] and self.silence_ms is not None:
+            yield self.closed(key, tuple(value))
+
+
+def sessions(messages: DataFrame, watermark: str = "10 minutes", silence_ms: int | None = None, idle_ms: int = IDLE_MS) -> DataFrame:
+    """Finished wake sessions from control messages and audio frames (stream, ts, seq, kind, bytes).
+
+    A session ends with its end message or, where ``silence_ms`` is given, with a longer pause between
+    two messages; a timer ends it where no message follows. Late rows and rows without a time are dropped.
+    """
+    kind = messages.schema["stream"].dataType.simpleString()
+    timed = messages.withWatermark("ts", watermark).filter("ts IS NOT NULL").withColumn("us", F.unix_micros("ts"))
+    return timed.groupBy("stream").transformWithState(
+        statefulProcessor=Sessions(silence_ms, idle_ms), outputStructType=SESSION_OUT.format(kind), outputMode="Append", timeMode="EventTime")
 
 
 def parse_control(raw: DataFrame, body: str = "body") -> DataFrame:
@@ -196,7 +258,8 @@ def run_to_table(stream: DataFrame, label: str) -> DataFrame:
     """Process everything that is available, append to a table in the shared folder, read it back."""
     spark: SparkSession = stream.sparkSession
     path = scratch_path(spark, label)
-    q = (stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{path}-state")
-         .trigger(availableNow=True).start(path))
-    q.awaitTermination()
+    with _keyed_store(spark):
+        q = (stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{path}-state")
+             .trigger(availableNow=True).start(path))
+        q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(path)

@@ -342,7 +342,7 @@ def m26(spark, sf):
 FROM events GROUP BY 1""")
 def m33(spark, sf):
     ev = table(spark, sf, "events").select(F.col("event_type").alias("class"), "value")
-    q = exact_quantiles(ev, ["class"], "value", {"p95": 0.95}, scale=16.0)
+    q = exact_quantiles(ev, ["class"], "value", {"p95": 0.95})
     g = ev.groupBy("class").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
     return g.join(q, "class").select("class", *[r6(c).alias(c) for c in ("mean", "std", "p95")])
 

@@ -109,7 +109,7 @@ def latency(results: DataFrame, origin: str) -> DataFrame:
     """Median and 90th percentile from the keyword's end or start, per SNR (hits only)."""
     sec = (F.col("first") - F.col("kw_end" if origin == "end" else "kw_start")) / F.lit(float(RATE))
     hit = results.filter("hit").withColumn("lat", sec).withColumn("gap", F.abs(F.col("first") - F.col("kw_end")) / F.lit(float(RATE)))
-    q = exact_quantiles(hit, ["snr"], "lat", {"median": 0.5, "p90": 0.9}, scale=64.0)
+    q = exact_quantiles(hit, ["snr"], "lat", {"median": 0.5, "p90": 0.9})
     return q.join(hit.groupBy("snr").agg(F.avg("gap").alias("mean_gap"), F.count(F.lit(1)).alias("hits")), "snr")
 
 

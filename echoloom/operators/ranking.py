@@ -112,7 +112,7 @@ def non_dominated(df: DataFrame, better_high: str, better_low: str) -> DataFrame
     is the best at its own cost. No pair of rows is formed.
     """
     per_cost = df.groupBy(better_low).agg(F.max(better_high).alias("_top"))
-    before = running(per_cost, [], [better_low], value_bucket(F.col(better_low), 0.01),
+    before = running(per_cost, [], [better_low], value_bucket(F.col(better_low)),
                      {"_best_below": ("max", F.col("_top"), False)})
     keep = before.filter(F.col("_best_below").isNull() | (F.col("_top") > F.col("_best_below")))
     return df.join(keep.select(better_low, "_top"), better_low).filter(F.col(better_high) == F.col("_top"))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from echoloom.functions import draws
-from echoloom.session import checked_broadcast, materialize
+from echoloom.session import BROADCAST_BYTES, checked_broadcast, materialize, row_bytes
 
 KEY = "_key"
 LOWEST = -(1 << 62)
@@ -102,32 +102,63 @@ def listing_ordinal(df: DataFrame, order: list[str], name: str = "ordinal") -> D
             .drop("_part", "_id", "_base"))
 
 
+#: digest digits that one level of a selection looks at, and distinct rows that are ranked at the end
+LEVEL_DIGITS = 3
+RANKED = 1 << 16
+
+
 def hash_cutoffs(df: DataFrame, by: list[str], key: list[str], takes: dict, seed: int, salt: str) -> DataFrame:
     """Per group and name: digest and key of the last row among the ``take(n)`` lowest digests.
 
-    ``takes`` maps a name to a function from the group size to a count. Counts per digest slice
-    find the slice that holds each cut; only those slices are ranked. A take of 0 gives NULL.
+    ``takes`` maps a name to a function from the group size to a count. A take of 0 gives NULL. This is a selection
+    by digits: rows are counted by the first digits of their digest, which finds the slice that holds each cut; only the rows of those
+    slices are looked at again, by the next digits, until a slice is small enough to be ranked: the depth follows
+    the rows of the largest slice. Without groups the first level has 65 536 slices and is the only one, so that nothing runs
+    ahead of the plan; at 10^12 rows that leaves one sort of 15 million. Rows with the same key are one row with a count, so copies
+    cannot fill a slice.
     """
+    first = LEVEL_DIGITS if by else LEVEL_DIGITS + 1
     rows = _keyed(df.select(*by, *key), by)
-    rows = rows.withColumn("_h", draws.digest(seed, salt, *key)).withColumn("_b", hash_bucket(F.col("_h")))
+    rows = rows.withColumn("_h", draws.digest(seed, salt, *key)).withColumn("_b", hash_bucket(F.col("_h"), first))
     counts = rows.groupBy(KEY, "_b").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy(KEY)
-    upto = w.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
     wanted = F.array(*[F.struct(F.lit(n).alias("name"), F.least(F.col("_all_n"), f(F.col("_all_n"))).cast("long").alias("k"))
                        for n, f in takes.items()])
-    cut = (counts.withColumn("_cum", F.sum("_n").over(upto)).withColumn("_all_n", F.sum("_n").over(w))
-           .withColumn("_w", F.explode(wanted))
-           .filter((F.col("_cum") - F.col("_n") < F.col("_w.k")) & (F.col("_cum") >= F.col("_w.k")))
-           .select(KEY, "_b", F.col("_w.name").alias("_name"),
-                   (F.col("_w.k") - (F.col("_cum") - F.col("_n"))).alias("_rest")))
-    side = F.broadcast(cut) if not by else checked_broadcast(cut)  # at most one row per name without a key
-    within = Window.partitionBy(KEY, "_b", "_name").orderBy("_h", *key)
-    hit = (rows.join(side, [KEY, "_b"]).withColumn("_rn", F.row_number().over(within))
-           .filter(F.col("_rn") == F.col("_rest")))
+    upto = F.sum("_n").over(w.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0))
+    cut = (counts.withColumn("_cum", upto).withColumn("_all_n", F.sum("_n").over(w)).withColumn("_w", F.explode(wanted))
+           .select(KEY, "_b", "_n", "_cum", F.col("_w.name").alias("_name"), F.col("_w.k").alias("_k")))
+    side, largest = _slices(cut, eager=bool(by))
+    copies = rows.join(side, [KEY, "_b"]).groupBy(KEY, "_name", "_rest", "_h", *key).agg(F.count(F.lit(1)).alias("_n"))
+    digits = LEVEL_DIGITS
+    while by and largest > RANKED and digits < 32:
+        copies = materialize(copies, "slices").withColumn("_b", hash_bucket(F.substring("_h", digits + 1, LEVEL_DIGITS), LEVEL_DIGITS))
+        counts = copies.groupBy(KEY, "_name", "_rest", "_b").agg(F.sum("_n").alias("_n"), F.count(F.lit(1)).alias("_distinct"))
+        upto = F.sum("_n").over(Window.partitionBy(KEY, "_name").orderBy("_b").rowsBetween(Window.unboundedPreceding, 0))
+        side, largest = _slices(counts.withColumn("_cum", upto).withColumn("_k", F.col("_rest")).drop("_rest"), "_distinct")
+        copies = copies.drop("_rest").join(side, [KEY, "_name", "_b"]).select(KEY, "_name", "_rest", "_h", *key, "_n")
+        digits += LEVEL_DIGITS
+    within = Window.partitionBy(KEY, "_name").orderBy("_h", *key)
+    reached = F.sum("_n").over(within.rowsBetween(Window.unboundedPreceding, 0))
+    hit = copies.withColumn("_cum", reached).filter((F.col("_cum") - F.col("_n") < F.col("_rest")) & (F.col("_cum") >= F.col("_rest")))
     last = F.struct("_h", *key)
     return hit.groupBy(KEY).agg(*[F.max(F.when(F.col("_name") == n, last)).alias(f"_cut_{n}") for n in takes])
 
 
+def _slices(counted: DataFrame, size: str = "_n", eager: bool = True) -> tuple[DataFrame, int]:
+    """(slices that hold a cut with ``_rest`` rows left to take inside, rows of the largest): a broadcast if it was measured to be small.
+
+    ``eager`` False: there is one group, so one slice per name.
+    """
+    inside = (F.col("_cum") - F.col("_n") < F.col("_k")) & (F.col("_cum") >= F.col("_k"))
+    cut = counted.filter(inside).withColumn("_rest", F.col("_k") - (F.col("_cum") - F.col("_n"))).withColumn("_size", F.col(size)).drop("_n", "_cum", "_k", "_distinct")
+    if not eager:
+        return F.broadcast(cut.drop("_size")), 0
+    stored = materialize(cut, "cuts")
+    seen = stored.agg(F.coalesce(F.sum(row_bytes(stored)), F.lit(0)).alias("bytes"), F.coalesce(F.max("_size"), F.lit(0)).alias("most")).first()
+    slices = stored.drop("_size")
+    return (F.broadcast(slices) if seen["bytes"] <= BROADCAST_BYTES else slices), seen["most"]
+
+
 def flag_lowest(df: DataFrame, by: list[str], key: list[str], takes: dict, seed: int, salt: str) -> DataFrame:
     """One boolean column per name: the row is among the first ``take(n)`` of its group in a keyed
     permutation. The wide rows are not shuffled when the table of cuts is small."""
@@ -148,13 +179,21 @@ def take_random(df: DataFrame, n: int, key: list[str], seed: int, salt: str) ->
 
 # ---- distinct-value ladders -------------------------------------------------------------------
 
-def value_bucket(v: Column, scale: float = 4096.0, reach: int = 1 << 20) -> Column:
-    """A bucket that never decreases with the value; clamped, so there are boundedly many."""
-    return F.least(F.greatest(F.floor(v * F.lit(scale)), F.lit(-reach)), F.lit(reach)).cast("long")
+def value_bucket(v: Column, parts: int = 4096) -> Column:
+    """A bucket that never decreases with the value: the exponent of a number and its place between two powers of two.
+
+    So numbers of any size spread, ``parts`` buckets for each doubling; infinite values and NaN have buckets of their own at the ends.
+    """
+    size = F.abs(v.cast("double"))
+    power = F.floor(F.log2(size))
+    place = (power + 1100) * parts + F.floor((size / F.pow(F.lit(2.0), power) - 1.0) * parts)
+    ends = F.lit(1 << 40)
+    code = F.when(size == 0.0, F.lit(0)).when(size == float("inf"), ends).otherwise(place)
+    return F.when(F.isnan(v.cast("double")), ends + 1).when(v < 0, -code).otherwise(code).cast("long")
 
 
 def ladder(df: DataFrame, by: list[str], value: str, counts: dict[str, Column],
-           descending: bool = True, scale: float = 4096.0) -> DataFrame:
+           descending: bool = True) -> DataFrame:
     """One row per (key, distinct value) with counts, inclusive running counts and totals.
 
     Columns: for each count ``c``: ``c`` at the value, ``c_cum`` from the start of the order up to
@@ -162,7 +201,7 @@ def ladder(df: DataFrame, by: list[str], value: str, counts: dict[str, Column],
     value shared by a third of the rows is one row here.
     """
     pts = (_keyed(df, by).groupBy(KEY, value).agg(*[F.sum(e).cast("long").alias(c) for c, e in counts.items()])
-           .withColumn("_b", F.coalesce(value_bucket(F.col(value), scale), F.lit(LOWEST))))
+           .withColumn("_b", F.coalesce(value_bucket(F.col(value)), F.lit(LOWEST))))
     part = pts.groupBy(KEY, "_b").agg(*[F.sum(c).alias(f"_p_{c}") for c in counts])
     direction = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
     whole = Window.partitionBy(KEY)
@@ -180,14 +219,13 @@ def ladder(df: DataFrame, by: list[str], value: str, counts: dict[str, Column],
         *[f"{c}_total" for c in counts])
 
 
-def exact_quantiles(df: DataFrame, by: list[str], value: str, qs: dict[str, float],
-                    scale: float = 4096.0) -> DataFrame:
+def exact_quantiles(df: DataFrame, by: list[str], value: str, qs: dict[str, float]) -> DataFrame:
     """Linearly interpolated quantiles per key, one column per name.
 
     Works on distinct values and their counts, so no task holds all values of a key.
     """
     steps = ladder(df.filter(F.col(value).isNotNull()), by, value, {"n": F.lit(1)},
-                   descending=False, scale=scale)
+                   descending=False)
     first = F.col("n_cum") - F.col("n")
     aggs = []
     for name, q in qs.items():

@@ -100,3 +100,37 @@ def test_null_keys_keep_their_rows(spark):
     assert {r.k: r.c for r in flagged.groupBy("k").agg(F.count_if("t").alias("c")).collect()} == {None: 10, "a": 20}
     q = {r.k: r.m for r in R.exact_quantiles(df, ["k"], "v", {"m": 0.5}).collect()}
     assert q[None] == pytest.approx(np.median([v for k, _, _, v in rows if k is None]))
+
+
+@pytest.mark.parametrize("ranked, digits", [(1 << 16, 3), (4, 1), (1, 2)])
+def test_selection_by_digits_equals_ranking(spark, monkeypatch, ranked, digits):
+    import hashlib
+
+    from echoloom.operators import running as R
+
+    monkeypatch.setattr(R, "RANKED", ranked)
+    monkeypatch.setattr(R, "LEVEL_DIGITS", digits)
+    rows = [(g, f"k{i}") for g in ("a", "b", None) for i in range(200)] + [("a", "hot")] * 300 + [("c", "one")]
+    df = spark.createDataFrame(rows, "g string, k string")
+    takes = {"few": lambda n: F.lit(7), "half": lambda n: F.floor(n / 2), "none": lambda n: F.lit(0), "all": lambda n: n}
+    got = {r[R.KEY]["g"]: r for r in R.hash_cutoffs(df, ["g"], ["k"], takes, 5, "s").collect()}
+    for g in ("a", "b", "c", None):
+        own = sorted((hashlib.md5(f"5|s|{k}".encode()).hexdigest(), k) for x, k in rows if x == g)
+        for name, take in (("few", 7), ("half", len(own) // 2), ("none", 0), ("all", len(own))):
+            take = min(take, len(own))
+            want = own[take - 1] if take else None
+            assert (tuple(got[g][f"_cut_{name}"]) if got[g][f"_cut_{name}"] else None) == want, (g, name)
+
+
+def test_value_buckets_follow_the_order_and_spread(spark):
+    from echoloom.operators.running import value_bucket
+
+    rng = np.random.default_rng(2)
+    v = np.concatenate([rng.random(2000), -rng.random(500), rng.random(2000) * 1e6, 10.0 ** rng.uniform(-300, 300, 500), -(10.0 ** rng.uniform(-300, 300, 200)),
+                        [0.0, -0.0, 1.0, 2.0, 4.0, np.nextafter(1, 0), np.nextafter(2, 0), np.nextafter(1024, 0), 5e-324, 1.7e308, np.inf, -np.inf]])
+    df = spark.createDataFrame([(float(x),) for x in v], "v double").select("v", value_bucket(F.col("v")).alias("b"))
+    rows = sorted((r.v, r.b) for r in df.collect())
+    assert all(a[1] <= b[1] for a, b in zip(rows, rows[1:]))
+    large = spark.range(100_000).select(value_bucket(F.col("id") * 10.0 + 256).alias("b"))
+    assert large.distinct().count() > 10_000
+    assert spark.sql("SELECT double('NaN') AS v").select(value_bucket(F.col("v")).alias("b")).first()["b"] > max(b for _, b in rows)

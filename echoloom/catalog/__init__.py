@@ -6,7 +6,7 @@ import importlib
 
 from echoloom.catalog.registry import ORACLES, QUERIES
 
-FAMILIES = ["q_metrics", "q_sampling", "q_joins", "q_streams", "q_arrays", "q_models", "q_streaming", "q_scan", "q_content"]
+FAMILIES = ["q_metrics", "q_sampling", "q_joins", "q_streams", "q_arrays", "q_models", "q_streaming", "q_scan", "q_content", "q_builds"]
 
 
 def _load() -> None:

@@ -180,3 +180,10 @@ def finish(x: np.ndarray, c: dict[str, np.ndarray], bursts: tuple[np.ndarray, np
     if len(some):
         x[some] = np.clip(x[some], -c["clip_neg"][some][:, None], c["clip_pos"][some][:, None])
     return floor_lift(set_level(x, c["level"]), c["level"])
+
+
+def mix_dual(x: np.ndarray, first: np.ndarray, second: np.ndarray, snr1: np.ndarray, snr2: np.ndarray) -> np.ndarray:
+    """Two layers, both scaled against the clean signal, then the peak guard."""
+    clean = power(x) + 1e-8
+    g1, g2 = (np.sqrt(clean / 10.0 ** (snr / 10.0) / (power(n) + 1e-8))[:, None] for n, snr in ((first, snr1), (second, snr2)))
+    return guard(x + first * g1 + second * g2)

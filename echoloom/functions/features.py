@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -16,18 +17,30 @@ RATE, FRAME, HOP, N_FFT, BANDS, FRAMES = 16000, 480, 320, 512, 40, 49
 EPS = 1e-5
 
 
-def mel_matrix() -> np.ndarray:
-    m = np.zeros((N_FFT // 2 + 1, BANDS))
-    for k, band, w in mel_triangles(RATE, N_FFT, BANDS):
+@dataclass(frozen=True)
+class Shape:
+    """Sizes of a feature matrix. The default is that of the deployed model."""
+
+    length: int = RATE
+    frame: int = FRAME
+    hop: int = HOP
+    n_fft: int = N_FFT
+    bands: int = BANDS
+    frames: int = FRAMES
+
+
+def mel_matrix(shape: Shape = Shape()) -> np.ndarray:
+    m = np.zeros((shape.n_fft // 2 + 1, shape.bands))
+    for k, band, w in mel_triangles(RATE, shape.n_fft, shape.bands):
         m[k, band] = w
     return m
 
 
-def mel_energies(batch: np.ndarray) -> np.ndarray:
-    """(clips, 16000) samples to (clips, frames, bands) energies."""
-    frames = np.lib.stride_tricks.sliding_window_view(batch, FRAME, axis=1)[:, ::HOP]
-    spectrum = np.fft.rfft(frames * np.hanning(FRAME), n=N_FFT, axis=2)
-    return (spectrum.real ** 2 + spectrum.imag ** 2) @ mel_matrix()
+def mel_energies(batch: np.ndarray, shape: Shape = Shape()) -> np.ndarray:
+    """(clips, samples) to (clips, frames, bands) energies: strided frames, one transform and one matrix product for the batch."""
+    frames = np.lib.stride_tricks.sliding_window_view(batch, shape.frame, axis=1)[:, ::shape.hop]
+    spectrum = np.fft.rfft(frames * np.hanning(shape.frame), n=shape.n_fft, axis=2)
+    return (spectrum.real ** 2 + spectrum.imag ** 2) @ mel_matrix(shape)
 
 
 def fit(samples, length: int = RATE) -> np.ndarray:
@@ -43,16 +56,16 @@ def pcen_frames(energy: np.ndarray, s=0.025, alpha=0.98, delta=2.0, r=0.5) -> np
     return (energy / (1e-6 + smooth) ** alpha + delta) ** r - delta ** r
 
 
-def to_features(batch: np.ndarray, use_pcen: bool = False) -> np.ndarray:
-    energy = mel_energies(batch)
+def to_features(batch: np.ndarray, use_pcen: bool = False, shape: Shape = Shape()) -> np.ndarray:
+    energy = mel_energies(batch, shape)
     out = pcen_frames(energy) if use_pcen else np.log(energy + EPS)
-    short = FRAMES - out.shape[1]
-    return np.pad(out, ((0, 0), (0, max(0, short)), (0, 0)))[:, :FRAMES]
+    short = shape.frames - out.shape[1]
+    return np.pad(out, ((0, 0), (0, max(0, short)), (0, 0)))[:, :shape.frames]
 
 
 def log_mel(clips: DataFrame, samples: str = "samples", out: str = "features", use_pcen: bool = False,
-            sub_batch: int = 64) -> DataFrame:
-    """Adds a flat array of 49 x 40 features and drops the samples.
+            sub_batch: int = 64, shape: Shape = Shape()) -> DataFrame:
+    """Adds a flat array of frames x bands (49 x 40) features and drops the samples.
 
     A whole sub-batch of clips is transformed at once; ``sub_batch`` bounds the memory of a task
     whatever the Arrow batch size is.
@@ -65,8 +78,8 @@ def log_mel(clips: DataFrame, samples: str = "samples", out: str = "features", u
         for b in batches:
             for lo in range(0, len(b), sub_batch):
                 part = b.iloc[lo: lo + sub_batch]
-                x = np.stack([fit(s) for s in part[samples]])
-                feats = to_features(x, use_pcen).astype(np.float32).reshape(len(part), -1)
+                x = np.stack([fit(s, shape.length) for s in part[samples]])
+                feats = to_features(x, use_pcen, shape).astype(np.float32).reshape(len(part), -1)
                 res = part[names].copy()
                 res[out] = list(feats)
                 yield res

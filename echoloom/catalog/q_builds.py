@@ -70,8 +70,8 @@ fu AS (SELECT clip_id, t, band, ln(coalesce(e, 0.0) + {EPS}) AS f FROM (SELECT c
 SELECT clip_id, t AS frame, round(sum(f), 3) AS total, round(sum(f * (band + 1)), 3) AS shape FROM fu GROUP BY ALL""")
 def a31_frames(spark, sf):
     """Three overlapping frames of every clip; no two frames of a clip are alike."""
-    f = log_mel(signals(spark, sf).select("clip_id", F.col("x").alias("samples")), shape=SMALL)
-    rows = F.transform(F.sequence(F.lit(0), F.lit(SMALL.frames - 1)), lambda t: F.slice(F.col("features").cast("array<double>"), t * SMALL.bands + 1, F.lit(SMALL.bands)))
+    f = log_mel(signals(spark, sf).select("clip_id", F.col("x").alias("samples")), shape=SMALL, exact=True)
+    rows = F.transform(F.sequence(F.lit(0), F.lit(SMALL.frames - 1)), lambda t: F.slice(F.col("features"), t * SMALL.bands + 1, F.lit(SMALL.bands)))
     one = f.select("clip_id", F.posexplode(rows).alias("frame", "b"))
     add = lambda v: F.aggregate(v, F.lit(0.0), lambda a, x: a + x)                                   # noqa: E731
     return one.select("clip_id", F.col("frame").cast("long").alias("frame"), r6(add(F.col("b")), 3).alias("total"), r6(add(F.transform("b", lambda v, i: v * (i + 1))), 3).alias("shape"))

@@ -64,14 +64,14 @@ def to_features(batch: np.ndarray, use_pcen: bool = False, shape: Shape = Shape(
 
 
 def log_mel(clips: DataFrame, samples: str = "samples", out: str = "features", use_pcen: bool = False,
-            sub_batch: int = 64, shape: Shape = Shape()) -> DataFrame:
-    """Adds a flat array of frames x bands (49 x 40) features and drops the samples.
+            sub_batch: int = 64, shape: Shape = Shape(), exact: bool = False) -> DataFrame:
+    """Adds a flat array of frames x bands (49 x 40) features, as floats or (``exact``) doubles, and drops the samples.
 
     A whole sub-batch of clips is transformed at once; ``sub_batch`` bounds the memory of a task
     whatever the Arrow batch size is.
     """
     keep = [f for f in clips.schema.fields if f.name != samples]
-    schema = T.StructType(keep + [T.StructField(out, T.ArrayType(T.FloatType()))])
+    schema = T.StructType(keep + [T.StructField(out, T.ArrayType(T.DoubleType() if exact else T.FloatType()))])
     names = [f.name for f in keep]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -79,7 +79,7 @@ def log_mel(clips: DataFrame, samples: str = "samples", out: str = "features", u
             for lo in range(0, len(b), sub_batch):
                 part = b.iloc[lo: lo + sub_batch]
                 x = np.stack([fit(s, shape.length) for s in part[samples]])
-                feats = to_features(x, use_pcen, shape).astype(np.float32).reshape(len(part), -1)
+                feats = to_features(x, use_pcen, shape).astype(np.float64 if exact else np.float32).reshape(len(part), -1)
                 res = part[names].copy()
                 res[out] = list(feats)
                 yield res

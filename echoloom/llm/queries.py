@@ -20,7 +20,7 @@ URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow",
 #: the others go beyond SQL and are tested against brute force
 ORACLES: dict[str, str] = {
     "op1_quality_rules": sql.QUALITY_RULES,
-    "op3_url_filter": sql.url_filter(URL_RULES, url_filter.UNIT, url_filter.FOLLOW_PERCENT, url_filter.STEPS),
+    "op3_url_filter": sql.url_filter(URL_RULES, url_filter.UNIT, url_filter.FOLLOW_PERCENT, url_filter.REST),
     "op9_warc": sql.WARC,
     "op12_mixing": sql.mixing(mixing.WEIGHTS, (mixing.SHARE.numerator, mixing.SHARE.denominator), mixing.MOST, mixing.SEED),
     "op13_hard_negatives": sql.hard_negatives(hard_negatives.POSITIVES, hard_negatives.NEGATIVES, hard_negatives.LOW, hard_negatives.HIGH),

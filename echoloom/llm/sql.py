@@ -41,7 +41,7 @@ FROM b JOIN verdict v ON b.host IS NOT DISTINCT FROM v.host
 """
 
 
-def url_filter(rules: list[tuple[str, str, str]], unit: int, follow: int, steps: int) -> str:
+def url_filter(rules: list[tuple[str, str, str]], unit: int, follow: int, rest: int) -> str:
     longest = sorted(rules, key=lambda r: (-len(r[1] + r[2]), r))
     fits = [f"WHEN (host = '{h}' OR suffix(host, '.{h}')) AND prefix(path, '{p}') THEN" for _, h, p in longest]
     rule = "CASE " + " ".join(f"{f} '{h}{p}'" for f, (_, h, p) in zip(fits, longest, strict=True)) + " END"
@@ -50,12 +50,8 @@ def url_filter(rules: list[tuple[str, str, str]], unit: int, follow: int, steps:
     def host(rest: str) -> str:
         return f"translate(regexp_extract({rest}, '^[^/?#]*'), '{_A}', '{_Z}')"
 
-    chain = ",\n".join(f"""m{i} AS (
-  SELECT e.kind, e.dst AS host, CAST(sum((m.mass * {follow} // 100) // e.degree) AS BIGINT) AS mass
-  FROM m{i - 1} m JOIN edges e ON m.kind = e.kind AND m.host = e.src GROUP BY e.kind, e.dst HAVING sum((m.mass * {follow} // 100) // e.degree) > 0)""" for i in range(1, steps + 1))
-    union = " UNION ALL ".join(f"SELECT * FROM m{i}" for i in range(steps + 1))
     return rf"""
-WITH p AS (
+WITH RECURSIVE p AS (
   SELECT page_id, coalesce(html, '') AS html, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
 ), q AS (
   SELECT page_id, html, {host('rest')} AS host, regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path FROM p
@@ -72,11 +68,15 @@ WITH p AS (
 ), seeds AS (
   SELECT host, kind FROM (SELECT host, CASE WHEN 2 * count(*) FILTER (ruled = 'allow') > count(*) THEN 'trust'
     WHEN 2 * count(*) FILTER (ruled = 'block') > count(*) THEN 'distrust' END AS kind FROM r GROUP BY host) WHERE kind IS NOT NULL
-), m0 AS (
-  SELECT kind, host, CAST({unit} // count(*) OVER (PARTITION BY kind) AS BIGINT) AS mass FROM seeds
-), {chain}, mass AS (
+), flow AS (
+  SELECT 0 AS step, kind, host, CAST({unit} // count(*) OVER (PARTITION BY kind) AS BIGINT) AS mass FROM seeds
+  UNION ALL
+  SELECT any_value(m.step) + 1, e.kind, e.dst, CAST(sum((m.mass // 100 * {follow} + m.mass % 100 * {follow} // 100) // e.degree) AS BIGINT)
+  FROM (SELECT *, sum(mass) OVER () AS moving FROM flow) m JOIN edges e ON m.kind = e.kind AND m.host = e.src WHERE moving > {rest}
+  GROUP BY e.kind, e.dst HAVING sum((m.mass // 100 * {follow} + m.mass % 100 * {follow} // 100) // e.degree) > 0
+), mass AS (
   SELECT host, CAST(coalesce(sum(mass) FILTER (kind = 'trust'), 0) AS BIGINT) AS trust, CAST(coalesce(sum(mass) FILTER (kind = 'distrust'), 0) AS BIGINT) AS distrust
-  FROM ({union}) GROUP BY host
+  FROM flow GROUP BY host
 )
 SELECT page_id, r.host, path, rule, coalesce(ruled, CASE WHEN coalesce(distrust, 0) > coalesce(trust, 0) THEN 'block' ELSE 'allow' END) AS verdict,
        coalesce(trust, 0) AS trust, coalesce(distrust, 0) AS distrust

@@ -6,7 +6,9 @@ are trusted seeds, hosts with more than half blocked are blocked seeds. Trust fl
 PageRank from the trusted seeds along links between hosts, distrust from the blocked seeds against
 the links, and a host with more distrust than trust is blocked.
 
-Masses are integers (a share is rounded down), so results do not depend on the order of sums.
+Masses are integers (a share is rounded down), so results do not depend on the order of sums. Steps go on until the mass
+that still moves is a 10^9th of what the seeds had, or nothing moves: links of any distance count up to there (a chain of hosts
+is followed for 128 links). At a tie of trust and distrust a host is allowed.
 
 Defined results for odd input: a NULL url, or one without ``://``, has an empty host and path, and
 no rule fits it. NULL html has no links. Repeated rows come back as often as they occur; a link
@@ -23,12 +25,14 @@ from pyspark.sql import functions as F
 
 from echoloom.llm.common import broadcast_if_small, lower_ascii, stored
 
-#: mass given to all seeds of one kind together
-UNIT = 10 ** 15
-#: percent of a host's mass that follows its links, and the number of steps; what is left after
-#: them is under 0.85 ** 12 of the mass
+#: mass given to all seeds of one kind together; a host cannot gather more than UNIT / 0.15, which fits a long
+UNIT = 10 ** 18
+#: percent of a host's mass that follows its links
 FOLLOW_PERCENT = 85
-STEPS = 12
+#: moving mass of both kinds together at which the flow has ended
+REST = UNIT // 10 ** 9
+#: steps after which the masses so far are summed into one table
+FOLD = 16
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -55,27 +59,28 @@ def host_links(pages: DataFrame, host: str, html: str) -> DataFrame:
     return found.select("src", host_and_path(absolute)[0].alias("dst")).filter("dst <> src AND dst <> '' AND src <> ''").distinct()
 
 
-def spread(links: DataFrame, seeds: DataFrame, steps: int = STEPS, follow: int = FOLLOW_PERCENT) -> DataFrame:
-    """(host, trust, distrust) after ``steps`` steps from ``seeds`` (host, kind); kind is trust or distrust.
+def spread(links: DataFrame, seeds: DataFrame, follow: int = FOLLOW_PERCENT, rest: int = REST) -> DataFrame:
+    """(host, trust, distrust) from ``seeds`` (host, kind) when at most ``rest`` still moves; kind is trust or distrust.
 
     Both kinds travel in one table: trust along links, distrust against them. Each step joins the
-    hosts that hold mass with their edges and sums by target; partial sums are made first.
+    hosts that hold mass with their edges and sums by target; partial sums are made first. A step leaves 85 % of the
+    mass at most, so there are 132 steps at most.
     """
     edges = links.select(F.lit("trust").alias("kind"), "src", "dst").unionByName(
         links.select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst")))
     degrees = edges.groupBy("kind", "src").agg(F.count(F.lit(1)).alias("degree"))
     edges = stored(edges.join(degrees, ["kind", "src"]), "edges")
     share = seeds.groupBy("kind").agg(F.count(F.lit(1)).alias("n_seeds"))    # two rows
-    start = stored(seeds.join(F.broadcast(share), "kind").select("kind", "host", F.expr(f"{UNIT} div n_seeds").alias("mass")), "seeds")
-    total = now = start
-    for step in range(steps):
-        sent = F.expr(f"(mass * {follow} div 100) div degree")
+    total = now = stored(seeds.join(F.broadcast(share), "kind").select("kind", "host", F.expr(f"{UNIT} div n_seeds").alias("mass")), "seeds")
+    moving = lambda df: df.agg(F.coalesce(F.sum(F.col("mass").cast("decimal(38,0)")), F.lit(0))).first()[0]
+    step = 0
+    while moving(now) > rest:
+        sent = F.expr(f"(mass div 100 * {follow} + mass % 100 * {follow} div 100) div degree")
         moved = now.join(edges, (now.kind == edges.kind) & (now.host == edges.src)).select(edges.kind, F.col("dst").alias("host"), sent.alias("mass"))
-        moved = moved.groupBy("kind", "host").agg(F.sum("mass").alias("mass")).filter("mass > 0")
-        now = stored(moved, f"step{step}")
-        if now.isEmpty():
-            break
-        total = total.unionByName(now)
+        now = stored(moved.groupBy("kind", "host").agg(F.sum("mass").alias("mass")).filter("mass > 0"), "step")
+        total, step = total.unionByName(now), step + 1
+        if step % FOLD == 0:
+            total = stored(total.groupBy("kind", "host").agg(F.sum("mass").alias("mass")), "so-far")
     by_kind = lambda k: F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("mass"))), F.lit(0)).alias(k)
     return total.groupBy("host").agg(by_kind("trust"), by_kind("distrust"))
 

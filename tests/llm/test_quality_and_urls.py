@@ -76,3 +76,44 @@ def test_distrust_runs_against_links_and_trust_along(spark):
     assert got[6]["verdict"] == "allow"                                        # being linked from a blocked host is no guilt
     assert got[7]["trust"] > 0 and got[7]["distrust"] > 0
     assert url_filter.judge(spark.createDataFrame([], "page_id long, url string, html string"), URL_RULES).collect() == []
+
+
+def plain_masses(links, seeds, unit, rest):
+    """{host: [trust, distrust]} by walking the definitions."""
+    out = {}
+    now = {(k, h): unit // sum(x == k for x in seeds.values()) for h, k in seeds.items()}
+    edges = {"trust": links, "distrust": {(b, a) for a, b in links}}
+    while now:
+        for (k, h), m in now.items():
+            out.setdefault(h, [0, 0])[k == "distrust"] += m
+        if sum(now.values()) <= rest:
+            break
+        then = {}
+        for (k, h), m in now.items():
+            to = [b for a, b in edges[k] if a == h]
+            for b in to:
+                then[k, b] = then.get((k, b), 0) + (m // 100 * 85 + m % 100 * 85 // 100) // len(to)
+        now = {k: m for k, m in then.items() if m}
+    return out
+
+
+def test_flow_reaches_far_hosts_and_equals_its_twin(spark):
+    import duckdb
+
+    from echoloom.llm import queries
+
+    links = {(f"c{i}.org", f"c{i + 1}.org") for i in range(40)} | {("c40.org", "bad.net"), ("good.com", "r0.org")}
+    links |= {(f"r{i}.org", f"r{(i + 1) % 7}.org") for i in range(7)} | {("hub.org", f"h{i}.org") for i in range(300)} | {("good.com", "hub.org"), ("h5.org", "c3.org")}
+    hosts = sorted({h for e in links for h in e})
+    pages = [(i, f"http://{h}/es/{i}", "".join(f'<a href="http://{b}/x">t</a>' for a, b in sorted(links) if a == h)) for i, h in enumerate(hosts)]
+    got = {r["host"]: r for r in url_filter.judge(spark.createDataFrame(pages, "page_id long, url string, html string"), URL_RULES).collect()}
+    want = plain_masses(links, {"bad.net": "distrust", "good.com": "trust"}, url_filter.UNIT, url_filter.REST)
+    assert {h: (r["trust"], r["distrust"]) for h, r in got.items()} == {h: tuple(want.get(h, (0, 0))) for h in hosts}
+    assert got["c0.org"]["verdict"] == "block" and got["c0.org"]["distrust"] > 0          # 41 links away
+    assert got["h299.org"]["trust"] > 0 and got["r6.org"]["verdict"] == "allow"
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?, ?)", pages)
+    rel = con.execute(queries.oracles()["op3_url_filter"])
+    cols = [d[0] for d in rel.description]
+    assert sorted(map(str, rel.fetchall())) == sorted(str(tuple(r[c] for c in cols)) for r in got.values())

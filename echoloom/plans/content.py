@@ -135,7 +135,7 @@ def build(samples: DataFrame, key: str, clips: DataFrame, clip: str, klass: str,
     draws = materialize(draw(plan, key, table, seed), "draws")
     sound = clips.select(F.col(clip).alias("item"), F.col(x).alias("samples"))
     refs = draws.join(sound, "item").groupBy(key).agg(F.sort_array(F.collect_list(F.struct("role", "idx", "amount", "place", "samples"))).alias("refs"))
-    named = plan.join(labels(draws, key), key, "left") if "snr" not in plan.columns else plan.drop("snr", "layers").join(labels(draws, key), key, "left")
+    named = plan.drop("snr", "layers").join(labels(draws, key), key, "left")
     group = F.concat_ws("|", F.when(F.col("y") == 1, "pos").otherwise("neg"), F.coalesce("classes", F.lit("direct")))
     j = named.withColumn("group", group).withColumn("snr", F.coalesce("snr", F.lit(NO_LAYERS))).withColumnRenamed("mix", "bucket")
     j = j.select(key, *KEPT, *CONTROLS, "bursts").join(refs, key, "left")

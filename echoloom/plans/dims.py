@@ -46,18 +46,8 @@ RECIPES = [
 # Kinds of the older negative mixture and their shares.
 NEGATIVE_KINDS = {"speech": 0.22, "babble": 0.16, "noise": 0.24, "speech_in_noise": 0.24, "confusable": 0.14}
 
-# Generation profiles (pairs are ranges or base/slope of a probability).
-PROFILES = {
-    "v2": {"clean_frac": 0.0, "snr1": (2.0, 22.0), "snr2": (-2.0, 16.0), "snr3": (-6.0, 12.0),
-           "telephonic": 0.15, "bitcrush": (0.25, 0.30), "dropout": (0.15, 0.25), "gain": (1.0, 1.0),
-           "sin_snr": (-4.0, 14.0), "mems": 1.0},
-    "v3": {"clean_frac": 0.30, "snr1": (8.0, 24.0), "snr2": (0.0, 16.0), "snr3": (-3.0, 12.0),
-           "telephonic": 0.06, "bitcrush": (0.12, 0.20), "dropout": (0.08, 0.18), "gain": (0.45, 1.60),
-           "sin_snr": (0.0, 16.0), "mems": 1.0},
-    "v4": {"clean_frac": 0.0, "snr1": (8.0, 24.0), "snr2": (0.0, 16.0), "snr3": (-3.0, 12.0),
-           "telephonic": 0.06, "bitcrush": (0.02, 0.05), "dropout": (0.08, 0.18), "gain": (1.0, 1.0),
-           "sin_snr": (0.0, 16.0), "mems": 0.0},
-}
+# Chances of the effects (pairs are base and slope over the aggressiveness).
+PROFILES = {"v4": {"telephonic": 0.06, "bitcrush": (0.02, 0.05), "dropout": (0.08, 0.18), "mems": 0.0}}
 
 # Talker distance in metres -> sound pressure in dB; vocal effort and level ranges.
 DISTANCE_SPL = {0.3: 70.0, 0.5: 66.0, 1.0: 60.0, 2.0: 54.0, 3.0: 50.5}
@@ -71,7 +61,6 @@ FPR_BUDGETS = [0.0005, 0.001, 0.002, 0.005, 0.01, 0.02, 0.05]
 COARSE_GRID = [0.50, 0.65, 0.75, 0.80, 0.85, 0.90, 0.95]
 SWEEP_THRESHOLDS = [0.60, 0.70, 0.78, 0.84, 0.90]
 POLICIES = ["1/2", "2/2", "2/3", "3/4"]
-SNR_POINTS = [20.0, 12.0, 6.0, 0.0]
 OFFSETS = list(range(0, 25, 2))
 GAINS_DB = [-24, -18, -12, -6, 0, 6, 12, 18]
 

@@ -43,6 +43,8 @@ FEWEST = 64
 #: a file is closed when it has reached this many compressed bytes
 ROLL_BYTES = 64 << 20
 MIN_REVISIT_BYTES = 0
+#: tasks that read archives back, at most; above, a task reads several files one after the other
+MOST_TASKS = 20_000
 DATE = "2024-01-01T00:00:00Z"
 VERSION = b"WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -240,7 +242,9 @@ def read_archive(spark: SparkSession, root: str, with_payload: bool = True) -> D
                     raise ValueError(f"{name} has {seen} records, the manifest says {n}")
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return files.repartition("file").mapInArrow(run, ", ".join(columns))
+    # one file is one unit of work: without a number of its own, adaptive execution would merge the short list into one task
+    n = max(1, min(files.count(), MOST_TASKS))
+    return files.repartition(n, "file").mapInArrow(run, ", ".join(columns))
 
 
 def round_trip(pages: DataFrame, id_col: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

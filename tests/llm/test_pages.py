@@ -109,6 +109,13 @@ def test_files_do_not_depend_on_partitions(spark, tmp_path):
     assert all((tmp_path / "1" / "files" / f[0]).read_bytes() == (tmp_path / "6" / "files" / f[0]).read_bytes() for f in made[0])
 
 
+def test_archives_are_read_back_by_several_tasks(spark, tmp_path):
+    df = spark.range(3000).selectExpr("id page_id", "concat('http://h/', id) url", "repeat(cast(id AS string), 50) html")
+    n = warc.write_archive(df, str(tmp_path / "w")).count()
+    back = warc.read_archive(spark, str(tmp_path / "w"))
+    assert n > 8 and back.count() == 3000 and back.rdd.getNumPartitions() == n
+
+
 def test_damage_is_noticed_and_empty_tables_work(spark, tmp_path):
     df = spark.createDataFrame(pages(), "page_id long, url string, html string")
     assert warc.round_trip(df.filter("1 = 0")).collect() == []

@@ -24,7 +24,7 @@ from collections.abc import Iterator
 from itertools import accumulate, combinations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -59,17 +59,21 @@ def fingerprint(text: str | None) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(k, fp) per row: the id and the fingerprint as a signed long."""
+    """(k, h, fp) per row: the id, a hash of the text and the fingerprint as a signed long."""
     import pyarrow as pa
 
-    given = docs.select(docs[f"`{id_col}`"].alias("k"), docs[f"`{text}`"].alias("t"))
+    given = docs.select(docs[f"`{id_col}`"].alias("k"), _text_hash(docs, text).alias("h"), docs[f"`{text}`"].alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = np.array([fingerprint(t.as_py()) for t in b.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made.view(np.int64))], ["k", "fp"])
+            made = np.array([fingerprint(t.as_py()) for t in b.column(2)], np.uint64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(made.view(np.int64))], ["k", "h", "fp"])
 
-    return given.mapInArrow(run, T.StructType([T.StructField("k", given.schema["k"].dataType), T.StructField("fp", T.LongType())]))
+    return given.mapInArrow(run, T.StructType([T.StructField("k", given.schema["k"].dataType), T.StructField("h", T.LongType()), T.StructField("fp", T.LongType())]))
+
+
+def _text_hash(docs: DataFrame, text: str) -> Column:
+    return F.xxhash64(F.coalesce(docs[f"`{text}`"], F.lit("")))
 
 
 def band_masks(bands: int) -> list[int]:
@@ -159,32 +163,35 @@ def links(unique: DataFrame) -> DataFrame:
 
 
 def grouped(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(k, fp, component_id) per row of ``docs``."""
+    """(k, h, fp, head) per row of ``docs``; ``head`` is the component's smallest (id, text hash), NULL if no row of it has an id."""
     own = stored(fingerprints(docs, id_col, text), "fingerprints")
-    unique = stored(own.groupBy("fp").agg(F.min("k").alias("first")), "unique")
+    unique = stored(own.groupBy("fp").agg(F.min(F.when(F.col("k").isNotNull(), F.struct("k", "h"))).alias("first")), "unique")
     roots = components(links(unique.select("fp")))
     member = stored(unique.join(roots, unique.fp == roots.node).select("fp", "first", "root"), "linked")
-    named = stored(member.groupBy("root").agg(F.min("first").alias("component_id")), "named")
-    linked = member.join(named, "root").select("fp", "component_id")
-    rest = unique.join(member.select("fp"), "fp", "left_anti").select("fp", F.col("first").alias("component_id"))
-    return own.join(stored(linked.unionByName(rest), "components"), "fp").select("k", "fp", "component_id")
+    named = stored(member.groupBy("root").agg(F.min("first").alias("head")), "named")
+    linked = member.join(named, "root").select("fp", "head")
+    rest = unique.join(member.select("fp"), "fp", "left_anti").select("fp", F.col("first").alias("head"))
+    return own.join(stored(linked.unionByName(rest), "components"), "fp").select("k", "h", "fp", "head")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: id, ``fingerprint`` (16 hex digits), ``component_id``."""
     return grouped(docs, id_col, text).select(
-        F.col("k").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+        F.col("k").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("head.k").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id names their component; one of the rows that repeat such an id.
+    """The rows of ``docs`` whose id and text name their component.
 
-    Rows without an id cannot stand for a group: they stay.
+    Different texts under one id are documents of their own. Of rows that repeat id and text, the one with the
+    smallest hash of all its columns stays. Rows without an id cannot stand for a group: they stay.
     """
     named, unnamed = docs.filter(docs[f"`{id_col}`"].isNotNull()), docs.filter(docs[f"`{id_col}`"].isNull())
-    kept = grouped(named, id_col, text).filter("k = component_id").select("k").distinct()
-    turn, mark = fresh(docs, "turn"), fresh(docs, "kept_key")
-    kept = stored(kept, "kept").withColumnRenamed("k", mark)
-    one = Window.partitionBy(mark).orderBy(F.lit(0))
-    first = named.join(kept, named[f"`{id_col}`"] == kept[mark]).withColumn(turn, F.row_number().over(one))
-    return first.filter(F.col(turn) == 1).select(*(F.col(f"`{c}`") for c in docs.columns)).unionByName(unnamed)
+    kept = grouped(named, id_col, text).filter("k = head.k AND h = head.h").groupBy("k", "h").agg(F.count(F.lit(1)).alias("n"))
+    key, own, n = fresh(docs, "kept_key"), fresh(docs, "kept_hash"), fresh(docs, "kept_rows")
+    kept = stored(kept, "kept").withColumnsRenamed({"k": key, "h": own, "n": n})
+    heads = named.join(broadcast_if_small(kept), (named[f"`{id_col}`"] == kept[key]) & (_text_hash(named, text) == kept[own]))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    row = F.xxhash64(*(F.coalesce(c.cast("string"), F.lit("\0")) for c in columns))
+    again = heads.filter(F.col(n) > 1).groupBy(key, own).agg(F.min_by(F.struct(*columns), row).alias("row")).select("row.*")
+    return heads.filter(F.col(n) == 1).select(*columns).unionByName(again).unionByName(unnamed)

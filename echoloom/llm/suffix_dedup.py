@@ -23,8 +23,9 @@ A shard is sorted in memory, in pieces of about ``SHARD_BYTES`` that end with a
 Nothing is capped.
 
 Defined results for odd input: a NULL text is empty. A document without id has no place in the order:
-it is returned whole and takes nothing from others. Rows that repeat an id are one document at one
-place and cut alike. Texts under ``MATCH`` bytes are returned whole. Columns beyond the named ones
+it is returned whole and takes nothing from others. Rows that repeat id and text are one document at one
+place and cut alike. Different texts under one id are documents of their own, in the order of a 64-bit
+hash of the text, and each is cut by its own spans. Texts under ``MATCH`` bytes are returned whole. Columns beyond the named ones
 are ignored. An empty table gives an empty result.
 """
 
@@ -40,6 +41,7 @@ from pyspark.sql import types as T
 
 from echoloom.llm.common import broadcast_if_small, stored
 from echoloom.llm.suffix_sort import descending
+from echoloom.operators.running import ordinal_by_bucket
 
 MATCH = 100
 #: length of an anchor, a power of two
@@ -53,6 +55,9 @@ STEP_BYTES = 1 << 20
 HELD_ANCHORS = 1 << 20
 #: bytes of parts that are sorted together, if more than one key is there
 SHARD_BYTES = 4 << 20
+#: a place in a text takes so many bits (Spark's strings are shorter than 2 GB); the number of the text among those of its id stands above
+PLACE_BITS = 32
+PLACE = (1 << PLACE_BITS) - 1
 #: parts with one key beyond which its windows are dealt out one by one
 CROWD = 2048
 
@@ -100,15 +105,16 @@ def segments(texts: list[bytes]) -> tuple[np.ndarray, ...]:
 
 
 def merged(key: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Overlapping or touching spans of the same key joined."""
+    """Overlapping or touching spans of the same key, and the same text of it, joined."""
     order = np.lexsort((start, key))
     key, start, stop = key[order], start[order], stop[order]
     if not len(key):
         return key, start, stop
+    base = start >> PLACE_BITS << PLACE_BITS
     new_key = np.ones(len(key), bool)
-    new_key[1:] = key[1:] != key[:-1]
+    new_key[1:] = (key[1:] != key[:-1]) | (base[1:] != base[:-1])
     group = np.cumsum(new_key) - 1
-    lift = group * (int(stop.max()) + 2)                     # so that a running maximum does not cross keys
+    lift = group * (int((stop - base).max()) + 2) - base     # so that a running maximum does not cross keys
     reach = np.maximum.accumulate(stop + lift) - lift
     new = new_key.copy()
     new[1:] |= start[1:] > reach[:-1]
@@ -120,10 +126,10 @@ ANCHOR_ROWS = "a long, x long, k long, s long, c int, p int"
 
 
 def anchors(docs: DataFrame) -> DataFrame:
-    """Segments of ``docs`` (k, t) that are first of their kind in their task, and spans of the others.
+    """Segments of ``docs`` (k, o, t) that are first of their kind in their task, and spans of the others.
 
     A segment is (anchor hash, content hash, id, start, windows, anchor offset); a span has windows -1
-    and its end in place of the content hash.
+    and its end in place of the content hash. Starts and ends carry ``o``, the text's number, above their PLACE_BITS.
     """
     import pyarrow as pa
 
@@ -143,13 +149,13 @@ def anchors(docs: DataFrame) -> DataFrame:
 
         parts, size = [], 0
         for b in batches:
-            ids, at = b.column(0).to_numpy(), 0
-            column, held, bytes_held = b.column(1), [], 0
+            ids, base, at = b.column(0).to_numpy(), b.column(1).to_numpy() << PLACE_BITS, 0
+            column, held, bytes_held = b.column(2), [], 0
             for i in range(b.num_rows + 1):
                 t = (column[i].as_py() or "").encode() if i < b.num_rows else b""
                 if held and (i == b.num_rows or bytes_held + len(t) > STEP_BYTES):
                     doc, s, c, p, a, x = segments(held)
-                    parts.append((a, x, ids[at + doc], s, c, p))
+                    parts.append((a, x, ids[at + doc], base[at + doc] + s, c, p))
                     size += len(a)
                     held, bytes_held, at = [], 0, i
                 held.append(t)
@@ -215,8 +221,9 @@ def parts_of(docs: DataFrame, chosen: DataFrame) -> DataFrame:
     import pyarrow as pa
     from xxhash import xxh64_intdigest
 
-    wanted = chosen.groupBy("k").agg(F.collect_list(F.struct("s", "c", "p")).alias("at"))
-    given = docs.join(wanted, "k").select("k", "t", "at")
+    wanted = chosen.groupBy("k", F.shiftright("s", PLACE_BITS).alias("o")).agg(
+        F.collect_list(F.struct(F.col("s").bitwiseAND(F.lit(PLACE)).alias("s"), "c", "p")).alias("at"))
+    given = docs.join(wanted, ["k", "o"]).select("k", "o", "t", "at")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def batch(rows):
@@ -227,14 +234,14 @@ def parts_of(docs: DataFrame, chosen: DataFrame) -> DataFrame:
         for b in batches:
             rows = []
             for i in range(b.num_rows):
-                k, t = b.column(0)[i].as_py(), (b.column(1)[i].as_py() or "").encode()
-                for w in b.column(2)[i].as_py():
+                k, base, t = b.column(0)[i].as_py(), b.column(1)[i].as_py() << PLACE_BITS, (b.column(2)[i].as_py() or "").encode()
+                for w in b.column(3)[i].as_py():
                     s, c, q = w["s"], w["c"], w["s"] + w["p"]
                     left = max(0, min(c, w["p"] - SIDE + 1))      # these windows start SIDE bytes or more before the anchor
                     for at, n, lo, hi, side in ((s, left, q - SIDE, q + ANCHOR, 0), (s + left, c - left, q, q + ANCHOR + SIDE, 1)):
                         if n > 0:
                             h = xxh64_intdigest(t[lo:hi], side)
-                            rows.append((h - (1 << 64) if h >> 63 else h, k, at, n, t[at:at + n + MATCH - 1]))
+                            rows.append((h - (1 << 64) if h >> 63 else h, k, base + at, n, t[at:at + n + MATCH - 1]))
                 if len(rows) > 20_000:
                     yield batch(rows)
                     rows = []
@@ -339,7 +346,7 @@ def crowded_windows(parts: DataFrame) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(k, s, e) spans of repeats in ``docs`` (k, t); spans of a document may overlap."""
+    """(k, s, e) spans of repeats in ``docs`` (k, o, t), with ``o`` above the places; spans of a document may overlap."""
     compared = stored(compare_segments(anchors(docs)), "segments")
     chosen = compared.filter("c > 0").select("k", "s", "c", "p")
     parts = stored(parts_of(docs, chosen), "parts")
@@ -349,6 +356,22 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     return stored(more.unionByName(compared.filter("c < 0").select("k", "s", F.col("x").alias("e"))), "spans")
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` (k, t, ...) with ``o``: 0, or the number of the text among the different texts of its id.
+
+    Ids and hashes are compared, texts do not move; an id with very many texts is numbered in buckets of the hash.
+    """
+    h = F.xxhash64(F.coalesce("t", F.lit("")))
+    seen = rows.filter("k IS NOT NULL").select("k", h.alias("h"))
+    several = stored(seen.groupBy("k").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).filter("lo <> hi").select("k"), "ids_with_texts")
+    if several.isEmpty():
+        return rows.withColumn("o", F.lit(0).cast("long"))
+    texts = seen.join(broadcast_if_small(several), "k", "left_semi").distinct()
+    number = stored(ordinal_by_bucket(texts, ["k"], ["h"], F.shiftright("h", 48), "o").select(F.col("k").alias("nk"), F.col("h").alias("nh"), "o"), "numbered_texts")
+    joined = rows.withColumn("nh", h).join(broadcast_if_small(number).withColumnRenamed("nh", "nh2"), F.col("k").eqNullSafe(F.col("nk")) & (F.col("nh") == F.col("nh2")), "left")
+    return joined.select(*rows.columns, F.coalesce("o", F.lit(0)).cast("long").alias("o"))
+
+
 def _cut(text: bytes, spans: list | None) -> tuple[bytes, int, int]:
     """Kept bytes, removed bytes and number of maximal removed runs."""
     if not spans:
@@ -365,8 +388,10 @@ def _cut(text: bytes, spans: list | None) -> tuple[bytes, int, int]:
 def _with_spans(docs: DataFrame, id_col: str, text: str, more: list[str]) -> DataFrame:
     """(k, t, at, m0, m1, ...): rows of ``docs`` with the spans to cut."""
     rows = docs.select(docs[f"`{id_col}`"].cast("long").alias("k"), docs[f"`{text}`"].alias("t"), *(docs[f"`{c}`"].alias(f"m{i}") for i, c in enumerate(more)))
-    spans = repeated_spans(rows.filter("k IS NOT NULL").select("k", "t"))
-    return rows.join(spans.groupBy("k").agg(F.collect_list(F.struct("s", "e")).alias("at")), "k", "left")
+    rows = numbered(rows)
+    spans = repeated_spans(rows.filter("k IS NOT NULL").select("k", "o", "t"))
+    local = F.struct(*(F.col(c).bitwiseAND(F.lit(PLACE)).alias(c) for c in ("s", "e")))
+    return rows.join(spans.groupBy("k", F.shiftright("s", PLACE_BITS).alias("o")).agg(F.collect_list(local).alias("at")), ["k", "o"], "left")
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:

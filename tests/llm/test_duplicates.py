@@ -61,6 +61,15 @@ def test_keep_one_keeps_columns_and_one_row(spark):
     assert simhash.near_duplicates(df.filter("1 = 0")).collect() == [] and simhash.keep_one(df.filter("1 = 0")).collect() == []
 
 
+def test_keep_one_tells_texts_of_one_id_apart(spark):
+    a, b, c = ("one two three four five six", "the weather was fine and nobody had any fruit", "seven eight nine ten eleven twelve")
+    rows = [(5, a, "s"), (5, b, "s"), (6, a, "s"), (7, c, "y"), (7, c, "x"), (7, c, "x")]
+    out = [{tuple(r) for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(n)).collect()} for n in (1, 4)]
+    assert out[0] == out[1] and sorted((k, t) for k, t, _ in out[0]) == sorted([(5, a), (5, b), (7, c)])
+    got = {(r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert got == {(5, 5), (6, 5), (7, 7)}
+
+
 def test_components_of_paths_stars_and_rings(spark):
     rnd = random.Random(4)
     edges = [(i, i + 1) for i in range(100, 160)] + [(500, i) for i in range(501, 600)] + [(700 + i, 700 + (i + 1) % 9) for i in range(9)] + [(5, 5)]
@@ -125,3 +134,25 @@ def test_cut_texts_keeps_columns_and_odd_rows(spark):
     assert all((r["text"] or "") == want[r["doc_id"]] for r in got if r["doc_id"] is not None)
     assert [r["text"] for r in got if r["doc_id"] is None] == [rows[5][1]]
     assert suffix_dedup.digests(df.filter("1 = 0")).collect() == [] and suffix_dedup.cut_texts(df.filter("1 = 0")).collect() == []
+
+
+def test_texts_of_one_id_are_cut_by_their_own_spans(spark, monkeypatch):
+    """Ids with several texts come out as the same texts do under ids of their own, in the order of the text hash."""
+    rnd = random.Random(4)
+    passage = "".join(rnd.choice("abcdefgh ") for _ in range(300))
+    fill = lambda n: "".join(rnd.choice("ijklmnop ") for _ in range(n))
+    rows = [(4, passage + fill(200)), (5, fill(150) + passage), (5, fill(500)), (5, fill(90) + passage[40:260] + fill(80)), (5, passage[:150]), (-3, fill(400)), (6, passage), (6, passage)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    own = df.selectExpr("doc_id", "text", "xxhash64(text) h").distinct().orderBy("doc_id", "h").collect()
+    want = cut({i: r["text"] for i, r in enumerate(own)}.items())
+    want = {(r["doc_id"], r["text"]): want[i][0].decode() for i, r in enumerate(own)}
+    for small in (False, True):
+        if small:
+            for name, value in (("HELD_ANCHORS", 5), ("SHARD_BYTES", 200), ("STEP_BYTES", 300), ("CROWD", 1)):
+                monkeypatch.setattr(suffix_dedup, name, value)
+        out = suffix_dedup.cut_texts(df.selectExpr("doc_id", "text", "text AS before").repartition(3)).collect()
+        assert len(out) == len(rows) and all(r["text"] == want[r["doc_id"], r["before"]] for r in out)
+    assert sum(len(t) for t in want.values()) < sum(len(t) for _, t in set(rows)) - 500
+    big = suffix_dedup.PLACE + 1
+    k, s, e = suffix_dedup.merged(np.array([1, 1, 1, 2]), np.array([0, 50, 7 * big + 3, big]), np.array([100, 160, 7 * big + 103, big + 100]))
+    assert (k.tolist(), s.tolist(), e.tolist()) == ([1, 1, 2], [0, 7 * big + 3, big], [160, 7 * big + 103, big + 100])

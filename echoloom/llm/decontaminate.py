@@ -1,7 +1,9 @@
 """Benchmark decontamination by template windows.
 
-Texts and benchmark items are brought to templates: numbers, names (capitalised words) and units
-(a unit word after a number) become typed placeholders, all other words stay, in lower case. Windows
+Texts and benchmark items are brought to templates: numbers, names and units
+become typed placeholders, all other words stay, in lower case. A number keeps its separators
+("12,500", "2.5") and may be written in words ("twenty-five"); capitalised words in a row, in any script that
+has capitals, are one name ("Mary Jane"); a unit is a unit word after a number. Windows
 of ``WINDOW`` template tokens are hash-joined. Matches of a document and an item on one alignment
 (document position minus item position) must fill the slots consistently: one value of the item
 always stands for one value of the document, and the other way round; windows with a slot that
@@ -47,43 +49,73 @@ BITS = 22
 UNITS = ("kg g mg lb lbs oz ton tons km m cm mm mile miles foot feet inch inches yard yards l ml litre litres liter liters "
          "second seconds minute minutes hour hours day days week weeks month months year years dollar dollars euro euros "
          "pound pounds cent cents percent degree degrees").split()
+NUMBER_WORDS = ("two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen "
+                "twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion").split()
 
 MIX = np.uint64(0x94D049BB133111EB)
 NUMBER, NAME, UNIT = (np.uint64(v) for v in (0xA5A5A5A5A5A5A5A1, 0xA5A5A5A5A5A5A5A2, 0xA5A5A5A5A5A5A5A3))
 LITERAL = np.uint64(0x5C5C5C5C5C5C5C5C)
 
 
-def _unit_hashes() -> np.ndarray:
-    return np.sort(Scan([" ".join(UNITS).encode()]).hash)
+def _hashes(words: list[str]) -> np.ndarray:
+    return np.sort(Scan([" ".join(words).encode()]).hash)
 
 
-UNIT_HASHES = _unit_hashes()
+UNIT_HASHES = _hashes(UNITS)
+NUMBER_HASHES = _hashes(NUMBER_WORDS)
+#: which code points below 65 536 are capitals
+CAPITAL = np.array([chr(i).isupper() or chr(i).istitle() for i in range(1 << 16)])
 
 
-def template(scan: Scan) -> tuple[np.ndarray, np.ndarray]:
-    """(template hash, kind) per token; kind 0 word, 1 number, 2 name, 3 unit."""
-    n = len(scan.start)
-    kind = np.zeros(n, np.int8)
-    if not n:
-        return scan.hash, kind
-    b = scan.bytes
-    digits = np.maximum.reduceat((b[scan.pos] >= 48) & (b[scan.pos] <= 57), scan.first)
-    head = b[scan.start]
-    kind[(head >= 65) & (head <= 90)] = 2
-    kind[digits] = 1
-    after = np.zeros(n, bool)
-    after[1:] = digits[:-1] & (scan.doc[1:] == scan.doc[:-1])
-    at = np.searchsorted(UNIT_HASHES, scan.hash).clip(max=len(UNIT_HASHES) - 1)
-    kind[after & (UNIT_HASHES[at] == scan.hash) & (kind != 1)] = 3
-    return np.select([kind == 1, kind == 2, kind == 3], [NUMBER, NAME, UNIT], scan.hash), kind
+def _among(h: np.ndarray, known: np.ndarray) -> np.ndarray:
+    return known[np.searchsorted(known, h).clip(max=len(known) - 1)] == h
 
 
-def windows(scan: Scan, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(first token, hash, words, kind per token) of all windows of ``size`` tokens inside one text."""
-    t, kind = template(scan)
-    same, h = _window_hashes(t, scan.doc, size)
-    count = np.concatenate([[0], np.cumsum(kind == 0)])
-    return same, h, count[same + size] - count[same], kind
+def _capitals(b: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Whether the character at each of ``start`` is a capital; UTF-8 of one to three bytes."""
+    at = [b[np.minimum(start + i, len(b) - 1)].astype(np.int32) for i in range(3)]
+    code = np.where(at[0] < 0x80, at[0], np.where(at[0] < 0xE0, (at[0] & 0x1F) << 6 | at[1] & 0x3F, (at[0] & 0x0F) << 12 | (at[1] & 0x3F) << 6 | at[2] & 0x3F))
+    return CAPITAL[code] & (at[0] < 0xF0)
+
+
+class Template:
+    """Template tokens of a scan: ``hash``, ``kind`` (0 word, 1 number, 2 name, 3 unit), ``start`` and ``stop`` in its bytes, ``doc``, and ``raw``, the first scan token of each."""
+
+    def __init__(self, scan: Scan):
+        n = len(scan.start)
+        kind = np.zeros(n, np.int8)
+        self.data, self.raw = scan.data, np.arange(n)
+        if n:
+            b = np.frombuffer(scan.data, np.uint8)
+            digits = np.maximum.reduceat((b[scan.pos] >= 48) & (b[scan.pos] <= 57), scan.first)
+            spelt = _among(scan.hash, NUMBER_HASHES) & ~digits
+            kind[_capitals(b, scan.start)] = 2
+            kind[digits | spelt] = 1
+            same = scan.doc[1:] == scan.doc[:-1]
+            after = np.zeros(n, bool)
+            after[1:] = (kind[:-1] == 1) & same
+            kind[after & _among(scan.hash, UNIT_HASHES) & (kind != 1)] = 3
+            # a token goes on with the one before it if a single byte that fits its kind stands between them
+            gap = b[scan.stop[:-1]]
+            near = same & (scan.start[1:] - scan.stop[:-1] == 1)
+            space = (gap == 32) | (gap == 45)
+            decimal = digits[1:] & digits[:-1] & ((gap == 44) | (gap == 46))
+            words = spelt[1:] & spelt[:-1] & space
+            names = (kind[1:] == 2) & (kind[:-1] == 2) & (space | (gap == 39))
+            self.raw = np.flatnonzero(np.append(True, ~(near & (decimal | words | names))))
+        self.kind = kind[self.raw]
+        self.start, self.stop, self.doc = scan.start[self.raw], scan.stop[np.append(self.raw[1:], n)[:n] - 1], scan.doc[self.raw]
+        self.hash = np.select([self.kind == 1, self.kind == 2, self.kind == 3], [NUMBER, NAME, UNIT], scan.hash[self.raw])
+
+    def windows(self, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first token, hash, words) of all windows of ``size`` tokens inside one text."""
+        at, h = _window_hashes(self.hash, self.doc, size)
+        count = np.concatenate([[0], np.cumsum(self.kind == 0)])
+        return at, h, count[at + size] - count[at]
+
+    def slots(self, at: int, size: int) -> list[str]:
+        """The slot values of a window, each with its kind in front, so that values of two kinds never meet."""
+        return [f"{self.kind[i]}{self.data[self.start[i]:self.stop[i]].decode('utf-8', 'replace').lower()}" for i in range(at, at + size) if self.kind[i]]
 
 
 def _window_hashes(t: np.ndarray, doc: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -117,13 +149,11 @@ def _signed(h: int) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def _slots(scan: Scan, kind: np.ndarray, at: int, size: int) -> list[str]:
-    """The slot values of a window, each with its kind in front, so that values of two kinds never meet."""
-    return [f"{kind[i]}{scan.data[scan.start[i]:scan.stop[i]].decode('utf-8', 'replace').lower()}" for i in range(at, at + size) if kind[i]]
-
-
 def item_windows(items: DataFrame, id_col: str = "item_id", text: str = "text") -> DataFrame:
-    """(item, i_pos, size, h, i_slots, n_windows, n_tokens) for every window of every item, as template and as literal words (no slots)."""
+    """(item, i_pos, i_at, size, h, i_slots, n_windows, n_tokens) for every window of every item, as template and as literal words (no slots).
+
+    ``i_pos`` is the window's first word, ``i_at`` its first template token, which is what alignments are counted in.
+    """
     import pyarrow as pa
 
     given = items.select(items[f"`{id_col}`"].alias("k"), items[f"`{text}`"].alias("t"))
@@ -137,26 +167,26 @@ def item_windows(items: DataFrame, id_col: str = "item_id", text: str = "text")
                 n = len(scan.start)
                 size = min(WINDOW, n)
                 if size:
-                    at, h, known, kind = windows(scan, size)
-                    good = (known >= (SHORT_WORDS if n < SHORT else MIN_WORDS)) & (size == WINDOW)
+                    made = Template(scan)
+                    at, h, known = made.windows(WINDOW)
+                    good = known >= (SHORT_WORDS if n < SHORT else MIN_WORDS)
                     at, h = at[good], h[good].view(np.int64)
                     p_all, literal = literal_windows(folded(texts, scan), scan.doc, size)
-                    chosen = at if len(at) else p_all
+                    chosen = made.raw[at] if len(at) else p_all       # a template window holds as many words as a literal one, or more
                     key = b.column(0)[i].as_py()
-                    rows += [(key, int(p), size, int(x), _slots(scan, kind, p, size), len(chosen), n) for p, x in zip(at, h, strict=True)]
-                    rows += [(key, int(p), size, int(x), [], len(chosen), n) for p, x in zip(chosen, literal[chosen].view(np.int64), strict=True)]
-            cols = list(zip(*rows, strict=True)) if rows else [()] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], b.schema.field(0).type), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()),
-                                              pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.list_(pa.string())), pa.array(cols[5], pa.int64()), pa.array(cols[6], pa.int64())],
-                                             ["item", "i_pos", "size", "h", "i_slots", "n_windows", "n_tokens"])
+                    rows += [(key, int(made.raw[p]), int(p), size, int(x), made.slots(p, size), len(chosen), n) for p, x in zip(at, h, strict=True)]
+                    rows += [(key, int(p), int(p), size, int(x), [], len(chosen), n) for p, x in zip(chosen, literal[chosen].view(np.int64), strict=True)]
+            cols = list(zip(*rows, strict=True)) if rows else [()] * 8
+            kinds = [b.schema.field(0).type, pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.string()), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["item", "i_pos", "i_at", "size", "h", "i_slots", "n_windows", "n_tokens"])
 
     return given.mapInArrow(run, T.StructType([
-        T.StructField("item", given.schema["k"].dataType), T.StructField("i_pos", T.LongType()), T.StructField("size", T.IntegerType()),
+        T.StructField("item", given.schema["k"].dataType), T.StructField("i_pos", T.LongType()), T.StructField("i_at", T.LongType()), T.StructField("size", T.IntegerType()),
         T.StructField("h", T.LongType()), T.StructField("i_slots", T.ArrayType(T.StringType())), T.StructField("n_windows", T.LongType()), T.StructField("n_tokens", T.LongType())]))
 
 
 def doc_windows(docs: DataFrame, sizes: list[int], bits: np.ndarray, id_col: str, text: str) -> DataFrame:
-    """(k, text_key, d_pos, h, d_slots) of the document windows whose hash may be one of an item."""
+    """(k, text_key, d_pos, h, d_slots) of the document windows whose hash may be one of an item; ``d_pos`` counts template tokens for templates, else words."""
     import pyarrow as pa
     import xxhash
 
@@ -168,16 +198,14 @@ def doc_windows(docs: DataFrame, sizes: list[int], bits: np.ndarray, id_col: str
         for b in batches:
             for first, texts in steps(b.column(1)):
                 scan, rows, at, hs, slots = Scan(texts), [], [], [], []
-                words = folded(texts, scan)
-                for size in sizes:
-                    p, h, _, kind = windows(scan, size)
-                    for p, h, typed in ((p, h, True), (*literal_windows(words, scan.doc, size), False)):
-                        cell = (h >> np.uint64(64 - BITS)).astype(np.int64)
-                        hit = np.flatnonzero(bitmap[cell >> 3] >> (cell & 7).astype(np.uint8) & 1)
-                        rows += (first + scan.doc[p[hit]]).tolist()
-                        at += p[hit].tolist()
-                        hs.append(h[hit].view(np.int64))
-                        slots += [_slots(scan, kind, i, size) if typed else [] for i in p[hit]]
+                words, made = folded(texts, scan), Template(scan)
+                for doc, (p, h), typed in ((made.doc, made.windows(WINDOW)[:2], True), *((scan.doc, literal_windows(words, scan.doc, size), False) for size in sizes)):
+                    cell = (h >> np.uint64(64 - BITS)).astype(np.int64)
+                    hit = np.flatnonzero(bitmap[cell >> 3] >> (cell & 7).astype(np.uint8) & 1)
+                    rows += (first + doc[p[hit]]).tolist()
+                    at += p[hit].tolist()
+                    hs.append(h[hit].view(np.int64))
+                    slots += [made.slots(i, WINDOW) if typed else [] for i in p[hit]]
                 keys = [_signed(xxhash.xxh64_intdigest(texts[r - first], 42)) for r in rows]
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), pa.array(keys, pa.int64()), pa.array(at, pa.int64()),
                                                   pa.array(np.concatenate(hs) if hs else [], pa.int64()), pa.array(slots, pa.list_(pa.string()))],
@@ -212,7 +240,7 @@ def _leaks(docs: DataFrame, benchmark: DataFrame, id_col: str, text: str, item_i
     # a window that very many documents share is a hot key on the documents' side only: a small item table
     # is broadcast, and for a large one adaptive execution splits the key
     match = stored(found.join(broadcast_if_small(items), "h").select(
-        "k", "text_key", "item", (F.col("d_pos") - F.col("i_pos")).alias("shift"), "i_pos", "i_slots", "d_slots", "n_windows", "n_tokens").distinct(), "matches")
+        "k", "text_key", "item", (F.col("d_pos") - F.col("i_at")).alias("shift"), "i_pos", "i_slots", "d_slots", "n_windows", "n_tokens").distinct(), "matches")
     line = ["k", "text_key", "item", "shift"]
     pairs = match.select(*line, F.explode(F.arrays_zip("i_slots", "d_slots")).alias("p")).select(*line, F.col("p.i_slots").alias("i"), F.col("p.d_slots").alias("d")).distinct()
     torn = pairs.groupBy(*line, "i").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*line, F.col("i").alias("slot"), F.lit("i").alias("side")).unionByName(

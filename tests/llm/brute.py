@@ -75,21 +75,26 @@ UNITS = set("kg g mg lb lbs oz ton tons km m cm mm mile miles foot feet inch inc
             "pound pounds cent cents percent degree degrees".split())
 
 
+SPELT = ("two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|thirteen|fourteen|fifteen|sixteen|seventeen|eighteen|nineteen|"
+         "twenty|thirty|forty|fifty|sixty|seventy|eighty|ninety|hundred|thousand|million|billion")
+
+
 def template(text):
-    """(template token, slot value or None) of a text."""
-    out, before = [], False
-    for m in re.finditer(rb"[0-9A-Za-z\x80-\xff]+", (text or "").encode()):
+    """(template token, slot value or None, number of its first word) of a text."""
+    out, at, before, end, last = [], 0, "", -1, ""
+    t = text or ""
+    for m in re.finditer(r"[0-9A-Za-z\x80-\U0010ffff]+", t):
         w = m[0]
-        number = bool(re.search(rb"[0-9]", w))
-        if number:
-            out.append(("<1>", b"1" + w.lower()))
-        elif before and w.lower().decode("utf-8", "replace") in UNITS:
-            out.append(("<3>", b"3" + w.lower()))
-        elif re.match(rb"[A-Z]", w):
-            out.append(("<2>", b"2" + w.lower()))
+        low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in w)
+        digits, spelt = bool(re.search("[0-9]", w)), re.fullmatch(SPELT, low) is not None
+        kind = "d" if digits else "s" if spelt else "u" if before in ("d", "s") and low in UNITS else "n" if w[0] < "\U00010000" and (w[0].isupper() or w[0].istitle()) else ""
+        gap = t[end:m.start()] if end >= 0 else ""
+        if kind and kind == before and gap in {"d": (",", "."), "s": (" ", "-"), "n": (" ", "-", "'")}.get(kind, ()):
+            out[-1] = (out[-1][0], out[-1][1] + gap.lower() + w.lower(), out[-1][2])
         else:
-            out.append((w.lower(), None))
-        before = number
+            tag = {"d": "1", "s": "1", "u": "3", "n": "2"}.get(kind)
+            out.append((f"<{tag}>", tag + w.lower(), at) if kind else (low, None, at))
+        before, end, at = kind, m.end(), at + 1
     return out
 
 
@@ -99,15 +104,15 @@ def leaks(docs, items, window=6, share=0.3):
     for item, it in items:
         q = template(it)
         size = min(window, len(q))
-        keep = [i for i in range(len(q) - size + 1) if sum(s is None for _, s in q[i:i + size]) >= (2 if size == window else 1)] if size else []
+        keep = [i for i in range(len(q) - size + 1) if sum(s is None for _, s, _ in q[i:i + size]) >= (2 if size == window else 1)] if size else []
         for i in keep:
-            known.setdefault(tuple(x for x, _ in q[i:i + size]), []).append((item, i, [s for _, s in q[i:i + size]], len(keep)))
+            known.setdefault(tuple(x for x, _, _ in q[i:i + size]), []).append((item, i, [s for _, s, _ in q[i:i + size]], len(keep)))
     for k, t in docs:
         d, hits = template(t), {}
         for size in {len(w) for w in known}:
             for j in range(len(d) - size + 1):
-                for item, i, slots, n in known.get(tuple(x for x, _ in d[j:j + size]), ()):
-                    pairs = [(a, b) for a, (_, b) in zip(slots, d[j:j + size], strict=True) if a]
+                for item, i, slots, n in known.get(tuple(x for x, _, _ in d[j:j + size]), ()):
+                    pairs = [(a, b) for a, (_, b, _) in zip(slots, d[j:j + size], strict=True) if a]
                     hits.setdefault((item, n), []).append((j - i, i, pairs))
         for (item, n), found in hits.items():
             good = set()

@@ -4,7 +4,7 @@ import random
 
 import duckdb
 import numpy as np
-from brute import leaks
+from brute import leaks, template
 
 from echoloom.llm import decontaminate, lm_score
 from echoloom.llm.tokenscan import Scan
@@ -49,6 +49,36 @@ def test_copies_in_another_case_and_items_without_plain_words_are_found(spark):
     assert set(got) == {(1, 1), (2, 1), (3, 2), (4, 2), (5, 3), (6, 4), (8, 1)} and all(a == b for a, b in got.values())
 
 
+PENS = "{n} has {a} red pens and buys {b} blue ones at a price of {c} dollars each, so what does {n} pay for all the blue pens of the week"
+
+
+def test_numbers_with_separators_or_in_words_and_long_names_fill_one_slot(spark):
+    item = PENS.format(n="Sam", a=3, b=4, c=2)
+    fills = [dict(n="Sam", a="12,500", b="7", c="2.5"), dict(n="Élodie", a=3, b=4, c=2), dict(n="Mary Jane", a=3, b=4, c=2), dict(n="Иван", a="twenty-five", b="1.250,75", c="two hundred"),
+             dict(n="Jean-Luc O'Neil", a="3.14", b="nine", c="1,000,000")]
+    docs = [(i, f"as it was said, {PENS.format(**f)} or not") for i, f in enumerate(fills)]
+    # one value in place of two, and two in place of one: every window that holds both is out
+    docs += [(10, PENS.format(n="Ann Lee", a="5", b="5", c="5")), (11, PENS.replace("does {n}", "does Bob Ray").format(n="Ann Lee", a="1.5", b="2.5", c="3.5")), (12, CLEAN)]
+    got = {(r["doc_id"], r["item_id"]): (r["n_windows"], r["n_found"]) for r in decontaminate.leaks(
+        spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+    assert got == leaks(docs, [(1, item)])
+    assert all(got[i, 1][0] == got[i, 1][1] for i in range(5)) and (12, 1) not in got and got[10, 1][1] < got[0, 1][1]
+
+
+def test_template_tokens_equal_plain_version():
+    rnd = random.Random(9)
+    words = "a b the Élan école Ünal ünal Дом дом 12 3.5 1,000 two Twenty five kg days Mary Jane O ǅ 東京 𝐀b x1 X1 ß".split()
+    texts = ["".join(rnd.choice(words) + rnd.choice([" ", " ", " ", "-", ", ", ".", "'", ",", "\n"]) for _ in range(rnd.randrange(30))) for _ in range(400)]
+    made = decontaminate.Template(Scan([t.encode() for t in texts]))
+    for i, t in enumerate(texts):
+        own, plain = np.flatnonzero(made.doc == i), template(t)
+        first = own[0] if len(own) else 0
+        base = made.raw[first] if len(own) else 0
+        assert [int(made.raw[j] - base) for j in own] == [at for *_, at in plain], t
+        assert made.slots(first, len(own)) == [v for _, v, _ in plain if v is not None], t
+    assert len(decontaminate.Template(Scan([])).hash) == 0
+
+
 def test_short_items_do_not_drop_documents(spark):
     b = spark.createDataFrame([(1, "yes"), (2, "what is the capital city of France today")], "item_id long, text string")
     docs = [(1, "oh yes it is"), (2, "tell me what is the capital city of our land"), (3, "so, What is the capital city of Peru today?"), (4, CLEAN)]
